@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandway.llm import bpe, packing, topk
+from strandway.llm import bpe, html, langid, packing, topk
 from strandway.llm.scratch import stage
 
 QUERIES: dict = {}
@@ -21,6 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    model = langid.fit(docs, keep=third != 1)
+    return langid.predict(docs, model, [F.coalesce(third == 1, F.lit(False)).alias("held_out")])
+
+
 @query
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2048, 1)
