@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandway.llm import bpe, html, langid, packing, topk
+from strandway.llm import bpe, html, langid, packing, quality, topk
 from strandway.llm.scratch import stage
 
 QUERIES: dict = {}
@@ -26,6 +26,14 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+@query
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    measured = stage(quality.measures(docs).drop("text"), "measured")
+    chosen = stage(quality.cutoffs(measured, table(spark, sf_dir, "labels")), "cutoffs")
+    return quality.judge(measured, chosen).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @query
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
