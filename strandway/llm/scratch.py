@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -20,10 +21,23 @@ def shared_root(spark: SparkSession) -> str:
     return _own[0]
 
 
+@contextlib.contextmanager
+def released(spark: SparkSession):
+    """Shuffle files of the jobs inside go when the job ends, as its result is kept as a table."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and later phases
     scan a few narrow columns instead of computing them again. A lost executor costs no finished phase."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/strandway-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    with released(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
