@@ -95,3 +95,11 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
     sums = np.zeros(len(words) + 1, np.uint64)
     np.cumsum(words * up[: len(words)], out=sums[1:])
     return mix((sums[n:] - sums[:-n]) * down[: len(words) - n + 1])
+
+
+def span_hash(words: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hash of the words from each start to its stop."""
+    up, down = _powers(WORD_BASE, len(words) + 1)
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * up[: len(words)], out=sums[1:])
+    return mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64))
