@@ -1,6 +1,38 @@
 """DuckDB twins of the corpus queries."""
 
+from strandway.llm import secrets
+
+_Q = {k: v.replace("'", "''") for k, v in secrets.KINDS.items()}
+_FOUND = " UNION ALL ".join(
+    f"SELECT doc_id, {i} AS rank, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS hit,"
+    f" unnest(regexp_split_to_array(text, '{p}')[:len(regexp_extract_all(text, '{p}'))]) AS gap,"
+    f" unnest(range(len(regexp_extract_all(text, '{p}')))) AS i FROM d"
+    for i, (k, p) in enumerate(_Q.items())
+)
+
 SQL: dict[str, str] = {
+    "op1_secret_scan": f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    m AS ({_FOUND}),
+    p AS (SELECT *, CAST(sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS stop FROM m),
+    s AS (SELECT doc_id, rank, kind, stop - length(hit) AS start, stop FROM p
+          WHERE CASE kind WHEN 'assign' THEN length(regexp_extract(hit, '{_Q["assign"]}', 2)) >= 8
+                          WHEN 'access' THEN length(hit) >= 16
+                          WHEN 'blob' THEN regexp_matches(hit, '[a-z]') AND regexp_matches(hit, '[A-Z]') AND regexp_matches(hit, '[0-9]')
+                          ELSE true END),
+    n AS (SELECT s.doc_id, s.rank, s.kind, s.start, s.stop,
+                 bool_or(t.kind IN ('assign', 'hex', 'blob')) AS secret, bool_or(t.kind IN ('access', 'ident')) AS ident
+          FROM s JOIN s t ON s.doc_id = t.doc_id AND t.start <= s.stop + {secrets.SCOPE} AND s.start <= t.stop + {secrets.SCOPE}
+          GROUP BY ALL),
+    k AS (SELECT * FROM n WHERE rank < 3 OR (kind = 'ident' AND secret) OR (kind = 'blob' AND ident) OR (kind = 'endpoint' AND secret AND ident)),
+    a AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+                 string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 3) AS base,
+                 string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans
+          FROM k GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+           sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM d LEFT JOIN a USING (doc_id)
+    """,
     "op10_exact_topk": """
     WITH v AS (
         SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
