@@ -7,19 +7,21 @@ signature distance shares a key. At a similarity of 0.85 a pair is over the dist
 still shares a key with probability over 0.9999999.
 
 Equal sets are one class, represented by its least id, before any key is made. No pairs are made from a key's group:
-all classes that are joined by keys, directly or through others, form a cell, large cells are split into blocks, and
-each task compares one pair of blocks in memory, signatures first, then whole sets. It returns a spanning forest of
+all classes that are joined by keys, directly or through others, form a cell, large cells are split by set size and then into
+blocks, and each task compares one pair of blocks in memory, signatures first, then whole sets. It returns a spanning forest of
 the links it found, which keeps every link's components and is linear in the rows.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandway.llm.components import components
@@ -144,6 +146,37 @@ def _forest(percent: int, n: int):
     return link
 
 
+def _compared(rows: DataFrame, cells: DataFrame, percent: int, n: int) -> DataFrame:
+    """Links within the cells. A cell of over ``BLOCK`` classes is split by set size, in steps of the least ratio that
+    linked sets can have, so that only equal and neighbouring sizes meet; large sizes are split further by a hash."""
+    own_cell, of_size = W.partitionBy("cell"), W.partitionBy("cell").orderBy("size")
+    step = math.log(100 / percent) * 1.000001
+    totals = cells.groupBy("cell").agg(F.count("*").alias("m"))
+    sized = cells.join(totals, "cell").withColumn("size", F.when(F.col("m") > BLOCK, F.floor(F.log("n_shingles") / step)).otherwise(0).cast("long"))
+    units = sized.groupBy("cell", "size").agg(F.count("*").alias("k")).withColumn("m", F.sum("k").over(own_cell))
+    units = units.withColumn("blocks", F.ceil(F.col("k") / F.least(F.greatest(F.lit(BLOCK), F.ceil(F.col("m") / BLOCKS)), F.lit(LARGEST))).cast("int"))
+    next_to = lambda f, d: F.coalesce(F.when(f("size").over(of_size) == F.col("size") + d, f("blocks").over(of_size)), F.lit(0))
+    units = units.withColumns({"up": next_to(F.lead, 1), "down": next_to(F.lag, -1)}).drop("m", "k")
+    placed = sized.drop("m").join(units, ["cell", "size"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+
+    size, block, blocks, up, down = (F.col(c) for c in ("size", "block", "blocks", "up", "down"))
+    unit = lambda s, b: s * (1 << 32) + b
+    meeting = lambda s, j, turn: F.struct(unit(s, j).alias("other"), turn.alias("turn"))
+    none = F.expr("CAST(array() AS array<struct<other:bigint,turn:boolean>>)")
+    upto = lambda k: F.sequence(F.lit(0), k - 1)
+    same = F.when(blocks > 1, F.transform(F.filter(upto(blocks), lambda j: j != block), lambda j: meeting(size, j, j == F.pmod(block + 1, blocks)))).otherwise(none)
+    above = F.when(up > 0, F.transform(upto(up), lambda j: meeting(size + 1, j, (blocks == 1) & (j == 0)))).otherwise(none)
+    below = F.when(down > 0, F.transform(upto(down), lambda j: meeting(size - 1, j, (blocks == 1) & (up == 0) & (j == 0)))).otherwise(none)
+    every = F.concat(same, above, below)
+    every = F.when(F.size(every) > 0, every).otherwise(F.array(meeting(size, block, F.lit(True))))
+    placed = placed.select("rep", "cell", unit(size, block).alias("block"), every.alias("meets"))
+
+    texts = rows.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "rep").join(placed, "rep")
+    dealt = texts.select("rep", "text", "cell", "block", F.explode("meets").alias("x")).select("rep", "text", "cell", "block", "x.*")
+    tasks = dealt.groupBy("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return tasks.applyInArrow(_forest(percent, n), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, stage: Callable[[DataFrame, str], DataFrame], percent: int = 80, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row: documents are linked where 100 * intersection >=
     percent * union of their shingle sets, and component_id is the least id reachable.
@@ -165,16 +198,7 @@ def near_duplicates(docs: DataFrame, stage: Callable[[DataFrame, str], DataFrame
     joined = index.join(hubs, "key").where("rep <> hub").select("rep", "hub")
     cells = stage(components(joined, stage).select(F.col("node").alias("rep"), F.col("component").alias("cell")), "cells")
 
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("m"))
-    blocks = F.ceil(F.col("m") / F.least(F.greatest(F.lit(BLOCK), F.ceil(F.col("m") / BLOCKS)), F.lit(LARGEST))).cast("int")
-    placed = cells.join(sizes, "cell").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("block")))
-    own_turn = (F.col("blocks") == 1) | (F.col("other") == F.pmod(F.col("block") + 1, F.col("blocks")))
-    texts = rows.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "rep").join(placed, "rep")
-    dealt = texts.withColumn("other", F.explode(other)).withColumn("turn", own_turn)
-    tasks = dealt.groupBy("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    links = tasks.applyInArrow(_forest(percent, n), "a long, b long")
-
+    links = _compared(rows, cells.join(classes.select("rep", "n_shingles"), "rep"), percent, n)
     several = members.groupBy("doc_id").count().where("count > 1")  # ids whose rows are in more than one class
     own = members.join(several, "doc_id", "left_semi").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = stage(links.where("a <> b").unionByName(own), "links")
