@@ -16,19 +16,26 @@ from strandway.llm.scratch import stage
 KEY = "strandway"
 
 
-def _like(out: DataFrame, docs: DataFrame) -> DataFrame:
-    """The columns of ``docs``, with n_chars counted again where there is one."""
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+NAMED = ("doc_id", "lang", "text")
+
+
+def _narrow(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, text, and the other columns as one struct, whose names can't clash with what a stage adds."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in NAMED]
+    return docs.select(*NAMED, (F.struct(*rest) if rest else F.lit(None).cast("string")).alias("_rest"))
+
+
+def _wide(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` again, with n_chars counted anew where there is one."""
+    fresh = {"n_chars": F.length("text").cast("long").alias("n_chars")}
+    return out.select(*[F.col(c) if c in NAMED else fresh.get(c, F.col(f"_rest.`{c}`")) for c in docs.columns])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the risk-controlled cutoffs keep."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    labelled = docs.select("doc_id", "lang", "text").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    chosen = stage(quality.cutoffs(quality.measures(labelled).drop("text"), labels), "cutoffs")
-    return quality.judge(quality.measures(docs), chosen).where("kept").select(*docs.columns)
+    measured = stage(quality.measures(_narrow(docs)), "measured")
+    chosen = stage(quality.cutoffs(measured, spark.read.parquet(f"{sf_dir}/labels.parquet")), "cutoffs")
+    return _wide(quality.judge(measured, chosen).where("kept"), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,12 +46,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of 50 words or more that start earlier in the corpus."""
-    return _like(substrings.remove_repeats(docs, stage, window=50), docs)
+    return _wide(substrings.remove_repeats(_narrow(docs), stage, window=50), docs)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with surrogates for personal data."""
-    return _like(surrogates.replace(docs, KEY), docs)
+    return _wide(surrogates.replace(_narrow(docs), KEY), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
