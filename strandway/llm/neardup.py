@@ -1,15 +1,17 @@
 """MinHash near-duplicates by a multi-index Hamming join.
 
-Signatures are ``POSITIONS`` b-bit minima. They are split into ``CHUNKS`` chunks; as two signatures that differ in at
-most ``CHUNKS * (ERRORS + 1) - 1`` positions have a chunk with at most ``ERRORS`` differing ones (pigeonhole), each
-chunk is indexed under the keys that remain when any ``ERRORS`` of its positions are left out. So every pair under the
-signature distance shares a key. At a similarity of 0.85 a pair is over the distance with probability 4e-6, and then
+Signatures are b-bit minima. Their first ``INDEXED`` positions are split into ``CHUNKS`` chunks; as two signatures
+that differ in at most ``CHUNKS * (ERRORS + 1) - 1`` of them have a chunk with at most ``ERRORS`` differing ones
+(pigeonhole), each chunk is indexed under the keys that remain when any ``ERRORS`` of its positions are left out. So
+every pair under that distance shares a key. At a similarity of 0.85 a pair is over it with probability 4e-6, and then
 still shares a key with probability over 0.9999999.
 
 Equal sets are one class, represented by its least id, before any key is made. No pairs are made from a key's group:
-all classes that are joined by keys, directly or through others, form a cell, large cells are split by set size and then into
-blocks, and each task compares one pair of blocks in memory, signatures first, then whole sets. It returns a spanning forest of
-the links it found, which keeps every link's components and is linear in the rows.
+all classes that are joined by keys, directly or through others, form a cell, large cells are split by set size and
+then into blocks, and each task compares one pair of blocks in memory. That happens twice: first on signatures alone
+(``POSITIONS`` of them, at most ``FAR`` different; 5e-7 of the pairs at 0.85 are over that), which are short and break
+cells up, then on the whole sets of each smaller cell. A task returns a spanning forest of the links it found, which
+keeps every link's components and is linear in the rows.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 from strandway.llm.components import components
 from strandway.llm.words import Words, mix, plain, slices
 
-POSITIONS, CHUNKS, ERRORS, BITS = 32, 8, 1, 16
-DISTANCE = CHUNKS * (ERRORS + 1) - 1
+POSITIONS, INDEXED, CHUNKS, ERRORS, BITS = 48, 32, 8, 1, 16
+FAR = 20
 #: Classes in a block at least, and blocks that a cell is cut into until blocks reach LARGEST.
 BLOCK, BLOCKS, LARGEST = 256, 32, 8192
 _MULTIPLY = mix(np.arange(1, POSITIONS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -64,37 +66,37 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def _left_out() -> list[tuple[int, list[int]]]:
-    size = POSITIONS // CHUNKS
+    size = INDEXED // CHUNKS
     return [(c, [c * size + i for i in range(size) if i not in out]) for c in range(CHUNKS) for out in itertools.combinations(range(size), ERRORS)]
 
 
 KEYS = _left_out()
 
 
-def keys(sig: np.ndarray) -> np.ndarray:
-    """One key for each chunk and each choice of positions left out of it."""
-    own = sig.astype(np.uint64)
-    out = np.empty(len(KEYS), np.uint64)
+def keys(signs: np.ndarray) -> np.ndarray:
+    """For each signature (a row) one key for each chunk and each choice of positions left out of it."""
+    own = signs.astype(np.uint64)
+    out = np.empty((len(own), len(KEYS)), np.uint64)
     for k, (_, at) in enumerate(KEYS):
-        value = np.uint64(k)
+        value = np.full(len(own), k, np.uint64)
         for i in at:
-            value = value << np.uint64(BITS) | own[i]
-        out[k] = value
-    return mix(mix(out) + np.arange(len(KEYS), dtype=np.uint64)).view(np.int64)
+            value = value << np.uint64(BITS) | own[:, i]
+        out[:, k] = mix(value) + np.uint64(k)
+    return mix(out).view(np.int64)
 
 
 def _profiled(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, one, two, all_keys = [], [], [], []
+            sizes, one, two, signs = [], [], [], []
             for s in shingle_sets(plain(batch.column(1)), n):
                 sizes.append(len(s))
                 one.append(int(s.sum(dtype=np.uint64).view(np.int64)))
                 two.append(int(np.bitwise_xor.reduce(mix(s)).view(np.int64)) if len(s) else 0)
-                all_keys.append(keys(signature(s)).tobytes() if len(s) else b"")
+                signs.append(signature(s).tobytes() if len(s) else b"")
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(all_keys, pa.binary())],
-                ["doc_id", "n_shingles", "f1", "f2", "keys"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(signs, pa.binary())],
+                ["doc_id", "n_shingles", "f1", "f2", "sign"],
             )
 
     return run
@@ -103,36 +105,59 @@ def _profiled(n: int):
 def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0).to_numpy()
-        flat = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
+        signs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(len(ids), POSITIONS)
+        flat = keys(signs).ravel()
         yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(ids, len(KEYS)))], ["key", "rep"])
 
 
-def _forest(percent: int, n: int):
-    """Links within a cell of one block, or between its two blocks and within those whose turn it is."""
+def _signed(percent: int):
+    """Near signatures within a cell of one block, or between its two blocks and within those whose turn it is."""
 
     def link(table: pa.Table) -> pa.Table:
-        ids, block, turn = (table.column(c).to_numpy() for c in ("rep", "block", "turn"))
-        sets = list(shingle_sets(plain(table.column("text")), n))
+        sizes = table.column("n_shingles").to_numpy()
+        order = np.argsort(sizes, kind="stable")
+        sizes = sizes[order]
+        ids, block, turn = (table.column(c).to_numpy()[order] for c in ("rep", "block", "turn"))
+        signs = np.frombuffer(b"".join(table.column("payload").to_pylist()), np.uint16).reshape(len(ids), POSITIONS)[order]
+        root, found = np.arange(len(ids)), []
+        for a in range(len(ids) - 1):
+            end = int(np.searchsorted(sizes, sizes[a] * 100 // percent, "right"))
+            open_ = np.flatnonzero((root[a + 1 : end] != root[a]) & ((block[a + 1 : end] != block[a]) | turn[a])) + a + 1
+            near = open_[np.count_nonzero(signs[open_] != signs[a], axis=1) <= FAR]
+            roots, first = np.unique(root[near], return_index=True)
+            if len(roots):
+                found += [(ids[a], ids[b]) for b in near[first]]
+                root[np.isin(root, roots)] = root[a]
+        return _edges(found)
+
+    return link
+
+
+def _edges(found: list[tuple]) -> pa.Table:
+    left, right = zip(*found, strict=True) if found else ((), ())
+    return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+
+def _confirmed(percent: int, n: int):
+    """Links by whole sets, of the same pairs of a cell."""
+
+    def link(table: pa.Table) -> pa.Table:
+        sets = list(shingle_sets(plain(table.column("payload")), n))
         order = np.argsort([len(s) for s in sets], kind="stable")
         sets = [sets[i] for i in order]
-        ids, block, turn = ids[order], block[order], turn[order]
+        ids, block, turn = (table.column(c).to_numpy()[order] for c in ("rep", "block", "turn"))
         sizes = np.array([len(s) for s in sets], np.int64)
         at = np.concatenate([[0], np.cumsum(sizes)])
         values, flat = np.unique(np.concatenate(sets), return_inverse=True)
-        signs = np.array([signature(s) for s in sets])
         mark = np.zeros(len(values), np.int32)
         root, found = np.arange(len(ids)), []
         for a in range(len(ids) - 1):
             end = int(np.searchsorted(sizes, sizes[a] * 100 // percent, "right"))
-            if end <= a + 1:
-                continue
-            near = np.count_nonzero(signs[a + 1 : end] != signs[a], axis=1) <= DISTANCE
-            near &= (root[a + 1 : end] != root[a]) & ((block[a + 1 : end] != block[a]) | turn[a])
-            others = np.flatnonzero(near) + a + 1
-            if not len(others):
+            open_ = np.flatnonzero((root[a + 1 : end] != root[a]) & ((block[a + 1 : end] != block[a]) | turn[a])) + a + 1
+            if not len(open_):
                 continue
             mark[flat[at[a] : at[a + 1]]] = 1
-            for some in np.array_split(others, -(-len(others) // 64)):  # a few sets' worth of work memory
+            for some in np.array_split(open_, -(-len(open_) // 64)):  # a few sets' worth of work memory
                 lengths = sizes[some]
                 both = np.add.reduceat(mark[np.concatenate([flat[at[b] : at[b + 1]] for b in some])], np.concatenate([[0], np.cumsum(lengths)[:-1]]))
                 for b in some[100 * both >= percent * (sizes[a] + lengths - both)]:
@@ -140,14 +165,13 @@ def _forest(percent: int, n: int):
                         found.append((ids[a], ids[b]))
                         root[root == root[b]] = root[a]
             mark[flat[at[a] : at[a + 1]]] = 0
-        left, right = zip(*found, strict=True) if found else ((), ())
-        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+        return _edges(found)
 
     return link
 
 
-def _compared(rows: DataFrame, cells: DataFrame, percent: int, n: int) -> DataFrame:
-    """Links within the cells. A cell of over ``BLOCK`` classes is split by set size, in steps of the least ratio that
+def _compared(payload: DataFrame, cells: DataFrame, percent: int, link: Callable) -> DataFrame:
+    """Links (a, b) within the cells, given rep and payload. A cell of over ``BLOCK`` classes is split by set size, in steps of the least ratio that
     linked sets can have, so that only equal and neighbouring sizes meet; large sizes are split further by a hash."""
     own_cell, of_size = W.partitionBy("cell"), W.partitionBy("cell").orderBy("size")
     step = math.log(100 / percent) * 1.000001
@@ -169,12 +193,11 @@ def _compared(rows: DataFrame, cells: DataFrame, percent: int, n: int) -> DataFr
     below = F.when(down > 0, F.transform(upto(down), lambda j: meeting(size - 1, j, (blocks == 1) & (up == 0) & (j == 0)))).otherwise(none)
     every = F.concat(same, above, below)
     every = F.when(F.size(every) > 0, every).otherwise(F.array(meeting(size, block, F.lit(True))))
-    placed = placed.select("rep", "cell", unit(size, block).alias("block"), every.alias("meets"))
+    placed = placed.select("rep", "n_shingles", "cell", unit(size, block).alias("block"), every.alias("meets"))
 
-    texts = rows.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "rep").join(placed, "rep")
-    dealt = texts.select("rep", "text", "cell", "block", F.explode("meets").alias("x")).select("rep", "text", "cell", "block", "x.*")
+    dealt = payload.join(placed, "rep").select("rep", "n_shingles", "payload", "cell", "block", F.explode("meets").alias("x")).select("rep", "n_shingles", "payload", "cell", "block", "x.*")
     tasks = dealt.groupBy("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return tasks.applyInArrow(_forest(percent, n), "a long, b long")
+    return tasks.applyInArrow(link, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, stage: Callable[[DataFrame, str], DataFrame], percent: int = 80, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,19 +209,25 @@ def near_duplicates(docs: DataFrame, stage: Callable[[DataFrame, str], DataFrame
     don't matter. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    profile = stage(rows.mapInArrow(_profiled(n), "doc_id long, n_shingles long, f1 long, f2 long, keys binary"), "profile")
+    profile = stage(rows.mapInArrow(_profiled(n), "doc_id long, n_shingles long, f1 long, f2 long, sign binary"), "profile")
     solid = profile.where("n_shingles > 0 AND doc_id IS NOT NULL")
     prints = ["n_shingles", "f1", "f2"]
     classes = stage(solid.groupBy(*prints).agg(F.min("doc_id").alias("rep")), "classes")
     members = stage(solid.select("doc_id", *prints).join(classes, prints).select("doc_id", "rep").distinct(), "members")
 
     first = solid.join(classes.select(F.col("rep").alias("doc_id"), *prints), ["doc_id", *prints], "left_semi").dropDuplicates(["doc_id", *prints])
-    index = stage(first.select("doc_id", "keys").mapInArrow(_indexed, "key long, rep long"), "index")
+    first = stage(first.select(F.col("doc_id").alias("rep"), "n_shingles", "sign"), "signatures")
+    index = stage(first.select("rep", "sign").mapInArrow(_indexed, "key long, rep long"), "index")
     hubs = index.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").select("key", "hub")
-    joined = index.join(hubs, "key").where("rep <> hub").select("rep", "hub")
-    cells = stage(components(joined, stage).select(F.col("node").alias("rep"), F.col("component").alias("cell")), "cells")
+    shared = index.join(hubs, "key").where("rep <> hub").select("rep", "hub")
+
+    def cells(edges: DataFrame) -> DataFrame:
+        found = components(edges, stage).select(F.col("node").alias("rep"), F.col("component").alias("cell"))
+        return stage(found.join(first.select("rep", "n_shingles"), "rep"), "cells")
 
-    links = _compared(rows, cells.join(classes.select("rep", "n_shingles"), "rep"), percent, n)
+    near = _compared(first.select("rep", F.col("sign").alias("payload")), cells(shared), percent, _signed(percent))
+    texts = rows.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), F.col("text").alias("payload"))
+    links = _compared(texts, cells(near), percent, _confirmed(percent, n))
     several = members.groupBy("doc_id").count().where("count > 1")  # ids whose rows are in more than one class
     own = members.join(several, "doc_id", "left_semi").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = stage(links.where("a <> b").unionByName(own), "links")
