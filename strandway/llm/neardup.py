@@ -172,7 +172,8 @@ def _confirmed(percent: int, n: int):
 
 def _compared(payload: DataFrame, cells: DataFrame, percent: int, link: Callable) -> DataFrame:
     """Links (a, b) within the cells, given rep and payload. A cell of over ``BLOCK`` classes is split by set size, in steps of the least ratio that
-    linked sets can have, so that only equal and neighbouring sizes meet; large sizes are split further by a hash."""
+    linked sets can have, so that only equal and neighbouring sizes meet; large sizes are split further by a hash.
+    The join with the payload is a sort-merge join at every size."""
     own_cell, of_size = W.partitionBy("cell"), W.partitionBy("cell").orderBy("size")
     step = math.log(100 / percent) * 1.000001
     totals = cells.groupBy("cell").agg(F.count("*").alias("m"))
@@ -195,7 +196,7 @@ def _compared(payload: DataFrame, cells: DataFrame, percent: int, link: Callable
     every = F.when(F.size(every) > 0, every).otherwise(F.array(meeting(size, block, F.lit(True))))
     placed = placed.select("rep", "n_shingles", "cell", unit(size, block).alias("block"), every.alias("meets"))
 
-    dealt = payload.join(placed, "rep").select("rep", "n_shingles", "payload", "cell", "block", F.explode("meets").alias("x")).select("rep", "n_shingles", "payload", "cell", "block", "x.*")
+    dealt = payload.join(placed.hint("merge"), "rep").select("rep", "n_shingles", "payload", "cell", "block", F.explode("meets").alias("x")).select("rep", "n_shingles", "payload", "cell", "block", "x.*")
     tasks = dealt.groupBy("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     return tasks.applyInArrow(link, "a long, b long")
 
