@@ -33,6 +33,11 @@ SCRIPTS = {"Cyrillic": ("бвгдзклмнпрстфхч", "аеиоу", "ий"
 ROUNDS = 8
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _number(text: Column, modulus: Column) -> Column:
     """A number below the modulus from the hash of a text."""
     return F.pmod(F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long"), modulus)
@@ -65,19 +70,18 @@ def _permuted_digits(digits: Column, salt: Column) -> Column:
     """Two to eighteen digits as another number of as many."""
     n = F.length(digits)
     half = F.floor(n / 2).cast("int")
-    p = _permuted(F.substring(digits, F.lit(1), half).cast("long"), F.substring(digits, half + 1, n).cast("long"), _tens(half), _tens(n - half), F.concat_ws("|", salt, n))
-    return F.concat(F.lpad(p["l"].cast("string"), half, "0"), F.lpad(p["r"].cast("string"), n - half, "0"))
+    pair = _permuted(F.substring(digits, F.lit(1), half).cast("long"), F.substring(digits, half + 1, n).cast("long"), _tens(half), _tens(n - half), F.concat_ws("|", salt, n))
+    return _let(pair, lambda p: F.concat(F.lpad(p["l"].cast("string"), half, "0"), F.lpad(p["r"].cast("string"), n - half, "0")))
 
 
 def _refilled(x: Column, digits: Column) -> Column:
-    """``x`` with its digits replaced in order."""
-    place = F.length(_digits(x))
+    """``x``, which has a digit, with its digits replaced in order."""
 
-    def at(i: Column) -> Column:
+    def at(own: Column, i: Column) -> Column:
         c = F.substring(x, i, F.lit(1))
-        return F.when(c.rlike("[0-9]"), F.substring(digits, F.length(_digits(F.substring(x, F.lit(1), i))), F.lit(1))).otherwise(c)
+        return F.when(c.rlike("[0-9]"), F.substring(own, F.length(_digits(F.substring(x, F.lit(1), i))), F.lit(1))).otherwise(c)
 
-    return F.when(place > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(x)), at), "")).otherwise(x)
+    return _let(digits, lambda own: F.array_join(F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: at(own, i)), ""))
 
 
 def _luhn(digits: Column) -> Column:
@@ -138,20 +142,23 @@ def kind_of(x: Column) -> Column:
 
 def surrogate(x: Column, kind: Column, key: str, nonce: int) -> Column:
     salt = F.lit(f"{key}|{nonce}")
-    digits = _digits(x)
-    n = F.length(digits)
     octets = F.split(x, r"\.")
     of = lambda i: octets[i].cast("long")
     word = F.lit(65536).cast("long")
-    ip = _permuted(of(0) * 256 + of(1), of(2) * 256 + of(3), word, word, F.concat_ws("|", salt, F.lit("ip")))
+    pair = _permuted(of(0) * 256 + of(1), of(2) * 256 + of(3), word, word, F.concat_ws("|", salt, F.lit("ip")))
     byte = lambda v, shift: F.pmod(F.floor(v / shift), F.lit(256)).cast("string")
-    keep = F.greatest(n - 9, F.lit(1))
-    tail = F.substring(digits, keep + 1, n)
-    head = F.substring(digits, F.lit(1), keep)
-    number = F.concat(head, _permuted_digits(tail, F.concat_ws("|", salt, kind, head)))
-    bin_, middle = F.substring(digits, F.lit(1), F.lit(4)), F.substring(digits, F.lit(5), n - 5)
-    body = F.concat(bin_, _permuted_digits(middle, F.concat_ws("|", salt, F.lit("card"), bin_)))
-    card = F.concat(body, F.pmod(10 - _luhn(body), F.lit(10)).cast("string"))
+    ip = _let(pair, lambda p: F.concat_ws(".", byte(p["l"], 256), byte(p["l"], 1), byte(p["r"], 256), byte(p["r"], 1)))
+
+    def number(digits: Column) -> Column:
+        keep = F.greatest(F.length(digits) - 9, F.lit(1))
+        head = F.substring(digits, F.lit(1), keep)
+        return F.concat(head, _permuted_digits(F.substring(digits, keep + 1, F.length(digits)), F.concat_ws("|", salt, kind, head)))
+
+    def card(digits: Column) -> Column:
+        prefix, middle = F.substring(digits, F.lit(1), F.lit(4)), F.substring(digits, F.lit(5), F.length(digits) - 5)
+        body = F.concat(prefix, _permuted_digits(middle, F.concat_ws("|", salt, F.lit("card"), prefix)))
+        return _let(body, lambda b: F.concat(b, F.pmod(10 - _luhn(b), F.lit(10)).cast("string")))
+
     low = F.lower(x)
     domain = F.substring_index(low, "@", -1)
     mail = F.concat(
@@ -159,9 +166,9 @@ def surrogate(x: Column, kind: Column, key: str, nonce: int) -> Column:
     )
     return (
         F.when(kind == "email", mail)
-        .when(kind == "ip", F.concat_ws(".", byte(ip["l"], 256), byte(ip["l"], 1), byte(ip["r"], 256), byte(ip["r"], 1)))
-        .when(kind == "card", _refilled(x, card))
-        .when(kind.isin("phone", "ssn"), _refilled(x, number))
+        .when(kind == "ip", ip)
+        .when(kind == "card", _refilled(x, _let(_digits(x), card)))
+        .when(kind.isin("phone", "ssn"), _refilled(x, _let(_digits(x), number)))
         .when(kind == "name", _name(x, salt))
         .otherwise(x)
     )
