@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Chunks whose ids a Python worker keeps (about 200 bytes each); later ones are encoded each time they occur.
-MEMO = 400_000
+MEMO = 1_200_000
 #: A lone space between two other characters: a match of the pattern starts there, whatever stands around it.
 BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
 SOLID = re.compile(r"\S+")
