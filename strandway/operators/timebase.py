@@ -89,8 +89,8 @@ def long_runs(df: DataFrame, keys: list[str], order: list[str], flag: Column, le
     """longest: the longest run of rows in which ``flag`` holds, and whether it has ``least`` rows."""
     w = W.partitionBy(*keys).orderBy(*order)
     islands = df.withColumn("_f", F.coalesce(flag, F.lit(False))).withColumn("_i", F.row_number().over(w) - F.row_number().over(W.partitionBy(*keys, "_f").orderBy(*order)))
-    runs = islands.groupBy(*keys, "_i", "_f").agg(F.count_if("_f").alias("k"))
-    return runs.groupBy(*keys).agg(F.max("k").alias("longest")).withColumn("detected", F.col("longest") >= least)
+    runs = islands.groupBy(*keys, "_i", "_f").agg(F.count_if("_f").alias("_k"))
+    return runs.groupBy(*keys).agg(F.max("_k").alias("longest")).withColumn("detected", F.col("longest") >= least)
 
 
 def nearest_match(left: DataFrame, right: DataFrame, key: str, at: str, tolerance: int, payload: str) -> DataFrame:

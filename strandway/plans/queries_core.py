@@ -122,13 +122,13 @@ def e22(spark, sf_dir):
     r AS (SELECT user_id, event_id AS match, epoch_us(ts) AS match_at FROM events WHERE event_type = 'view'),
     p AS (SELECT l.*, match, match_at, row_number() OVER (PARTITION BY l.event_id ORDER BY abs(match_at - t), match_at, match) AS k
           FROM l LEFT JOIN r ON l.user_id = r.user_id AND abs(match_at - t) <= 43200000000)
-    SELECT user_id, event_id, t, match, match_at FROM p WHERE k = 1""",
+    SELECT user_id, event_id, t, coalesce(match, -1) AS match, coalesce(match_at, -1) AS match_at FROM p WHERE k = 1""",
 )
 def c2(spark, sf_dir):
     e = frames(spark, sf_dir).select("user_id", "event_id", "event_type", "t")
     left, right = (e.where(F.col("event_type") == k).drop("event_type") for k in ("purchase", "view"))
     found = tb.nearest_match(left, right.withColumnRenamed("event_id", "id"), "user_id", "t", 43_200_000_000, "id")
-    return found.select("user_id", "event_id", "t", "match", "match_at")
+    return found.fillna(-1, ["match", "match_at"]).select("user_id", "event_id", "t", "match", "match_at")
 
 
 @query(
