@@ -194,7 +194,7 @@ def repeated_spans(docs: DataFrame, stage: Callable[[DataFrame, str], DataFrame]
 
     def texts(hot: bool) -> DataFrame:
         lists = wanted.where(F.col("hot") == hot).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "m")).alias("want"))
-        return rows.join(lists, "doc_id").select("doc_id", "text", "want")
+        return rows.join(lists.hint("merge"), "doc_id").select("doc_id", "text", "want")
 
     contents = texts(False).mapInArrow(_contents(window, single=False), "m long, doc_id long, start int, words binary")
     size = wanted.where("NOT hot").agg(F.sum(F.col("n") + window - 1)).first()[0] or 0
@@ -222,7 +222,7 @@ def remove_repeats(docs: DataFrame, stage: Callable[[DataFrame, str], DataFrame]
     given = docs.select(*[c for c in docs.columns if c not in new]).withColumn(text_col, F.col(text_col).cast("string"))
     names = given.columns
     coded = [f"c{i}" for i in range(len(names))]
-    joined = given.join(own, F.col(id_col).cast("long") == F.col("_key"), "left").select(*[F.col(f"`{c}`").alias(k) for c, k in zip(names, coded, strict=True)], "_spans")
+    joined = given.join(own.hint("merge"), F.col(id_col).cast("long") == F.col("_key"), "left").select(*[F.col(f"`{c}`").alias(k) for c, k in zip(names, coded, strict=True)], "_spans")
     kinds = dict(given.dtypes)
     schema = ", ".join(f"{k} {kinds[c]}" for c, k in zip(names, coded, strict=True)) + ", _n_words long, _n_removed long, _kept_sha256 string"
     out = joined.mapInArrow(_cleaned(coded, names.index(text_col)), schema)

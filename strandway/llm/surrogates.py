@@ -20,7 +20,7 @@ EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IPV4 = rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d(-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"
+PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}|\d(?: \d{2}){4})(?!\d)|(?<![\d(-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"
 CARD = r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"
 MALE = "Mr|Mister|Herr|Señor|Monsieur|Господин|Κύριος"
 FEMALE = "Mrs|Ms|Miss|Frau|Señora|Madame|Госпожа|Κυρία"
