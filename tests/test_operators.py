@@ -1,6 +1,11 @@
+import itertools
+import math
+import random
+
 from pyspark.sql import functions as F
 
-from strandway.operators import selection, statistics, timebase
+from strandway.functions import rotations
+from strandway.operators import inference, mixing, retrieval, selection, statistics, timebase
 
 
 def test_gaps_open_segments_on_leaps_and_rollbacks(spark):
@@ -39,3 +44,45 @@ def test_diverse_top_takes_one_of_each_family(spark):
     df = spark.createDataFrame([("q", "a", 9), ("q", "a", 8), ("q", "b", 7), ("q", "c", 1)], "q string, f string, s int")
     got = selection.diverse_top(df, ["q"], "f", [F.desc("s")], 2).orderBy("rank").collect()
     assert [(r.f, r.s) for r in got] == [("a", 9), ("b", 7)]
+
+
+def test_nearest_scalars_match_brute_force(spark):
+    rng = random.Random(2)
+    at = lambda n: [(i, rng.choice("abc"), rng.choice([0.0, 0.1, 0.2, 0.5, 0.5, 1.0, rng.random()])) for i in range(n)]
+    q, p = at(40), [x for x in at(90) if x[1] != "c"]
+    frame = lambda rows, name: spark.createDataFrame([*rows, (999, "a", None), (998, None, 0.5)], f"{name} int, k string, x double")
+    got = sorted((r.q, r["rank"], r.p) for r in retrieval.nearest_scalars(frame(q, "q"), frame(p, "p"), "k", "q", "p", "x", 4).collect())
+    want = [(i, n + 1, c) for i, k, x in q for n, (_, c) in enumerate(sorted((abs(y - x), j) for j, l, y in p if l == k)[:4])]
+    assert got == sorted(want)
+
+
+def test_own_angle_stands_alone(spark):
+    pools = spark.createDataFrame([(0,), (30,), (-30,), (180,)], "pool int")
+    q = spark.createDataFrame([(1, 0.2), (2, 350.0), (3, 100.0)], "q int, a double")
+    got = sorted((r.q, r["rank"], r.pool) for r in retrieval.angular_pools(q, pools, "q", "a", "pool", 2).collect())
+    assert got == [(1, 1, 0), (2, 1, 0), (2, 2, -30), (3, 1, 30), (3, 2, 180)]
+
+
+def test_sign_flips_are_enumerated(spark):
+    rows = [(i, float(d)) for i, d in enumerate([-3, 1, -2, 0, 5])]
+    got = inference.sign_flip_p(spark.createDataFrame([("f", *r) for r in rows], "f string, u int, d double"), ["f"], "u", "d").first().p
+    seen = sum(d for _, d in rows)
+    assert got == sum(sum(s * d for s, (_, d) in zip(signs, rows, strict=True)) <= seen for signs in itertools.product((1, -1), repeat=5)) / 32
+
+
+def test_aligned_plans_start_at_the_anchor(spark):
+    turn = [0.0, -1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0]
+    df = spark.createDataFrame([([1.0, 2.0, 3.0, *turn], [9.0, 8.0, 7.0, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0])], "first array<double>, anchor array<double>")
+    got = df.select(rotations.aligned(F.col("first"), F.col("first"), F.col("anchor")).alias("x"), rotations.geodesic(F.slice("first", 4, 9), F.slice("anchor", 4, 9)).alias("r")).first()
+    assert got.x == df.first().anchor and abs(got.r - math.pi / 2) < 1e-12
+
+
+def test_quaternions_and_six_numbers_make_the_same_matrix(spark):
+    df = spark.createDataFrame([([0.0, 0.0, 3.0, 3.0],)], "q array<double>").withColumn("m", rotations.matrix_of_quaternion(F.col("q")))
+    got = df.select("m", rotations.matrix_of_6d(rotations.six_of_matrix(F.col("m"))).alias("n")).first()
+    assert all(abs(a - b) < 1e-12 for a, b in zip(got.m, got.n, strict=True)) and abs(got.m[3] - 1) < 1e-12
+
+
+def test_rank_without_rows_overflows(spark):
+    got = spark.range(3).select(*[x.alias(k) for k, x in mixing.rank_range(F.lit(2), 3, F.col("id")).items()]).collect()
+    assert [tuple(r) for r in got] == [(0, 1, False), (1, 2, False), (0, 1, True)]
