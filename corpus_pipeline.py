@@ -67,8 +67,7 @@ STAGES = [
     ("personal data", private_data),
     ("packing", pack_sequences),
 ]
-#: Near-duplicate components, an FM-index and a tokenizer have no SQL form. Tests hold most of the operators against
-#: brute force; a brute-force test of run() as a whole is still to be written.
+#: Near-duplicate components, an FM-index and a tokenizer have no SQL form; a test holds run() against brute force.
 ORACLE_SQL = None
 
 
