@@ -24,6 +24,11 @@ def unit(a: Column) -> Column:
     return F.when(n > 1e-12, F.transform(a, lambda x: x.cast("double") / n))
 
 
+def combined(a: Column, b: Column) -> Column:
+    """Both unit vectors end to end, at length one; null where either is null or has almost no length."""
+    return F.transform(F.concat(unit(a), unit(b)), lambda x: x / F.sqrt(F.lit(2.0)))
+
+
 def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - dot(a, b) / (norm(a) * norm(b))
 

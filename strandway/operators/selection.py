@@ -41,3 +41,8 @@ def evenly_spaced(df: DataFrame, group: list[str], order: list[str], count: int)
     d = df.withColumns({"_r": F.row_number().over(w.orderBy(*order)) - 1, "_n": F.count("*").over(w)})
     at = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.rint(i * (F.col("_n") - 1) / (count - 1)).cast("long")) if count > 1 else F.array(F.rint((F.col("_n") - 1) / 2).cast("long"))
     return d.where(F.array_contains(at, F.col("_r").cast("long"))).drop("_r", "_n")
+
+
+def seeded_sample(df: DataFrame, group: list[str], key: str, seed: str, count: int) -> DataFrame:
+    """``count`` rows of each group without replacement: those that come first in the seeded order."""
+    return top_k(df, group, [hash_order(seed, F.col(key)), F.col(key)], count)

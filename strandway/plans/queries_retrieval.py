@@ -9,6 +9,7 @@ from strandway.functions import rotations as rot
 from strandway.functions import vectors as vec
 from strandway.operators import inference, mixing
 from strandway.operators import retrieval as ret
+from strandway.operators import selection as sel
 from strandway.operators import timebase as tb
 from strandway.plans.catalog import query
 from strandway.plans.queries_core import FRAMES, KEYS, ORDER, frames, in_segments, rounded, table
@@ -165,8 +166,8 @@ def h11(spark, sf_dir):
     return e.select("vec_id", rounded(rot.geodesic(F.col("a"), F.col("b"))).alias("radians"))
 
 
-@query("h5_cosine_distance", "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings) SELECT vec_id, round(1 - list_cosine_similarity(e[1:32], e[33:64]), 6) AS distance FROM v")
-def h5(spark, sf_dir):
+@query("h3_cosine_distance", "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings) SELECT vec_id, round(1 - list_cosine_similarity(e[1:32], e[33:64]), 6) AS distance FROM v")
+def h3(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     return e.select("vec_id", rounded(vec.cosine_distance(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32))).alias("distance"))
 
@@ -226,3 +227,22 @@ def j15(spark, sf_dir):
 )
 def l4(spark, sf_dir):
     return frames(spark, sf_dir).select("event_id", rounded(F.avg("value").over(W.partitionBy(*KEYS).orderBy(*ORDER).rowsBetween(-7, 0))).alias("mean"))
+
+
+@query(
+    "h6_combined_feature",
+    """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), p AS (SELECT vec_id, e[1:32] AS a, e[33:64] AS b FROM v)
+    SELECT vec_id, round(a[1] / sqrt(list_dot_product(a, a)) / sqrt(2), 6) AS first, round(b[32] / sqrt(list_dot_product(b, b)) / sqrt(2), 6) AS last FROM p""",
+)
+def h6(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", vec.combined(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32)).alias("c"))
+    return e.select("vec_id", rounded(F.element_at("c", 1)).alias("first"), rounded(F.element_at("c", -1)).alias("last"))
+
+
+@query(
+    "j18_seeded_control_group",
+    """WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY sha256('7:' || o_orderkey), o_orderkey) AS k FROM orders)
+    SELECT o_custkey, o_orderkey, CAST(k AS INT) AS rank FROM r WHERE k <= 3""",
+)
+def j18(spark, sf_dir):
+    return sel.seeded_sample(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderkey", "7", 3).select("o_custkey", "o_orderkey", "rank")
