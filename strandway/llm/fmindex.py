@@ -1,7 +1,7 @@
 """A compressed FM-index over a sequence of small integers: wavelet matrix of packed bits, backward search.
 
-Suffixes are sorted by their first ``DEPTH`` symbols, which is all that patterns of up to that length need. Searches
-run for many patterns at once.
+Suffixes are sorted by their first ``depth`` symbols, which is all that patterns of up to that length need; longer ones
+are refused, as their intervals would hold other rows. Searches run for many patterns at once.
 """
 
 from __future__ import annotations
@@ -30,18 +30,19 @@ class Bits:
 
 
 class FMIndex:
-    """Index of ``text``, whose symbols are 0 (separators) to ``symbols`` - 1."""
+    """Index of ``text``, whose symbols are 0 (separators) to ``symbols`` - 1, for patterns of up to ``depth`` symbols."""
 
-    def __init__(self, text: np.ndarray, symbols: int) -> None:
+    def __init__(self, text: np.ndarray, symbols: int, depth: int = DEPTH) -> None:
         self.n = len(text)
         rank, step = text.astype(np.int64), 1
-        while step < DEPTH:
+        while step < max(depth, START):
             ahead = np.zeros(self.n, np.int64)
             ahead[:-step or None] = rank[step:] + 1 if step < self.n else 0
             rank = np.unique(rank * (self.n + symbols + 1) + ahead, return_inverse=True)[1]
             step *= 2
             if step == START:
                 short = rank
+        self.depth = step
         self.suffixes = np.argsort(rank, kind="stable")
         order = np.argsort(short, kind="stable")  # the same groups of START symbols, in the same places
         opens = np.concatenate([[0], np.flatnonzero(np.diff(short[order])) + 1, [self.n]])
@@ -72,6 +73,8 @@ class FMIndex:
     def repeated(self, text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, lo, hi) of those windows of the text that occur more than once: backward search from a table of the
         last START symbols' intervals, given up where only the window itself is left."""
+        if not START <= length <= self.depth:
+            raise ValueError(f"windows of {length} symbols in an index for {START} to {self.depth}")
         at = starts + length - START
         lo, hi = self.short_lo[at], self.short_hi[at]
         for _ in range(length - START):

@@ -113,7 +113,7 @@ def _searched(window: int):
         place = np.arange(at[-1]) - at[own]
         key = base[own] + place
         starts = np.flatnonzero(place + window <= sizes[own])
-        index = FMIndex(text, len(values) + 1)
+        index = FMIndex(text, len(values) + 1, window)
         start, lo, hi = index.repeated(text, starts, window)
         if len(start):
             order = np.argsort(lo, kind="stable")

@@ -85,6 +85,46 @@ def test_fm_index_finds_repeated_windows():
     assert {int(s): int(h - b) for s, b, h in zip(got, lo, hi, strict=True)} == {s: c for s, c in count.items() if c > 1}
 
 
+def without_repeats(rows, window):
+    """(words, words that earlier windows cover) of each document, by brute force."""
+    seen, want = set(), {}
+    for i, t in sorted(rows):
+        w, hit = t.split(), set()
+        for a in range(len(w) - window + 1):
+            key = tuple(w[a : a + window])
+            if key in seen:
+                hit.update(range(a, a + window))
+            seen.add(key)
+        want[i] = len(w), len(hit)
+    return want
+
+
+def test_windows_longer_than_the_default_depth(spark):
+    """Passages, cut off after 32 to 49 words or with one word changed, before, between and after whole copies."""
+    rng, rows, n = random.Random(11), [], 0
+    prose = lambda k: [f"w{rng.randrange(5000)}" for _ in range(k)]
+    for trial in range(60):
+        passage = prose(60)
+        cut, at = rng.randrange(33, 50), rng.randrange(60)
+        variants = [passage[:cut], passage[-cut:], [*passage[:at], "changed", *passage[at + 1 :]], passage, passage, passage]
+        rng.shuffle(variants)
+        for v in variants:
+            rows.append((n, " ".join(prose(rng.randrange(1, 60)) + v + prose(rng.randrange(1, 60)))))
+            n += 1
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), stage, window=50).collect()}
+    assert got == without_repeats(rows, 50)
+
+
+def test_fm_index_refuses_windows_over_its_depth():
+    import numpy as np
+
+    text = np.array([*range(1, 61), 0] * 2)
+    with pytest.raises(ValueError):
+        fmindex.FMIndex(text, 61).repeated(text, np.array([0]), 50)
+    start, lo, hi = fmindex.FMIndex(text, 61, 50).repeated(text, np.array([0, 61]), 50)
+    assert sorted(start) == [0, 61] and (hi - lo == 2).all()
+
+
 def test_secrets(spark):
     rows = [(1, 'é token = "abcdefgh1" x'), (2, "token:token:abcdefgh"), (3, "AKIAABCDEFGHIJKL and s3://host/x"), (4, None), (5, "f" * 40), (6, "client_id=me42 password: longsecret s3://host/x")]
     got = {r.doc_id: (r.base, r.spans) for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
