@@ -21,12 +21,15 @@ OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IPV4 = rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}|\d(?: \d{2}){4})(?!\d)|(?<![\d(-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"
-CARD = r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"
+#: Digits with single blanks or hyphens, as far as they go; groupings of card numbers; the longest number from a group on.
+RUN = r"(?<!\d)\d(?:[ -]?\d){12,}+"
+GROUPED = (r"\d{13,19}", r"\d{4}(?:[ -]\d{4}){3}[ -]\d{3}", r"\d{6}[ -]\d{13}", r"\d{4}(?:[ -]\d{4}){3}", r"\d{4}[ -]\d{6}[ -]\d{5}", r"\d{4}[ -]\d{6}[ -]\d{4}", r"\d{4}(?:[ -]\d{4}){2}[ -]\d")
+LOOSE = (r"\d(?:[ -]?\d){12,18}",)
 MALE = "Mr|Mister|Herr|Señor|Monsieur|Господин|Κύριος"
 FEMALE = "Mrs|Ms|Miss|Frau|Señora|Madame|Госпожа|Κυρία"
 NAME = rf"(?<![\p{{L}}\p{{M}}])(?:{MALE}|{FEMALE})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?"
 KINDS = ("email", "ip", "ssn", "phone", "card", "name")
-ANY = "|".join(f"(?:{p})" for p in (EMAIL, IPV4, SSN, CARD, PHONE, NAME))
+BEFORE, AFTER = ("|".join(f"(?:{p})" for p in ps) for ps in ((EMAIL, IPV4, SSN), (PHONE, NAME)))
 CARD_PREFIX = r"^(?:4|5[1-5]|2[2-7]|3[0-9]|6)"
 #: Script: consonants, vowels, endings of male and of female given names.
 SCRIPTS = {"Cyrillic": ("бвгдзклмнпрстфхч", "аеиоу", "ий", "ия"), "Greek": ("βγδζθκλμνπρστφχψ", "αειοω", "ος", "ία"), "Latin": ("bcdfghklmnprstvz", "aeiou", "on", "ia")}
@@ -129,7 +132,7 @@ def _name(x: Column, salt: Column) -> Column:
 
 
 def kind_of(x: Column) -> Column:
-    """The kind of a match of ``ANY``; null for digits that are no card number."""
+    """The kind of a match of ``pattern_for``."""
     return (
         F.when(x.contains("@"), "email")
         .when(x.rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$"), "ip")
@@ -179,8 +182,27 @@ def entity(x: Column, kind: Column) -> Column:
     return F.when(kind.isin("phone", "ssn", "card"), _digits(x)).otherwise(F.lower(x))
 
 
+def pattern_for(text: Column) -> Column:
+    """The pattern of all kinds, with those card numbers of the text that pass the check digit written out.
+
+    A number may start and end at any group of a run of digits, so one that fails keeps nothing from the numbers inside
+    or next to it. Card groupings go before phones, other groupings after them. From one group on, the longest valid
+    number of a card grouping is taken; of other groupings only the longest one of up to 19 digits is tried.
+    """
+    runs = hits(text, RUN)
+
+    def valid(forms: tuple[str, ...]) -> Column:
+        """Alternatives '|number|number', '' without any."""
+        starts = lambda run: F.concat(*[F.regexp_extract_all(run, F.lit(rf"(?<!\d)(?=({p})(?!\d))"), F.lit(1)) for p in forms])
+        numbers = F.array_sort(F.filter(F.array_distinct(F.flatten(F.transform(runs, starts))), is_card), lambda a, b: F.length(b) - F.length(a))
+        return F.when(F.size(numbers) > 0, F.concat(F.lit(r"|(?<!\d)(?=\d)(?:"), F.array_join(numbers, "|"), F.lit(r")(?!\d)"))).otherwise("")
+
+    written = F.concat(F.lit(BEFORE), valid(GROUPED), F.lit("|" + AFTER), valid(LOOSE))
+    return F.when(F.size(runs) > 0, written).otherwise(f"{BEFORE}|{AFTER}")
+
+
 def _found(docs: DataFrame, text_col: str) -> DataFrame:
-    return docs.withColumn("_hits", hits(F.col(text_col), ANY))
+    return docs.withColumn("_any", pattern_for(F.col(text_col))).withColumn("_hits", F.regexp_extract_all(F.col(text_col), F.col("_any"), F.lit(0)))
 
 
 def collisions(docs: DataFrame, key: str, nonce: int, text_col: str = "text") -> DataFrame:
@@ -211,11 +233,11 @@ def replace(docs: DataFrame, key: str, text_col: str = "text", nonce: int | None
     out = _found(docs.withColumn(text_col, text.cast("string")), text_col)
     out = out.withColumn("_typed", F.when(F.size("_hits") > 0, typed))
     new = F.transform("_typed", lambda t: F.when(t["kind"].isNull(), t["x"]).otherwise(surrogate(t["x"], t["kind"], key, nonce)))
-    pieces = F.zip_with(F.split(text, ANY, -1), new, lambda gap, s: F.concat(F.coalesce(gap, F.lit("")), F.coalesce(s, F.lit(""))))
+    pieces = F.zip_with(F.split(text, F.col("_any"), -1), new, lambda gap, s: F.concat(F.coalesce(gap, F.lit("")), F.coalesce(s, F.lit(""))))
     out = out.withColumn(text_col, F.when(F.col("_typed").isNotNull(), F.array_join(pieces, "")).otherwise(text))
 
     def count(kind: str) -> Column:
         return F.size(F.filter("_typed", lambda t: t["kind"] == kind)).cast("long")
 
     counts = {f"n_{k}": count(k) for k in KINDS}
-    return out.withColumns({c: F.when(F.col("_typed").isNotNull(), v).otherwise(0) for c, v in counts.items()}).drop("_hits", "_typed")
+    return out.withColumns({c: F.when(F.col("_typed").isNotNull(), v).otherwise(0) for c, v in counts.items()}).drop("_any", "_hits", "_typed")

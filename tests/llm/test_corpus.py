@@ -142,6 +142,35 @@ def test_surrogates(spark):
     assert got[3].text is None and got[4].text == rows[3][1]
 
 
+def test_numbers_next_to_other_digits(spark):
+    """(text, kinds, what must stay): a run of digits that is no card gives back the numbers inside it."""
+    card, phone = "4111 1111 1111 1111", "555 123 4567"
+    cases = [
+        (f"{card} 123", "card", " 123"),
+        (f"{card} 12/27", "card", " 12/27"),
+        (f"12 {card}", "card", "12 "),
+        (f"1234 12 {card}", "card", "1234 12 "),
+        ("12 41 1111 1111 1111 11", "card", "12 "),
+        (f"12 {card} 5500-0000-0000-0004 7", "card card", "12 "),
+        ("3782 822463 10005 1234", "card", " 1234"),
+        ("4111111111111111 123", "card", " 123"),
+        (f"{phone} 2024", "phone", " 2024"),
+        ("555-123-4567 555-765-4321", "phone phone", ""),
+        (f"{phone} {card}", "phone card", ""),
+        ("2024 123-45-6789", "ssn", "2024 "),
+        ("2024 1234 5678 10.0.0.1", "ip", "2024 1234 5678 "),
+        ("1234 5678 9012 555.123.4567", "phone", "1234 5678 9012 "),
+        ("1234 5678 9012 34@x.org", "email", "1234 5678 9012 "),
+        ("1234 5678 9012 3456 789 " * 9, "", "1234 5678 9012 3456 789 " * 9),
+        ("7 " * 20_000, "", "7 " * 20_000),
+    ]
+    got = {r.doc_id: r for r in surrogates.replace(spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "doc_id long, text string"), "k").collect()}
+    for i, (text, kinds, stays) in enumerate(cases):
+        assert {k: got[i][f"n_{k}"] for k in surrogates.KINDS} == {k: kinds.split().count(k) for k in surrogates.KINDS}, text
+        assert stays in got[i].text and (got[i].text == text) == (not kinds), text
+        assert not kinds or not re.search(r"4111|555.\d{3}.\d{4}", text) or card not in got[i].text and phone not in got[i].text, text
+
+
 def test_packing_holds_each_id_once(docs):
     import public_tokenizers
 
