@@ -54,6 +54,24 @@ def rank_thinned(queries: DataFrame, pool: DataFrame, key: str, query_id: str, p
     return found.withColumn("effective_k", F.count("*").over(W.partitionBy(query_id)))
 
 
+def rank_scalars(queries: DataFrame, pool: DataFrame, key: str, query_id: str, pool_id: str, at: str, digits: int, seed: str, k: int) -> DataFrame:
+    """The ``k`` rows of the whole pool nearest to each query in ``at`` rounded to ``digits``, and how many there are
+    (effective_k). Ties go by sha256 of 'seed:query:candidate', then by id.
+
+    The rounded distance of the k-th nearest row comes from nearest_scalars. Only rows within it join the query: those
+    tied at that distance all do, as nothing but their hashes tells which of them come first.
+    """
+    near = nearest_scalars(queries, pool, key, query_id, pool_id, at, k)
+    reach = near.groupBy(query_id).agg(F.max(F.round("distance", digits)).alias("_reach"))
+    q = queries.select(key, query_id, F.col(at).alias("_qat")).join(reach, query_id).alias("q")
+    p = pool.select(key, pool_id, F.col(at).alias("_at")).alias("p")
+    distance = F.round(F.abs(F.col("_at") - F.col("_qat")), digits)
+    pairs = q.join(p, (F.col(f"q.{key}") == F.col(f"p.{key}")) & (distance <= F.col("_reach"))).select(F.col(f"q.{key}"), query_id, pool_id, distance.alias("distance"))
+    tie = hash_order(seed, F.concat_ws(":", F.col(query_id).cast("string"), F.col(pool_id).cast("string")))
+    found = top_k(pairs, [query_id], [F.col("distance"), tie, F.col(pool_id)], k)
+    return found.withColumn("effective_k", F.count("*").over(W.partitionBy(query_id)))
+
+
 def padded(found: DataFrame, queries: DataFrame, query_id: str, pool_id: str, k: int) -> DataFrame:
     """query_id, rank, pool_id, masked: exactly ``k`` rows for each query; places without a match are masked."""
     places = queries.select(query_id).withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(k))))

@@ -65,6 +65,18 @@ def c12(spark, sf_dir):
     return ret.rank_thinned(q, pool, "user_id", "event_id", "match", F.round(F.abs(F.col("at") - F.col("phase")), 1), "20260711", 3).select("event_id", "match", "rank", "effective_k")
 
 
+# c12_hash_ranked_candidates over the whole pool.
+@query(
+    "c12_hash_ranked_whole_pool",
+    f"""WITH {PHASES}, x AS (SELECT event_id, match, round(abs(place - phase), 1) AS d FROM q JOIN v USING (user_id)),
+    y AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY d, sha256('20260711:' || event_id || ':' || match), match) AS rank FROM x)
+    SELECT event_id, match, CAST(rank AS INT) AS rank, count(*) OVER (PARTITION BY event_id) AS effective_k FROM y WHERE rank <= 3""",
+)
+def c12_whole(spark, sf_dir):
+    q, v = queries_and_pool(spark, sf_dir)
+    return ret.rank_scalars(q, v, "user_id", "event_id", "match", "phase", 1, "20260711", 3).select("event_id", "match", "rank", "effective_k")
+
+
 @query(
     "c13_padded_neighbours",
     f"""WITH {PHASES}, w AS (SELECT * FROM v WHERE user_id % 3 = 0), x AS (SELECT event_id, match, row_number() OVER (PARTITION BY event_id ORDER BY abs(place - phase), match) AS rank FROM q JOIN w USING (user_id))

@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import math
 import random
@@ -56,6 +57,20 @@ def test_nearest_scalars_match_brute_force(spark):
     assert got == sorted(want)
 
 
+def test_every_candidate_is_ranked(spark):
+    rng = random.Random(7)
+    q = [(i, rng.choice("ab"), rng.random()) for i in range(20)]
+    p = [(i, rng.choice("abc"), rng.random()) for i in range(120)]
+    tie = lambda i, j: hashlib.sha256(f"s:{i}:{j}".encode()).hexdigest()
+    want = []
+    for i, k, x in q:
+        best = sorted((round(abs(y - x), 1), tie(i, j), j) for j, l, y in p if l == k)[:3]
+        want += [(i, n + 1, j, 3) for n, (_, _, j) in enumerate(best)]
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} int, k string, x double")
+    got = retrieval.rank_scalars(frame(q, "q"), frame(p, "p"), "k", "q", "p", "x", 1, "s", 3).collect()
+    assert sorted((r.q, r["rank"], r.p, r.effective_k) for r in got) == sorted(want)
+
+
 def test_own_angle_stands_alone(spark):
     pools = spark.createDataFrame([(0,), (30,), (-30,), (180,)], "pool int")
     q = spark.createDataFrame([(1, 0.2), (2, 350.0), (3, 100.0)], "q int, a double")
