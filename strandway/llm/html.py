@@ -28,6 +28,14 @@ JUNK_NAMES = set(
     " footer gdpr header hidden legal login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion"
     " recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toast toolbar widget widgets".split()
 )
+#: Names that are never the article's, at any length, and words that go with a name without changing what it says.
+SURE_NAMES = set(
+    "ad ads adv advert adverts advertisement advertising adsense breadcrumb breadcrumbs comments cookie cookies disqus gdpr login modal nav navbar newsletter pager pagination"
+    " popup sidebar signup sponsor sponsored toolbar".split()
+)
+WITH_NAMES = set("area articles bar block box button buttons container form group icons inner left links list main media outer panel posts right section site stories top wrapper".split())
+#: Characters without blanks under which a part with a name of junk is taken for one.
+SHORT = 200
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 SCOPES = set("ul ol dl table article section div body td th form nav aside main".split())
 PARAGRAPHS = set("p pre td blockquote li dd h1 h2 h3 h4 h5 h6".split())
@@ -108,7 +116,29 @@ def parse(html: str) -> list[Node]:
     return nodes
 
 
-def _is_junk(node: Node, inside: bool) -> bool:
+def _named(value: str, names: set[str], inside: bool) -> bool:
+    """Whether one of the space-separated names consists of ``names`` and words that go with them."""
+    for one in value.split():
+        parts = {x.lower() for x in NAME_PARTS.findall(one)} - WITH_NAMES
+        if parts and parts <= names and not (inside and "header" in parts):
+            return True
+    return False
+
+
+def _junk_name(node: Node, name: str, value: str, inside: bool, slight: bool) -> bool:
+    """Whether a class or id makes a part junk. In an article, headings and slugs such as related-work don't, and names
+    that a section may have make it junk where it is ``slight``. Elsewhere any part of a class does."""
+    block = node.tag not in PARAGRAPHS
+    if inside:
+        if node.tag in HEADINGS or not block and name == "id":
+            return False
+        return block and name == "class" and _named(value, SURE_NAMES, True) or slight and _named(value, JUNK_NAMES, True)
+    if name == "id" and not slight:
+        return block and _named(value, JUNK_NAMES, False)
+    return (block or name == "class") and not JUNK_NAMES.isdisjoint(x.lower() for x in NAME_PARTS.findall(value))
+
+
+def _is_junk(node: Node, inside: bool, slight: bool) -> bool:
     if node.tag in JUNK_TAGS or node.tag == "header" and not inside:
         return True
     if not node.attrs:
@@ -117,7 +147,7 @@ def _is_junk(node: Node, inside: bool) -> bool:
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if name == "role" and value in JUNK_ROLES or name in ("class", "id") and not JUNK_NAMES.isdisjoint(x.lower() for x in NAME_PARTS.findall(value)):
+        if name == "role" and value in JUNK_ROLES or name in ("class", "id") and _junk_name(node, name, value, inside, slight):
             return True
     return False
 
@@ -135,7 +165,7 @@ def _cut(nodes: list[Node]) -> None:
         within = inside[id(node)] = inside[id(node.parent)] or node.tag in ("article", "main")
         if node.parent.junk:
             node.junk = True
-        elif _is_junk(node, within):
+        elif _is_junk(node, within, whole[id(node)][0] < SHORT or 2 * whole[id(node)][1] > whole[id(node)][0]):
             chars, linked = whole[id(node)]
             node.junk = not (chars - linked > most and node.tag not in JUNK_TAGS)
         elif node.parent.tag == "header" and node.tag not in HEADINGS:

@@ -212,3 +212,19 @@ def test_main_text():
     text = html.main_text(page)
     assert text.startswith("Title This is paragraph 0") and "Nice" not in text and "Home" not in text and "var" not in text
     assert html.main_text("") == ""
+
+
+def test_slug_names_stay_in_the_article():
+    body = "".join(f"<p>This is paragraph {i}, with commas, and enough words to count as text of an article.</p>" for i in range(8))
+    long = "Earlier authors measured the same effect, with other tools, and came to results that agree with ours in most respects. " * 3
+    parts = [
+        f'<h1 class="article-header">Alpha</h1>{body}<section id="related-work"><h2>Beta</h2><p>{long}</p></section>',
+        f'<h2 id="social-impact">Gamma</h2><p class="article-header">Delta, in short.</p><section id="feedback"><p>Epsilon. {long}</p></section>',
+        '<div class="post-header"><h3 id="comments">Zeta</h3></div><div class="header"><h3>Eta</h3></div><p id="notice">Theta, as noted.</p>',
+        '<div class="share">Lost1</div><ul class="related-posts"><li><a href=x>Lost2, another article</a></li></ul><div id="related"><a href=x>Lost3</a></div>',
+        f'<div class="comments"><p>Lost4. {long}</p></div><p class="advertisement">Lost5</p>',
+    ]
+    text = html.main_text(f"<html><body><nav>Lost6</nav><article>{''.join(parts)}</article><div id=footer-links>Lost7</div></body></html>")
+    assert [x for x in "Alpha Beta Gamma Delta Epsilon Zeta Eta Theta".split() if x not in text] == [] and "Lost" not in text
+    plain = html.main_text(f"<html><body><div>{body}<h2 id='social-impact'>Gamma</h2><section id='legal-basis'><p>Delta. {long}</p></section></div><div class='site-footer'>Lost</div></body></html>")
+    assert "Gamma" in plain and "Delta" in plain and "Lost" not in plain
