@@ -9,7 +9,7 @@ still shares a key with probability over 0.9999999.
 Equal sets are one class, represented by its least id, before any key is made. No pairs are made from a key's group:
 all classes that are joined by keys, directly or through others, form a cell, large cells are split by set size and
 then into blocks, and each task compares one pair of blocks in memory. That happens twice: first on signatures alone
-(``POSITIONS`` of them, at most ``FAR`` different; 5e-7 of the pairs at 0.85 are over that), which are short and break
+(``POSITIONS`` of them, at most ``far`` different, which a pair at the threshold is over with probability under 1e-7), which are short and break
 cells up, then on the whole sets of each smaller cell. A task returns a spanning forest of the links it found, which
 keeps every link's components and is linear in the rows.
 """
@@ -30,7 +30,7 @@ from strandway.llm.components import components
 from strandway.llm.words import Words, mix, plain, slices
 
 POSITIONS, INDEXED, CHUNKS, ERRORS, BITS = 48, 32, 8, 1, 16
-FAR = 20
+FAR = 1e-7
 #: Classes in a block at least, and blocks that a cell is cut into until blocks reach LARGEST.
 BLOCK, BLOCKS, LARGEST = 256, 32, 8192
 _MULTIPLY = mix(np.arange(1, POSITIONS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -110,8 +110,17 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(ids, len(KEYS)))], ["key", "rep"])
 
 
+def far(percent: int) -> int:
+    """The least count of differing positions that a pair at a similarity of ``percent`` is over with probability under
+    FAR: 26 at 80, 22 at 85."""
+    p = 1 - percent / 100
+    over = lambda d: sum(math.comb(POSITIONS, i) * p**i * (1 - p) ** (POSITIONS - i) for i in range(d + 1, POSITIONS + 1))
+    return next(d for d in range(POSITIONS + 1) if over(d) < FAR)
+
+
 def _signed(percent: int):
     """Near signatures within a cell of one block, or between its two blocks and within those whose turn it is."""
+    most = far(percent)
 
     def link(table: pa.Table) -> pa.Table:
         sizes = table.column("n_shingles").to_numpy()
@@ -123,7 +132,7 @@ def _signed(percent: int):
         for a in range(len(ids) - 1):
             end = int(np.searchsorted(sizes, sizes[a] * 100 // percent, "right"))
             open_ = np.flatnonzero((root[a + 1 : end] != root[a]) & ((block[a + 1 : end] != block[a]) | turn[a])) + a + 1
-            near = open_[np.count_nonzero(signs[open_] != signs[a], axis=1) <= FAR]
+            near = open_[np.count_nonzero(signs[open_] != signs[a], axis=1) <= most]
             roots, first = np.unique(root[near], return_index=True)
             if len(roots):
                 found += [(ids[a], ids[b]) for b in near[first]]

@@ -228,3 +228,13 @@ def test_slug_names_stay_in_the_article():
     assert [x for x in "Alpha Beta Gamma Delta Epsilon Zeta Eta Theta".split() if x not in text] == [] and "Lost" not in text
     plain = html.main_text(f"<html><body><div>{body}<h2 id='social-impact'>Gamma</h2><section id='legal-basis'><p>Delta. {long}</p></section></div><div class='site-footer'>Lost</div></body></html>")
     assert "Gamma" in plain and "Delta" in plain and "Lost" not in plain
+
+
+def test_signature_bound_follows_the_threshold():
+    from fractions import Fraction
+    from math import comb
+
+    for percent, most in ((80, 26), (85, 22)):
+        p = Fraction(100 - percent, 100)
+        over = lambda d: sum(comb(48, i) * p**i * (1 - p) ** (48 - i) for i in range(d + 1, 49))  # noqa: B023, E731
+        assert neardup.far(percent) == most and over(most) < Fraction(1, 10**7) <= over(most - 1)
