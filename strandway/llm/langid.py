@@ -4,7 +4,7 @@ A word that the model knows counts with its log frequency in each language. A wo
 character n-grams: at each place the longest known one counts, from the longest order down to single characters.
 
 The model is fitted on a bounded sample: about ``SAMPLE`` labelled documents of each language, drawn by a hash of
-their id. It keeps the words, and for each order the n-grams, whose share of their language is at least ``LEAST``;
+their id; every value of lang is learned. It keeps the words, and for each order the n-grams, whose share of their language is at least ``LEAST``;
 so it holds at most 1 / LEAST entries for a language and order however large the corpus is, and can be broadcast.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from strandway.llm.words import plain
 
-SAMPLE, LANGUAGES, LEAST, ORDER = 3000, 500, 4e-6, 4
+SAMPLE, LEAST, ORDER = 3000, 4e-6, 4
 #: Words outside the model whose scores a Python worker keeps.
 MEMO = 200_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -39,7 +39,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.lit(True) if keep is None else keep)).select(
         F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
     )
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = rows.groupBy("lang").count().collect()
     if not sizes:
         return {"langs": [], "at": {}, "logs": np.zeros((0, 0), np.float32)}
     share = F.create_map(*[F.lit(x) for s in sizes for x in (s["lang"], min(1.0, SAMPLE / s["count"]))])

@@ -134,3 +134,8 @@ def test_pipeline(spark, tmp_path):
     assert got.groupby("doc_id").doc_tokens.first().to_dict() == want
     assert got.groupby("doc_id").length.sum().to_dict() == want
     assert (got.groupby("sequence_id").length.sum() <= 2048).all()
+
+
+def test_every_language_is_learned(spark):
+    docs = spark.createDataFrame([(i, f"l{i:03d}", f"word{chr(97 + i // 26)}{chr(97 + i % 26)} same") for i in range(520)], "doc_id long, lang string, text string")
+    assert langid.fit(docs)["langs"] == [f"l{i:03d}" for i in range(520)]
