@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandway.llm.matching import hits, placed
+from strandway.llm.matching import grouped, hits, near, placed
 
 SCOPE = 200
 # Patterns of each kind, strong kinds first.
@@ -24,10 +24,6 @@ ENDPOINT = r"""(?:https?|ftp|s3|jdbc:[a-z]+|postgres|postgresql|mysql|mongodb|re
 KINDS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "ident": IDENT, "blob": BLOB, "endpoint": ENDPOINT}
 
 
-def _near(x: Column, others: Column) -> Column:
-    return F.exists(others, lambda y: (y["start"] <= x["stop"] + SCOPE) & (x["start"] <= y["stop"] + SCOPE))
-
-
 def _listed(kinds: dict[str, Column]) -> Column:
     """kind:start:end by start, then kind as listed, joined by commas."""
 
@@ -52,13 +48,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             "blob": F.filter("blob", mixed),
         }
     )
-    out = out.withColumns({"_secrets": F.concat("assign", "hex", "blob"), "_idents": F.concat("access", "ident")})
+    out = out.withColumns({"secrets": grouped(F.concat("assign", "hex", "blob")), "idents": grouped(F.concat("access", "ident"))})
+    secret, ident = (lambda s: near(s, F.col("secrets"), SCOPE)), (lambda s: near(s, F.col("idents"), SCOPE))
     out = out.withColumns(
-        {
-            "ident": F.filter("ident", lambda s: _near(s, F.col("_secrets"))),
-            "blob": F.filter("blob", lambda s: _near(s, F.col("_idents"))),
-            "endpoint": F.filter("endpoint", lambda s: _near(s, F.col("_secrets")) & _near(s, F.col("_idents"))),
-        }
-    ).drop("_secrets", "_idents")
+        {"ident": F.filter("ident", secret), "blob": F.filter("blob", ident), "endpoint": F.filter("endpoint", lambda s: secret(s) & ident(s))}
+    ).drop("secrets", "idents")
     strong = {k: F.col(k) for k in ("assign", "access", "hex")}
     return out.withColumns({"base": _listed(strong), "spans": _listed({k: F.col(k) for k in KINDS})})
