@@ -1,13 +1,15 @@
 """Main text of HTML pages by tree scoring.
 
-Paragraphs pass points for length and commas to their ancestors, discounted by link density; the best container and
-its siblings of worth are kept. Before that, parts that are never the article (menus, adverts, forms and so on, by
-tag, role or class) are cut out of the tree.
+Paragraphs pass points for length and commas to their nearest ancestors, discounted by link density; the best container
+and its siblings of worth are kept. Before that, parts that are never the article are cut out of the tree: by tag, by
+role, by a class or id that says nothing else, or by one that has such a word where the part is short or mostly links.
+Longer parts whose name merely has such a word stay and only lose points. Work is linear in the length of a page.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -17,7 +19,8 @@ from pyspark.sql import functions as F
 
 from strandway.llm.words import plain
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>|<[!?/][^>]*+>", re.S)
+#: A tag ends at the next ">", or isn't one where a "<" outside quotes comes first; so broken markup costs linear time.
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^<>]*+)>|<[!?/][^<>]*+>", re.S)
 RAW = set("script style title textarea iframe noframes xmp template svg math object noscript select canvas audio video".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,24 +42,36 @@ SHORT = 200
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 SCOPES = set("ul ol dl table article section div body td th form nav aside main".split())
 PARAGRAPHS = set("p pre td blockquote li dd h1 h2 h3 h4 h5 h6".split())
+STOPS = SCOPES | PARAGRAPHS | set("dt tr th thead tbody".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "attrs", "items", "chars", "linked", "score", "junk")
+    __slots__ = ("tag", "parent", "stop", "attrs", "items", "chars", "linked", "score", "junk", "doubt")
 
     def __init__(self, tag: str, parent: Node | None, attrs: str) -> None:
         self.tag, self.parent, self.attrs = tag, parent, attrs
         self.items: list[str | Node] = []
-        self.chars, self.linked, self.score, self.junk = 0, 0, 0.0, False
+        self.chars, self.linked, self.score, self.junk, self.doubt = 0, 0, 0.0, False, False
+        #: The nearest element, itself included, that a search for an open paragraph or row looks at.
+        self.stop: Node = self if parent is None or tag in STOPS else parent.stop
 
 
 def parse(html: str) -> list[Node]:
     """Block elements in page order, the root first. Inline elements only mark which characters are linked."""
     root = Node("body", None, "")
     nodes, here, link, at = [root], root, None, 0
+    opened: Counter = Counter()  # open elements by tag, as a closing tag without one closes nothing
+
+    def back(to: Node) -> Node:
+        """Close elements up to ``to``, which stays open."""
+        up = here
+        while up is not to:
+            opened[up.tag] -= 1
+            up = up.parent
+        return to
 
     def text(piece: str) -> None:
         if piece:
@@ -76,17 +91,17 @@ def parse(html: str) -> list[Node]:
         if m[1]:
             if tag == "a":
                 link = None
-            elif tag not in INLINE and tag not in ("html", "body"):
+            elif tag not in INLINE and tag not in ("html", "body") and opened[tag] > 0:
                 up = here
                 while up is not root and up.tag != tag and not (tag == "p" and up.tag in SCOPES):
                     up = up.parent
                 if up is not root and up.tag == tag:
-                    here = up.parent
+                    here = back(up.parent)
                     link = None
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
             if not m[3].rstrip().endswith("/"):
+                end = re.compile(rf"</{re.escape(tag)}\b[^<>]*>", re.I).search(html, at)
                 at = end.end() if end else len(html)
             here.items.append(" ")
         elif tag == "a":
@@ -98,20 +113,22 @@ def parse(html: str) -> list[Node]:
             root.attrs = m[3]
         elif tag not in INLINE and tag != "html":
             if tag in CLOSES:
-                up = here
+                up = here.stop
                 while up is not root and up.tag not in CLOSES[tag] and up.tag not in SCOPES:
-                    up = up.parent
+                    up = up.parent.stop
                 while up.tag in CLOSES[tag]:
-                    here = up = up.parent
-            up = here
-            while up is not root and up.tag not in SCOPES and up.tag not in PARAGRAPHS - {"p"} | {"p"}:
-                up = up.parent
+                    here = back(up.parent)
+                    up = here
+            up = here.stop
+            while up is not root and up.tag not in SCOPES and up.tag not in PARAGRAPHS:
+                up = up.parent.stop
             if up.tag == "p" or (tag in HEADINGS and up.tag in HEADINGS):
-                here = up.parent
+                here = back(up.parent)
             here.items.append(child := Node(tag, here, m[3]))
             nodes.append(child)
             if not m[3].rstrip().endswith("/") or tag in PARAGRAPHS:
                 here = child
+                opened[tag] += 1
     text(html[at:])
     return nodes
 
@@ -126,16 +143,19 @@ def _named(value: str, names: set[str], inside: bool) -> bool:
 
 
 def _junk_name(node: Node, name: str, value: str, inside: bool, slight: bool) -> bool:
-    """Whether a class or id makes a part junk. In an article, headings and slugs such as related-work don't, and names
-    that a section may have make it junk where it is ``slight``. Elsewhere any part of a class does."""
+    """Whether a class or id makes a part junk: in an article where the whole name says so, outside it also where a
+    part of the name does and the part is ``slight``. Headings, and paragraphs by id, are never junk in an article."""
     block = node.tag not in PARAGRAPHS
     if inside:
         if node.tag in HEADINGS or not block and name == "id":
             return False
         return block and name == "class" and _named(value, SURE_NAMES, True) or slight and _named(value, JUNK_NAMES, True)
-    if name == "id" and not slight:
-        return block and _named(value, JUNK_NAMES, False)
-    return (block or name == "class") and not JUNK_NAMES.isdisjoint(x.lower() for x in NAME_PARTS.findall(value))
+    if (block or name == "class") and _named(value, JUNK_NAMES, False):
+        return True
+    if JUNK_NAMES.isdisjoint(x.lower() for x in NAME_PARTS.findall(value)):
+        return False
+    node.doubt = True
+    return slight and (block or name == "class")
 
 
 def _is_junk(node: Node, inside: bool, slight: bool) -> bool:
@@ -173,17 +193,21 @@ def _cut(nodes: list[Node]) -> None:
 
 
 def _score(nodes: list[Node]) -> None:
-    """Points go to the parent in full, to the grandparent by half, and on up by a third of the distance."""
+    """Points go to the parent in full, to the grandparent by half, and by a sixth to the one above; a part with a
+    doubtful name gives a quarter of its points."""
     kept = [x for x in nodes if not x.junk]
     for node in kept:
-        body = [x for x in node.items if isinstance(x, str)]
+        if node.parent is not None and node.parent.doubt:
+            node.doubt = True
         if node.chars and (node.tag in PARAGRAPHS or node.tag in ("div", "section", "article", "main", "body")):
-            points = (node.chars >= 25) + sum(x.count(",") for x in body) + min(node.chars / 100, 3) + 0.01
-            points *= 1 - node.linked / node.chars
-            up, level = (node.parent if node.tag in PARAGRAPHS else node), 0
-            while up is not None:
-                up.score += points / (1 if level == 0 else 2 if level == 1 else level * 3)
-                up, level = up.parent, level + 1
+            commas = sum(x.count(",") for x in node.items if isinstance(x, str))
+            points = (node.chars >= 25) + commas + min(node.chars / 100, 3) + 0.01
+            points *= (1 - node.linked / node.chars) * (0.25 if node.doubt else 1)
+            up = node.parent if node.tag in PARAGRAPHS else node
+            for part in (1, 1 / 2, 1 / 6):
+                if up is not None:
+                    up.score += points * part
+                    up = up.parent
     for node in reversed(kept[1:]):  # density of whole subtrees
         node.parent.chars += node.chars
         node.parent.linked += node.linked
@@ -231,7 +255,8 @@ def main_text(html: str) -> str:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars for every row. Null html is an empty page; repeated rows give repeated results."""
+    """page_id, url, text, n_chars for every row. Null html is an empty page; repeated rows and null ids give rows of
+    their own; other columns, whatever their names, don't matter; an empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
