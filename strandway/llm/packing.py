@@ -1,10 +1,10 @@
 """Sum-of-squares online packing of documents into token windows.
 
-A map over the texts gives one narrow row for each piece (a document, or a full window or the rest of a longer one).
-Pieces are dealt out by a hash of the document, and each task packs its own in order of (doc_id, start): a piece goes
-to the fill level whose change makes the sum of squared counts of partly filled windows least. Windows that end up
-partly filled are taken apart, and a second round, dealt to far fewer tasks, packs their pieces again; a task of that
-round gets what REPACK first-round tasks left over, which the window's length bounds.
+A map over the texts gives one narrow row for each piece (a document, or a full window or the rest of a longer one),
+which is written to the shared folder with a number. Pieces are dealt out by a hash of the number, so no key can be
+hot, to as many tasks as keep ``ROWS`` pieces each. A task packs its own in order of (doc_id, start): a piece goes to
+the fill level whose change makes the sum of squared counts of partly filled windows least. Windows that end up partly
+filled are taken apart, and a second round, again of ``ROWS`` pieces a task, packs their pieces again.
 """
 
 from __future__ import annotations
@@ -22,12 +22,17 @@ from pyspark.sql import functions as F
 from strandway.llm.tokens import chunk_memo
 from strandway.llm.words import plain
 
-REPACK = 64
+#: Pieces that a task packs and holds: 2**16 rows of eight numbers are 4 MB.
+ROWS = 1 << 16
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The pieces of every text: full windows of a longer document, then the rest."""
+    """The pieces of every text: full windows of a longer document, then the rest.
+
+    A null or empty text is the end id alone; null ids and repeated rows have pieces of their own; an empty table
+    gives none; other columns, whatever their names, don't matter.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, end = chunk_memo(tokenizer), np.array([end_id], "<u4").tobytes()
@@ -93,18 +98,20 @@ def _packed(window: int, round_: int):
     return pack
 
 
+def _dealt(rows: DataFrame, salt: int) -> DataFrame:
+    """The rows, which must be a staged table, in tasks of about ROWS, each in order."""
+    tasks = max(1, -(-rows.count() // ROWS))
+    return rows.repartition(tasks, F.xxhash64(F.lit(salt), "nth")).sortWithinPartitions("doc_id", "start", "ids_crc32", "nth").drop("nth")
+
+
 def pack(pieces_: DataFrame, window: int, stage) -> DataFrame:
     """sequence_id and offset for every piece. ``stage`` writes a DataFrame to the shared folder and reads it back.
 
     Equal rows are pieces of their own. No pieces give no rows. Sequence ids are unique, not dense.
     """
-    spark = pieces_.sparkSession
     schema = f"{PIECES}, offset long, open boolean, sequence_id long"
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["doc_id", "start", "ids_crc32"]
-    dealt = pieces_.repartition(parts, F.xxhash64("doc_id", F.floor(F.col("start") / (64 * window)))).sortWithinPartitions(*order)
-    first = stage(dealt.mapInPandas(_packed(window, 0), schema), "packed")
+    numbered = stage(pieces_.withColumn("nth", F.monotonically_increasing_id()), "pieces")
+    first = stage(_dealt(numbered, 0).mapInPandas(_packed(window, 0), schema).withColumn("nth", F.monotonically_increasing_id()), "packed")
     again = first.where("open").drop("open", "sequence_id", "offset")
-    fewer = max(1, -(-parts // REPACK))
-    second = again.repartition(fewer, F.xxhash64("doc_id")).sortWithinPartitions(*order).mapInPandas(_packed(window, 1), schema)
-    return first.where("not open").unionByName(second).drop("open")
+    second = _dealt(again, 1).mapInPandas(_packed(window, 1), schema)
+    return first.where("not open").drop("nth").unionByName(second).drop("open")

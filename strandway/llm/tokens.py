@@ -10,11 +10,15 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Chunks whose ids a Python worker keeps (about 200 bytes each); later ones are encoded each time they occur.
-MEMO = 1_200_000
+#: Bytes of chunks and their ids that a Python worker keeps; later ones are encoded each time they occur.
+MEMO = 240 << 20
+#: Of one entry, besides what its two strings hold.
+ENTRY = 110
 #: A lone space between two other characters: a match of the pattern starts there, whatever stands around it.
 BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
 SOLID = re.compile(r"\S+")
+#: White space other than the blank, which with one next to it makes a run that must not be cut.
+OTHER = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c != " ")
 
 
 @functools.lru_cache(maxsize=4)
@@ -41,11 +45,16 @@ def safe_pieces(text: str, limit: int) -> Iterator[str]:
     yield text[at:] if at else text
 
 
+def lone_spaces(text: str) -> bool:
+    """Whether every blank stands alone, so that a plain split finds the same places as ``BOUNDARY``."""
+    return "  " not in text and not any(c in text and (f" {c}" in text or f"{c} " in text) for c in OTHER)
+
+
 class ChunkMemo:
     """Ids of a text by a ``tokenizers`` file of a byte-level BPE, as little-endian unsigned 32-bit integers.
 
-    The text is cut before each lone space, where the pre-tokenizer cuts too, so its ids are those of its chunks in
-    a row. The first chunks a worker meets are kept with their ids, which covers the frequent ones; the others go
+    The text is cut before each blank that has no white space next to it, where the pre-tokenizer cuts too, so its ids
+    are those of its chunks in a row. The first chunks a worker meets are kept with their ids, which covers the frequent ones; the others go
     through the library together for each text.
     """
 
@@ -56,6 +65,7 @@ class ChunkMemo:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.memo: dict[str, bytes] = {}
+        self.room = MEMO
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that begin with a space
         self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
@@ -79,13 +89,15 @@ class ChunkMemo:
         return got
 
     def encode(self, text: str) -> bytes:
-        head, *chunks = BOUNDARY.split(text) if "  " in text else text.split(" ")
+        head, *chunks = text.split(" ") if lone_spaces(text) else BOUNDARY.split(text)
         memo = self.memo
         if new := [x for x in chunks if x not in memo]:
             new = list(dict.fromkeys(new))
             got = self._words(new)
-            if len(memo) < MEMO:
+            size = sum(map(len, got.values())) + sum(map(len, got)) * (1 if text.isascii() else 4) + ENTRY * len(got)
+            if size <= self.room:
                 memo.update(got)
+                self.room -= size
             else:
                 return self._encode([head])[0] + b"".join([memo.get(x) or got[x] for x in chunks])
         return self._encode([head])[0] + b"".join(map(memo.__getitem__, chunks))
