@@ -12,10 +12,13 @@ _own: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a fresh local folder only where that is unset, as in tests."""
+    """spark.checkpoint.dir. A fresh local folder stands in for it only where it is unset and the session is a local
+    one, as in tests; a cluster without it is an error, as its executors share no local folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="strandway-"))
     return _own[0]
@@ -41,3 +44,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     with released(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(*tables: DataFrame) -> None:
+    """Free the room of staged tables that no later phase reads: each is overwritten by an empty one. A table that
+    is still part of a result must not be cleared."""
+    for df in tables:
+        paths = {path.rsplit("/", 1)[0] for path in df.inputFiles()}
+        for path in paths:
+            df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)
