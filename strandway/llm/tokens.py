@@ -55,7 +55,7 @@ class ChunkMemo:
 
     The text is cut before each blank that has no white space next to it, where the pre-tokenizer cuts too, so its ids
     are those of its chunks in a row. The first chunks a worker meets are kept with their ids, which covers the frequent ones; the others go
-    through the library together for each text.
+    through the library together for each text. A text with one of the file's added tokens goes to the library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -63,7 +63,7 @@ class ChunkMemo:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [x.content for x in self.library.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
         self.room = MEMO
         vocabulary = self.library.get_vocab(with_added_tokens=True)
@@ -89,6 +89,8 @@ class ChunkMemo:
         return got
 
     def encode(self, text: str) -> bytes:
+        if any(x in text for x in self.added):  # what the file lists as added tokens is found across blanks
+            return self._encode([text])[0]
         head, *chunks = text.split(" ") if lone_spaces(text) else BOUNDARY.split(text)
         memo = self.memo
         if new := [x for x in chunks if x not in memo]:
