@@ -1,19 +1,25 @@
 """Personal data replaced by keyed surrogates, in DataFrame functions only.
 
-Numbers (phones, cards, IP addresses, social security numbers) go through a keyed Feistel network over their digits,
-which is a permutation: equal entities get equal surrogates everywhere, different ones different ones. Their format,
-leading digits and check digits hold. E-mail addresses and names after a form of address get surrogates from a keyed
-hash, in the same script, names with an ending of the gender that the address tells. As hashes may meet, a check over
-the whole corpus looks for two entities with one surrogate, or a surrogate that equals its entity; if there is any,
-the next nonce is taken for all.
+Numbers (phones, cards, IP addresses, social security numbers) are put in a secret order by a keyed Feistel network
+over their digits, and each gets the next one in that order. So equal entities get equal surrogates everywhere,
+different ones different ones, and none keeps its own. Their format, leading digits and check digits hold, as does the
+first part of an IP address, by which private ones stay private. E-mail addresses and names get surrogates from a
+keyed hash, names by part, in the same script, given names with an ending of the gender that the form of address or
+else the name's own ending tells. As hashes may meet, a check over the whole corpus looks for two addresses or name
+parts with one surrogate, or one that is its own; if there is any, the next nonce is taken for all.
+
+A name is found after a form of address or an introduction ("my name is"), and then wherever one of its words stands
+in the same text. Names in texts that introduce nobody are not found: that would take a trained model.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandway.llm.matching import hits
+from strandway.llm.matching import hits, let
 
 # Patterns of the kinds, in order of precedence.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
@@ -25,9 +31,13 @@ PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}|\d
 RUN = r"(?<!\d)\d(?:[ -]?\d){12,}+"
 GROUPED = (r"\d{13,19}", r"\d{4}(?:[ -]\d{4}){3}[ -]\d{3}", r"\d{6}[ -]\d{13}", r"\d{4}(?:[ -]\d{4}){3}", r"\d{4}[ -]\d{6}[ -]\d{5}", r"\d{4}[ -]\d{6}[ -]\d{4}", r"\d{4}(?:[ -]\d{4}){2}[ -]\d")
 LOOSE = (r"\d(?:[ -]?\d){12,18}",)
-MALE = "Mr|Mister|Herr|Señor|Monsieur|Господин|Κύριος"
-FEMALE = "Mrs|Ms|Miss|Frau|Señora|Madame|Госпожа|Κυρία"
-NAME = rf"(?<![\p{{L}}\p{{M}}])(?:{MALE}|{FEMALE})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?"
+MALE = "Mr|Mister|Sir|Lord|Herr|Hr|Señor|Sr|Monsieur|Signor|Господин|Г-н|Κύριος"
+FEMALE = "Mrs|Ms|Miss|Madam|Lady|Frau|Señora|Señorita|Sra|Srta|Madame|Mademoiselle|Mme|Mlle|Signora|Госпожа|Г-жа|Κυρία"
+EITHER = "Dr|Doctor|Doktor|Docteur|Prof|Professor|Professeur|Profesor|Profesora|Доктор|Профессор"
+INTRODUCED = "my name is|My name is|mein Name ist|Mein Name ist|ich heiße|Ich heiße|je m'appelle|Je m'appelle|mon nom est|Mon nom est|me llamo|Me llamo|mi nombre es|Mi nombre es|меня зовут|Меня зовут|με λένε|Με λένε|Full name:|full name:"
+TITLES = rf"(?:(?:{MALE}|{FEMALE}|{EITHER})\.? )"
+NAME_WORD = r"\p{Lu}(?:['’]\p{Lu})?[\p{L}\p{M}]+(?:['’-]\p{Lu}[\p{L}\p{M}]+)*"
+NAME = rf"(?<![\p{{L}}\p{{M}}]){TITLES}+{NAME_WORD}(?: {NAME_WORD})?|(?<=(?<![\p{{L}}\p{{M}}])(?:{INTRODUCED}) ){NAME_WORD}(?: {NAME_WORD})?"
 KINDS = ("email", "ip", "ssn", "phone", "card", "name")
 BEFORE, AFTER = ("|".join(f"(?:{p})" for p in ps) for ps in ((EMAIL, IPV4, SSN), (PHONE, NAME)))
 CARD_PREFIX = r"^(?:4|5[1-5]|2[2-7]|3[0-9]|6)"
@@ -36,29 +46,30 @@ SCRIPTS = {"Cyrillic": ("бвгдзклмнпрстфхч", "аеиоу", "ий"
 ROUNDS = 8
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _number(text: Column, modulus: Column) -> Column:
     """A number below the modulus from the hash of a text."""
     return F.pmod(F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long"), modulus)
 
 
 def _permuted(left: Column, right: Column, m_left: Column, m_right: Column, salt: Column) -> Column:
-    """A keyed permutation of the pairs below (m_left, m_right), by alternating Feistel rounds."""
-    step = F.sequence(F.lit(1), F.lit(ROUNDS))
+    """The next pair below (m_left, m_right) in a keyed order: alternating Feistel rounds give a pair's place, one is
+    added, and the rounds are taken back. That is a permutation which moves every pair."""
+
+    def turn(sign: int):
+        def step(s: Column, i: Column) -> Column:
+            even = i % 2 == 0
+            other = F.when(even, s["l"]).otherwise(s["r"])
+            own = F.when(even, s["r"]).otherwise(s["l"])
+            modulus = F.when(even, m_right).otherwise(m_left)
+            new = F.pmod(own + sign * _number(F.concat_ws("|", salt, i, other), modulus), modulus)
+            return F.struct(F.when(even, s["l"]).otherwise(new).alias("l"), F.when(even, new).otherwise(s["r"]).alias("r"))
 
-    def turn(s: Column, i: Column) -> Column:
-        even = i % 2 == 0
-        other = F.when(even, s["l"]).otherwise(s["r"])
-        own = F.when(even, s["r"]).otherwise(s["l"])
-        modulus = F.when(even, m_right).otherwise(m_left)
-        new = F.pmod(own + _number(F.concat_ws("|", salt, i, other), modulus), modulus)
-        return F.struct(F.when(even, s["l"]).otherwise(new).alias("l"), F.when(even, new).otherwise(s["r"]).alias("r"))
+        return step
 
-    return F.aggregate(step, F.struct(left.cast("long").alias("l"), right.cast("long").alias("r")), turn)
+    zero = F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"))
+    place = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), zero, turn(1))
+    after = let(place, lambda p: F.struct(F.pmod(p["l"] + F.when(p["r"] + 1 == m_right, 1).otherwise(0), m_left).alias("l"), F.pmod(p["r"] + 1, m_right).alias("r")))
+    return F.aggregate(F.sequence(F.lit(ROUNDS), F.lit(1)), after, turn(-1))
 
 
 def _digits(x: Column) -> Column:
@@ -74,7 +85,7 @@ def _permuted_digits(digits: Column, salt: Column) -> Column:
     n = F.length(digits)
     half = F.floor(n / 2).cast("int")
     pair = _permuted(F.substring(digits, F.lit(1), half).cast("long"), F.substring(digits, half + 1, n).cast("long"), _tens(half), _tens(n - half), F.concat_ws("|", salt, n))
-    return _let(pair, lambda p: F.concat(F.lpad(p["l"].cast("string"), half, "0"), F.lpad(p["r"].cast("string"), n - half, "0")))
+    return let(pair, lambda p: F.concat(F.lpad(p["l"].cast("string"), half, "0"), F.lpad(p["r"].cast("string"), n - half, "0")))
 
 
 def _refilled(x: Column, digits: Column) -> Column:
@@ -84,7 +95,7 @@ def _refilled(x: Column, digits: Column) -> Column:
         c = F.substring(x, i, F.lit(1))
         return F.when(c.rlike("[0-9]"), F.substring(own, F.length(_digits(F.substring(x, F.lit(1), i))), F.lit(1))).otherwise(c)
 
-    return _let(digits, lambda own: F.array_join(F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: at(own, i)), ""))
+    return let(digits, lambda own: F.array_join(F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: at(own, i)), ""))
 
 
 def _luhn(digits: Column) -> Column:
@@ -119,16 +130,57 @@ def _syllables(text: Column, n: int, consonants: Column, vowels: Column) -> Colu
     return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), one), "")
 
 
-def _name(x: Column, salt: Column) -> Column:
-    """The form of address stays; a given name gets the gender's ending, a surname eight syllables of the script."""
-    parts = F.split(x, " ")
-    script = lambda k: F.when(x.rlike(r"[А-Яа-я]{2}"), F.lit(SCRIPTS["Cyrillic"][k])).when(x.rlike(r"[Α-Ωα-ω]{2}"), F.lit(SCRIPTS["Greek"][k])).otherwise(F.lit(SCRIPTS["Latin"][k]))
-    female = parts[0].rlike(rf"^(?:{FEMALE})\.?$")
-    surname = F.element_at(parts, -1)
-    new = F.initcap(_syllables(F.concat_ws("|", salt, F.lit("surname"), F.lower(surname)), 8, script(0), script(1)))
-    given = F.concat_ws("|", salt, F.lit("given"), female.cast("string"), F.lower(parts[1]))
-    first = F.concat(F.initcap(_syllables(given, 5, script(0), script(1))), F.substring(script(0), _number(given, F.lit(16)).cast("int") + 1, F.lit(1)), F.when(female, script(3)).otherwise(script(2)))
-    return F.when(F.size(parts) > 2, F.concat_ws(" ", parts[0], first, new)).otherwise(F.concat_ws(" ", parts[0], new))
+def _script(x: Column, k: int) -> Column:
+    return F.when(x.rlike(r"[А-Яа-я]{2}"), F.lit(SCRIPTS["Cyrillic"][k])).when(x.rlike(r"[Α-Ωα-ω]{2}"), F.lit(SCRIPTS["Greek"][k])).otherwise(F.lit(SCRIPTS["Latin"][k]))
+
+
+def _surname(x: Column, salt: Column) -> Column:
+    """Eight syllables of the script."""
+    return F.initcap(_syllables(F.concat_ws("|", salt, F.lit("surname"), F.lower(x)), 8, _script(x, 0), _script(x, 1)))
+
+
+def _given(x: Column, female: Column, salt: Column) -> Column:
+    """Five syllables of the script with the gender's ending."""
+    seed = F.concat_ws("|", salt, F.lit("given"), female.cast("string"), F.lower(x))
+    return F.concat(F.initcap(_syllables(seed, 5, _script(x, 0), _script(x, 1))), F.substring(_script(x, 0), _number(seed, F.lit(16)).cast("int") + 1, F.lit(1)), F.when(female, _script(x, 3)).otherwise(_script(x, 2)))
+
+
+def _mail(low: Column, salt: Column) -> Column:
+    domain = F.substring_index(low, "@", -1)
+    return F.concat(_letters(F.concat_ws("|", salt, F.lit("email"), low), 16), F.lit("@"), _letters(F.concat_ws("|", salt, F.lit("domain"), domain), 12), F.lit(".example."), F.substring_index(domain, ".", -1))
+
+
+def people(text: Column) -> Column:
+    """given (null with a form of address and one word), surname (null with an introduction and one word) and female of
+    each mention that the pattern of names finds in a text."""
+
+    def one(x: Column) -> Column:
+        title, words = F.regexp_extract(x, f"^{TITLES}*", 0), F.split(F.regexp_replace(x, f"^{TITLES}+", ""), " ")
+        two = F.size(words) > 1
+        given = F.when(two | (title == ""), words[0])
+        female = F.when(title.rlike(rf"(?:^| )(?:{FEMALE})\.? "), True).when(title.rlike(rf"(?:^| )(?:{MALE})\.? "), False).otherwise(given.rlike("[aаяαη]$"))
+        return F.struct(given.alias("given"), F.when(two | (title != ""), F.element_at(words, -1)).alias("surname"), female.alias("female"), (title == "").alias("bare"))
+
+    return F.transform(hits(text, NAME), one)
+
+
+def _female(x: Column, known: Column) -> Column:
+    """The gender of a given name: of the text's mentions of it, one with a form of address goes first."""
+    own = F.filter(known, lambda p: p["given"] == x)
+    titled = F.filter(own, lambda p: ~p["bare"])
+    return F.coalesce(F.try_element_at(titled, F.lit(1))["female"], F.try_element_at(own, F.lit(1))["female"], x.rlike("[aаяαη]$"))
+
+
+def _name(x: Column, salt: Column, known: Column) -> Column:
+    """The form of address stays; of one word alone it is a given name where the text has it as one."""
+
+    def made(parts: Column) -> Column:
+        first, title = parts["words"][0], parts["title"]
+        given = lambda w: _given(w, _female(w, known), salt)
+        alone = F.when((title == "") & F.exists(known, lambda p: p["given"] == first), given(first)).otherwise(_surname(first, salt))
+        return F.concat(title, F.when(F.size(parts["words"]) > 1, F.concat_ws(" ", given(first), _surname(F.element_at(parts["words"], -1), salt))).otherwise(alone))
+
+    return let(F.struct(F.regexp_extract(x, f"^{TITLES}*", 0).alias("title"), F.split(F.regexp_replace(x, f"^{TITLES}+", ""), " ").alias("words")), made)
 
 
 def kind_of(x: Column) -> Column:
@@ -143,14 +195,19 @@ def kind_of(x: Column) -> Column:
     )
 
 
-def surrogate(x: Column, kind: Column, key: str, nonce: int) -> Column:
+def surrogate(x: Column, kind: Column, key: str, nonce: int, known: Column) -> Column:
+    """The surrogate of a mention, given the ``people`` of its text."""
     salt = F.lit(f"{key}|{nonce}")
     octets = F.split(x, r"\.")
     of = lambda i: octets[i].cast("long")
-    word = F.lit(65536).cast("long")
-    pair = _permuted(of(0) * 256 + of(1), of(2) * 256 + of(3), word, word, F.concat_ws("|", salt, F.lit("ip")))
-    byte = lambda v, shift: F.pmod(F.floor(v / shift), F.lit(256)).cast("string")
-    ip = _let(pair, lambda p: F.concat_ws(".", byte(p["l"], 256), byte(p["l"], 1), byte(p["r"], 256), byte(p["r"], 1)))
+    byte = F.lit(256).cast("long")
+    # 127 and 10 are private by their first number, 172.16, 192.168 and 169.254 by the second too
+    two = octets[0].isin("172", "192", "169")
+    near = _permuted(of(2), of(3), byte, byte, F.concat_ws("|", salt, F.lit("ip"), octets[0], octets[1]))
+    far = _permuted(of(1), of(2) * 256 + of(3), byte, byte * 256, F.concat_ws("|", salt, F.lit("ip"), octets[0]))
+    ip = F.when(two, let(near, lambda p: F.concat_ws(".", octets[0], octets[1], p["l"], p["r"]))).otherwise(
+        let(far, lambda p: F.concat_ws(".", octets[0], p["l"], F.floor(p["r"] / 256), F.pmod(p["r"], byte)))
+    )
 
     def number(digits: Column) -> Column:
         keep = F.greatest(F.length(digits) - 9, F.lit(1))
@@ -160,30 +217,21 @@ def surrogate(x: Column, kind: Column, key: str, nonce: int) -> Column:
     def card(digits: Column) -> Column:
         prefix, middle = F.substring(digits, F.lit(1), F.lit(4)), F.substring(digits, F.lit(5), F.length(digits) - 5)
         body = F.concat(prefix, _permuted_digits(middle, F.concat_ws("|", salt, F.lit("card"), prefix)))
-        return _let(body, lambda b: F.concat(b, F.pmod(10 - _luhn(b), F.lit(10)).cast("string")))
+        return let(body, lambda b: F.concat(b, F.pmod(10 - _luhn(b), F.lit(10)).cast("string")))
 
-    low = F.lower(x)
-    domain = F.substring_index(low, "@", -1)
-    mail = F.concat(
-        _letters(F.concat_ws("|", salt, F.lit("email"), low), 16), F.lit("@"), _letters(F.concat_ws("|", salt, F.lit("domain"), domain), 12), F.lit(".example."), F.substring_index(domain, ".", -1)
-    )
     return (
-        F.when(kind == "email", mail)
+        F.when(kind == "email", _mail(F.lower(x), salt))
         .when(kind == "ip", ip)
-        .when(kind == "card", _refilled(x, _let(_digits(x), card)))
-        .when(kind.isin("phone", "ssn"), _refilled(x, _let(_digits(x), number)))
-        .when(kind == "name", _name(x, salt))
+        .when(kind == "card", _refilled(x, let(_digits(x), card)))
+        .when(kind.isin("phone", "ssn"), _refilled(x, let(_digits(x), number)))
+        .when(kind == "name", _name(x, salt, known))
         .otherwise(x)
     )
 
 
-def entity(x: Column, kind: Column) -> Column:
-    """What makes two mentions the same entity: numbers by their digits, addresses and names without case."""
-    return F.when(kind.isin("phone", "ssn", "card"), _digits(x)).otherwise(F.lower(x))
-
-
-def pattern_for(text: Column) -> Column:
-    """The pattern of all kinds, with those card numbers of the text that pass the check digit written out.
+def pattern_for(text: Column, known: Column) -> Column:
+    """The pattern of all kinds, with those card numbers of the text that pass the check digit and the words of its
+    known names written out.
 
     A number may start and end at any group of a run of digits, so one that fails keeps nothing from the numbers inside
     or next to it. Card groupings go before phones, other groupings after them. From one group on, the longest valid
@@ -197,47 +245,61 @@ def pattern_for(text: Column) -> Column:
         numbers = F.array_sort(F.filter(F.array_distinct(F.flatten(F.transform(runs, starts))), is_card), lambda a, b: F.length(b) - F.length(a))
         return F.when(F.size(numbers) > 0, F.concat(F.lit(r"|(?<!\d)(?=\d)(?:"), F.array_join(numbers, "|"), F.lit(r")(?!\d)"))).otherwise("")
 
-    written = F.concat(F.lit(BEFORE), valid(GROUPED), F.lit("|" + AFTER), valid(LOOSE))
-    return F.when(F.size(runs) > 0, written).otherwise(f"{BEFORE}|{AFTER}")
-
-
-def _found(docs: DataFrame, text_col: str) -> DataFrame:
-    return docs.withColumn("_any", pattern_for(F.col(text_col))).withColumn("_hits", F.regexp_extract_all(F.col(text_col), F.col("_any"), F.lit(0)))
+    words = F.array_distinct(F.flatten(F.transform(known, lambda p: F.array(F.concat_ws(" ", p["given"], p["surname"]), p["given"], p["surname"]))))
+    longest = F.array_sort(F.filter(words, lambda w: F.length(w) > 1), lambda a, b: F.length(b) - F.length(a))
+    names = F.when(F.size(known) > 0, F.concat(F.lit(r"|(?<![\p{L}\p{M}])(?:"), F.array_join(longest, "|"), F.lit(r")(?![\p{L}\p{M}])"))).otherwise("")
+    cards = F.size(runs) > 0
+    return F.concat(F.lit(BEFORE), F.when(cards, valid(GROUPED)).otherwise(""), F.lit("|" + AFTER), F.when(cards, valid(LOOSE)).otherwise(""), names)
 
 
 def collisions(docs: DataFrame, key: str, nonce: int, text_col: str = "text") -> DataFrame:
-    """kind, surrogate: surrogates of two different entities, or equal to their own entity."""
-    mentions = _found(docs.select(F.col(text_col).cast("string").alias(text_col)), text_col).select(F.explode("_hits").alias("x")).groupBy("x").count()
-    typed = mentions.withColumn("kind", kind_of(F.col("x"))).where("kind IS NOT NULL")
-    made = typed.select("kind", entity(F.col("x"), F.col("kind")).alias("entity"), entity(surrogate(F.col("x"), F.col("kind"), key, nonce), F.col("kind")).alias("surrogate"))
+    """kind, surrogate: surrogates of two different addresses or name parts, or equal to their own. Numbers need no
+    check, as theirs are a permutation."""
+    salt = F.lit(f"{key}|{nonce}")
+    text = F.col(text_col).cast("string")
+    thing = lambda kind, entity, made: F.struct(F.lit(kind).alias("kind"), entity.alias("entity"), made.alias("surrogate"))
+    mails = F.transform(F.when(text.contains("@"), hits(text, EMAIL)), lambda x: thing("email", F.lower(x), _mail(F.lower(x), salt)))
+    names = F.flatten(
+        F.transform(
+            people(text),
+            lambda p: F.array(
+                thing("surname", F.lower(p["surname"]), F.lower(_surname(p["surname"], salt))),
+                thing("given", F.concat_ws("|", F.lower(p["given"]), p["female"].cast("string")), F.concat_ws("|", F.lower(_given(p["given"], p["female"], salt)), p["female"].cast("string"))),
+            ),
+        )
+    )
+    empty = F.expr("CAST(array() AS array<struct<kind:string,entity:string,surrogate:string>>)")
+    made = docs.select(F.explode(F.concat(F.coalesce(mails, empty), F.coalesce(names, empty))).alias("x")).select("x.*").where("surrogate IS NOT NULL")
     return made.groupBy("kind", "surrogate").agg(F.min("entity").alias("a"), F.max("entity").alias("b")).where("a <> b OR a = surrogate").select("kind", "surrogate")
 
 
-def nonce_for(docs: DataFrame, key: str, text_col: str = "text", tries: int = 20) -> int:
-    """The first nonce whose surrogates are all distinct over the corpus."""
-    for nonce in range(tries):
-        if collisions(docs, key, nonce, text_col).isEmpty():
-            return nonce
-    raise ValueError(f"no collision-free surrogates in {tries} tries; give another key")
+def nonce_for(docs: DataFrame, key: str, text_col: str = "text") -> int:
+    """The first nonce whose surrogates are all distinct over the corpus. Names have some 10**15 surrogates, so more
+    than one try is rare."""
+    return next(nonce for nonce in itertools.count() if collisions(docs, key, nonce, text_col).isEmpty())
 
 
 def replace(docs: DataFrame, key: str, text_col: str = "text", nonce: int | None = None) -> DataFrame:
     """The rows of ``docs`` with surrogates in the text, and n_<kind> (long) for each kind.
 
     A text without personal data is unchanged, a null text stays null with zero counts. Columns of ``docs`` that have
-    the names of the counts are replaced. Equal rows are treated alike; an empty table gives no rows.
+    the names of the counts are replaced, other columns stay whatever their names. Equal rows are treated alike; an
+    empty table gives no rows.
     """
     nonce = nonce_for(docs, key, text_col) if nonce is None else nonce
-    text = F.col(text_col)
-    typed = F.transform("_hits", lambda x: F.struct(x.alias("x"), kind_of(x).alias("kind")))
-    out = _found(docs.withColumn(text_col, text.cast("string")), text_col)
-    out = out.withColumn("_typed", F.when(F.size("_hits") > 0, typed))
-    new = F.transform("_typed", lambda t: F.when(t["kind"].isNull(), t["x"]).otherwise(surrogate(t["x"], t["kind"], key, nonce)))
-    pieces = F.zip_with(F.split(text, F.col("_any"), -1), new, lambda gap, s: F.concat(F.coalesce(gap, F.lit("")), F.coalesce(s, F.lit(""))))
-    out = out.withColumn(text_col, F.when(F.col("_typed").isNotNull(), F.array_join(pieces, "")).otherwise(text))
+    counts = [f"n_{k}" for k in KINDS]
+    rest = [c for c in docs.columns if c not in (text_col, *counts)]
+    text = F.col("text")
+    out = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), (F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(None).cast("string")).alias("rest"))
+    out = out.withColumn("known", people(text)).withColumn("any", pattern_for(text, F.col("known"))).withColumn("hits", F.regexp_extract_all("text", F.col("any"), F.lit(0)))
+    typed = F.transform("hits", lambda x: F.struct(x.alias("x"), kind_of(x).alias("kind")))
+    out = out.withColumn("typed", F.when(F.size("hits") > 0, typed))
+    new = F.transform("typed", lambda t: F.when(t["kind"].isNull(), t["x"]).otherwise(surrogate(t["x"], t["kind"], key, nonce, F.col("known"))))
+    pieces = F.zip_with(F.split(text, F.col("any"), -1), new, lambda gap, s: F.concat(F.coalesce(gap, F.lit("")), F.coalesce(s, F.lit(""))))
+    out = out.withColumn("text", F.when(F.col("typed").isNotNull(), F.array_join(pieces, "")).otherwise(text))
 
     def count(kind: str) -> Column:
-        return F.size(F.filter("_typed", lambda t: t["kind"] == kind)).cast("long")
+        return F.when(F.col("typed").isNotNull(), F.size(F.filter("typed", lambda t: t["kind"] == kind))).otherwise(0).cast("long")
 
-    counts = {f"n_{k}": count(k) for k in KINDS}
-    return out.withColumns({c: F.when(F.col("_typed").isNotNull(), v).otherwise(0) for c, v in counts.items()}).drop("_any", "_hits", "_typed")
+    given = [text.alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns if c not in counts]
+    return out.select(*given, *[count(k).alias(f"n_{k}") for k in KINDS])
