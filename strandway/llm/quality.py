@@ -1,11 +1,14 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame functions only.
 
-Each rule is a ratio of a text in thousandths. A labelled document of quality 1 that a rule rejects is a false
-rejection. For every stratum (language) and rule, cutoffs are tested from the most lenient to the strictest: a cutoff
-is allowed while the exact binomial bound shows a false rejection rate of at most ``risk / rules`` at confidence
-``1 - delta / (strata * rules)``. The order of the tests is fixed beforehand, so no further correction is due within
-a rule; across strata and rules it is Bonferroni's. Of the allowed cutoffs the one with the most rejected
-quality-0 documents, less ``cost`` for each false rejection, is taken; a rule that gains nothing is left out.
+Each rule is a ratio of a text in thousandths. A labelled document of quality 1 that the rules of its stratum (its
+language) reject is a false rejection. The labelled documents are split by a hash of their id. A third of them, the
+fitting part, proposes for each stratum and rule the cutoff with the most rejected quality-0 documents, less ``cost``
+for each false rejection, orders the rules by that gain and leaves out those that add none to the ones before. The rest is the holdout: rules are added in that order,
+and a step is allowed while the exact binomial bound shows that all rules so far together reject falsely at a rate of
+at most ``risk``, at confidence ``1 - delta / strata``. The order doesn't depend on the holdout, so testing stops at
+the first failure and needs no further correction within a stratum (a fixed sequence); across strata it is
+Bonferroni's. With no false rejection, ln(strata / delta) / -ln(1 - risk) good holdout labels are enough, 86 for four
+strata; a stratum with fewer has no rule, which ``used`` tells.
 """
 
 from __future__ import annotations
@@ -32,7 +35,8 @@ def _without(text: Column, chars: str) -> Column:
 def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with the base counts of every whole text and each rule's ratio.
 
-    A null text has no words. n_repeat_words counts the words that lie in a window of three words found twice or more.
+    A null text has no words. Columns of ``docs`` that have the names of new ones are replaced, other columns stay
+    whatever their names; repeated rows are measured alike and an empty table gives no rows. n_repeat_words counts the words that lie in a window of three words found twice or more.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -107,44 +111,60 @@ def log_binomial_cdf(k: Column, n: Column, p: float) -> Column:
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05, cost: int = 20, id_col: str = "doc_id", stratum_col: str = "lang") -> DataFrame:
-    """stratum, rule, cutoff, good, false_rejections, bad_rejections: at most one row for each stratum and rule.
+    """stratum, step, rule, cutoff, good, false_rejections, bad_rejections, used: the rules of each stratum in order,
+    with the holdout's good documents and what the rules up to this step reject of it.
 
     A document with several labels counts with its lowest quality; labels without a document or a quality don't count.
-    A stratum with too few labelled documents for the bound gets no cutoff. Null strata form a stratum named ''.
+    A rule that gains nothing in the fitting part has no row. Null strata form a stratum named ''. No labels give no
+    rows.
     """
-    each = risk / len(RULES)
     marks = labels.where(F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.min("quality") > 0).alias("good"))
-    rows = measured.where(~F.col("base_failed")).select(F.col(id_col).alias("_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), *[f"r_{r}" for r in RULES])
-    held = rows.join(marks, "_id")
-    long = held.select("stratum", "good", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"r_{r}").alias("bin")) for r in RULES])).alias("x"))
-    bins = long.groupBy("stratum", "x.rule", "x.bin").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
-    strata = bins.select("stratum").distinct().agg(F.count("*").alias("strata"))
-    own = W.partitionBy("stratum", "rule")
-    above = own.orderBy("bin").rowsBetween(1, W.unboundedFollowing)  # bins are at most STEPS + 1
-    tested = (
-        bins.withColumns({"n": F.sum("good").over(own), "false": F.coalesce(F.sum("good").over(above), F.lit(0)), "caught": F.coalesce(F.sum("bad").over(above), F.lit(0))})
+    ratios = F.array(*[F.col(f"r_{r}") for r in RULES])
+    rows = measured.where(~F.col("base_failed")).select(F.col(id_col).alias("_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), ratios.alias("bins"))
+    part = F.conv(F.substring(F.md5(F.col("_id").cast("string")), 1, 8), 16, 10).cast("long") % 3
+    held = rows.join(marks, "_id").select("stratum", "good", "bins", (part == 0).alias("fitting"))
+
+    bins = held.where("fitting").select("stratum", "good", F.posexplode("bins").alias("rule", "bin")).groupBy("stratum", "rule", "bin").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    above = W.partitionBy("stratum", "rule").orderBy("bin").rowsBetween(1, W.unboundedFollowing)  # bins are at most STEPS + 1
+    # any cutoff up to the next bin rejects the same documents: the middle is taken
+    between = F.coalesce(F.floor((F.col("bin") + F.lead("bin").over(W.partitionBy("stratum", "rule").orderBy("bin")) - 1) / 2), F.col("bin")).cast("int")
+    gains = bins.withColumns({"gain": F.coalesce(F.sum("bad").over(above), F.lit(0)) - cost * F.coalesce(F.sum("good").over(above), F.lit(0)), "cutoff": between})
+    best = gains.where("gain > 0").groupBy("stratum", "rule").agg(F.max(F.struct("gain", "cutoff")).alias("b"))
+    ordered = lambda order: F.row_number().over(W.partitionBy("stratum").orderBy(*order)).alias("step")
+    path = best.select("stratum", "rule", "b.cutoff", ordered([F.desc("b.gain"), "rule"]))
+
+    def by_step(rows: DataFrame, path: DataFrame) -> DataFrame:
+        """Good and bad documents by the first step that rejects them, null for none."""
+        paths = path.groupBy("stratum").agg(F.collect_list(F.struct("step", "rule", "cutoff")).alias("path"))  # one entry a rule
+        over = F.filter("path", lambda x: F.element_at("bins", x["rule"] + 1) > x["cutoff"])
+        first = rows.join(paths, "stratum").select("stratum", "good", F.array_min(F.transform(over, lambda x: x["step"])).alias("step"))
+        return first.groupBy("stratum", "step").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+
+    more = by_step(held.where("fitting"), path).where(F.col("bad") > cost * F.col("good")).select("stratum", "step")
+    path = path.join(more, ["stratum", "step"], "left_semi").select("stratum", "rule", "cutoff", ordered(["step"]))
+    counts = by_step(held.where("NOT fitting"), path)
+    totals = counts.groupBy("stratum").agg(F.sum("good").alias("n"))
+    strata = held.select("stratum").distinct().agg(F.count("*").alias("strata"))
+    upto = W.partitionBy("stratum").orderBy("step").rowsBetween(W.unboundedPreceding, 0)
+    steps = (
+        path.join(counts, ["stratum", "step"], "left")
+        .join(totals, "stratum", "left")
         .crossJoin(F.broadcast(strata))
-        .withColumn("bound", F.when(F.col("false") < F.col("n") * each, log_binomial_cdf(F.col("false"), F.col("n"), each)))
-        .withColumn("allowed", F.coalesce(F.col("bound") <= F.log(F.lit(delta) / (F.col("strata") * len(RULES))), F.lit(False)))
-    )
-    ordered = own.orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, 0)
-    kept = tested.withColumn("open", F.every("allowed").over(ordered)).withColumn("gain", F.col("caught") - cost * F.col("false"))
-    best = own.orderBy(F.desc("gain"), F.desc("bin"))
-    return (
-        kept.where("open and gain > 0")
-        .withColumn("_n", F.row_number().over(best))
-        .where("_n = 1")
-        .select("stratum", "rule", F.col("bin").alias("cutoff"), F.col("n").alias("good"), F.col("false").alias("false_rejections"), F.col("caught").alias("bad_rejections"))
+        .withColumns({"n": F.coalesce("n", F.lit(0)), "false": F.coalesce(F.sum("good").over(upto), F.lit(0)), "caught": F.coalesce(F.sum("bad").over(upto), F.lit(0))})
+        .withColumn("bound", F.when(F.col("false") < F.col("n") * risk, log_binomial_cdf(F.col("false"), F.col("n"), risk)))
+        .withColumn("used", F.every(F.coalesce(F.col("bound") <= F.log(F.lit(delta) / F.col("strata")), F.lit(False))).over(upto))
     )
+    names = F.element_at(F.array(*[F.lit(r) for r in RULES]), F.col("rule") + 1)
+    return steps.select("stratum", "step", names.alias("rule"), "cutoff", F.col("n").alias("good"), F.col("false").alias("false_rejections"), F.col("caught").alias("bad_rejections"), "used")
 
 
 def judge(measured: DataFrame, chosen: DataFrame, stratum_col: str = "lang") -> DataFrame:
-    """``measured`` with kept: false where the base fails or a ratio is above its stratum's cutoff."""
-    wide = chosen.groupBy(F.col("stratum").alias("_stratum")).agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"c_{r}") for r in RULES])
+    """``measured`` with n_rules (long, the rules in use for its stratum), rejected_by (the first of them in RULES that
+    a ratio is over, else null) and kept: false where the base fails or a rule rejects."""
+    wide = chosen.where("used").groupBy(F.col("stratum").alias("_stratum")).agg(F.count("*").alias("n_rules"), *[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"c_{r}") for r in RULES])
     if wide.count() <= BROADCAST_STRATA:
         wide = F.broadcast(wide)
-    joined = measured.join(wide, F.coalesce(F.col(stratum_col).cast("string"), F.lit("")) == F.col("_stratum"), "left")
-    over = F.lit(False)
-    for r in RULES:
-        over = over | F.coalesce(F.col(f"r_{r}") > F.col(f"c_{r}"), F.lit(False))
-    return joined.withColumn("kept", ~(F.col("base_failed") | over)).drop("_stratum", *[f"c_{r}" for r in RULES])
+    joined = measured.drop("n_rules").join(wide, F.coalesce(F.col(stratum_col).cast("string"), F.lit("")) == F.col("_stratum"), "left")
+    by = F.coalesce(*[F.when(F.col(f"r_{r}") > F.col(f"c_{r}"), r) for r in RULES])
+    out = joined.withColumns({"n_rules": F.coalesce("n_rules", F.lit(0)), "rejected_by": by})
+    return out.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull()).drop("_stratum", *[f"c_{r}" for r in RULES])
