@@ -198,7 +198,7 @@ def test_topk_matches_brute_force(spark):
     rng = random.Random(3)
     rows = [(i, [rng.choice([-0.5, 0.0, 0.25, 1.0]) for _ in range(4)]) for i in range(200)] + [(500, None), (501, [float("nan")] * 4)]
     v = {i: [int(256 * x // 1) for x in e] for i, e in rows[:200]}
-    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in topk.exact_topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, 5).collect()]
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in topk.exact_topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, stage, 5).collect()]
     want = []
     for q in range(0, 200, 50):
         best = sorted((-sum(a * b for a, b in zip(v[q], v[c], strict=True)), c) for c in v if c != q)[:5]
