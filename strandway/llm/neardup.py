@@ -3,15 +3,16 @@
 Signatures are b-bit minima. Their first ``INDEXED`` positions are split into ``CHUNKS`` chunks; as two signatures
 that differ in at most ``CHUNKS * (ERRORS + 1) - 1`` of them have a chunk with at most ``ERRORS`` differing ones
 (pigeonhole), each chunk is indexed under the keys that remain when any ``ERRORS`` of its positions are left out. So
-every pair under that distance shares a key. At a similarity of 0.85 a pair is over it with probability 4e-6, and then
-still shares a key with probability over 0.9999999.
-
-Equal sets are one class, represented by its least id, before any key is made. No pairs are made from a key's group:
-all classes that are joined by keys, directly or through others, form a cell, large cells are split by set size and
-then into blocks, and each task compares one pair of blocks in memory. That happens twice: first on signatures alone
-(``POSITIONS`` of them, at most ``far`` different, which a pair at the threshold is over with probability under 1e-7), which are short and break
-cells up, then on the whole sets of each smaller cell. A task returns a spanning forest of the links it found, which
-keeps every link's components and is linear in the rows.
+every pair under that distance shares a key: a pair at the threshold misses all keys with probability 2.1e-8 at a
+similarity of 0.85 and 1.1e-6 at 0.80, and of those that share one, ``far`` loses less than 1e-7.
+
+Equal sets are one class, represented by its least id, before any key is made. No pairs are made from a key's group.
+Each class is first compared with the hub of its key, the least class there, by signatures. A key whose classes are
+all near the hub needs no more; of the others all classes meet in tasks, by signatures again, a hot key cut into
+blocks, one task a pair of blocks. Classes joined by near signatures, directly or through others, form a cell. In a
+cell, classes are dealt out by set size and a hash into blocks of bounded volume, and each task compares the whole
+sets of a pair of blocks. A task returns a spanning forest of the links it found, which keeps every link's components
+and is linear in the rows. Components are taken of links that were compared only, never of mere keys.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -31,8 +32,9 @@ from strandway.llm.words import Words, mix, plain, slices
 
 POSITIONS, INDEXED, CHUNKS, ERRORS, BITS = 48, 32, 8, 1, 16
 FAR = 1e-7
-#: Classes in a block at least, and blocks that a cell is cut into until blocks reach LARGEST.
-BLOCK, BLOCKS, LARGEST = 256, 32, 8192
+#: Classes of a cell up to which it is one task, classes of a hot key's block, shingles of a cell's block (of 8 bytes
+#: each, and about as much text), where a single longer document is a block of its own.
+BLOCK, LARGEST, VOLUME = 256, 8192, 1 << 21
 _MULTIPLY = mix(np.arange(1, POSITIONS + 1, dtype=np.uint64)) | np.uint64(1)
 _ADD = mix(np.arange(1001, POSITIONS + 1001, dtype=np.uint64))
 
@@ -118,20 +120,33 @@ def far(percent: int) -> int:
     return next(d for d in range(POSITIONS + 1) if over(d) < FAR)
 
 
+def _hamming(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, POSITIONS)
+
+
+def _near(percent: int):
+    """The pairs (rep, hub) with whether their signatures are near."""
+    most = far(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            apart = np.count_nonzero(_hamming(batch.column(2)) != _hamming(batch.column(3)), axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(apart <= most)], ["rep", "hub", "near"])
+
+    return run
+
+
 def _signed(percent: int):
-    """Near signatures within a cell of one block, or between its two blocks and within those whose turn it is."""
+    """Near signatures of a key's classes, within one block, or between its two blocks and within the first where it
+    is that block's turn."""
     most = far(percent)
 
     def link(table: pa.Table) -> pa.Table:
-        sizes = table.column("n_shingles").to_numpy()
-        order = np.argsort(sizes, kind="stable")
-        sizes = sizes[order]
-        ids, block, turn = (table.column(c).to_numpy()[order] for c in ("rep", "block", "turn"))
-        signs = np.frombuffer(b"".join(table.column("payload").to_pylist()), np.uint16).reshape(len(ids), POSITIONS)[order]
+        ids, block, turn = (table.column(c).to_numpy() for c in ("rep", "block", "turn"))
+        signs = _hamming(table.column("sign"))
         root, found = np.arange(len(ids)), []
         for a in range(len(ids) - 1):
-            end = int(np.searchsorted(sizes, sizes[a] * 100 // percent, "right"))
-            open_ = np.flatnonzero((root[a + 1 : end] != root[a]) & ((block[a + 1 : end] != block[a]) | turn[a])) + a + 1
+            open_ = np.flatnonzero((root[a + 1 :] != root[a]) & ((block[a + 1 :] != block[a]) | turn[a])) + a + 1
             near = open_[np.count_nonzero(signs[open_] != signs[a], axis=1) <= most]
             roots, first = np.unique(root[near], return_index=True)
             if len(roots):
@@ -179,18 +194,44 @@ def _confirmed(percent: int, n: int):
     return link
 
 
+def _meetings(block: Column, blocks: Column) -> Column:
+    """(i, j, turn) of the pairs of blocks that a block takes part in; one of them looks within the block too."""
+    pair = lambda j: F.struct(F.least(block, j).alias("i"), F.greatest(block, j).alias("j"), (j == F.pmod(block + 1, blocks)).alias("turn"))
+    return F.when(blocks > 1, F.transform(F.filter(F.sequence(F.lit(0), blocks - 1), lambda j: j != block), pair)).otherwise(F.array(pair(block)))
+
+
+def _keyed(index: DataFrame, first: DataFrame, percent: int, stage: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Pairs (a, b) of near signatures that connect all classes which near pairs of a common key connect."""
+    hubs = index.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1")
+    shared = stage(index.join(hubs, "key").where("rep <> hub"), "shared")
+    signs = first.select("rep", "sign")
+    pairs = shared.select("rep", "hub").distinct().join(signs, "rep").join(signs.select(F.col("rep").alias("hub"), F.col("sign").alias("other")), "hub")
+    tested = stage(pairs.select("rep", "hub", "sign", "other").mapInArrow(_near(percent), "rep long, hub long, near boolean"), "tested")
+    near = tested.where("near").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+    # a key of two classes is settled by their one pair
+    apart = shared.where("m > 2").join(tested.where("NOT near").select("rep", "hub"), ["rep", "hub"])
+    open_ = stage(apart.groupBy("key", "hub").agg(F.max("m").alias("m")), "open")
+    members = index.join(open_.select("key", "m"), "key")
+    blocks = F.ceil(F.col("m") / LARGEST).cast("int")
+    placed = members.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("rep"), blocks).cast("int")})
+    dealt = placed.select("key", "rep", "block", F.explode(_meetings(F.col("block"), F.col("blocks"))).alias("x")).join(signs, "rep")
+    met = dealt.select("key", "rep", "block", "sign", "x.*").groupBy("key", "i", "j").applyInArrow(_signed(percent), "a long, b long")
+    return near.unionByName(met).distinct()
+
+
 def _compared(payload: DataFrame, cells: DataFrame, percent: int, link: Callable) -> DataFrame:
-    """Links (a, b) within the cells, given rep and payload. A cell of over ``BLOCK`` classes is split by set size, in steps of the least ratio that
-    linked sets can have, so that only equal and neighbouring sizes meet; large sizes are split further by a hash.
-    The join with the payload is a sort-merge join at every size."""
-    own_cell, of_size = W.partitionBy("cell"), W.partitionBy("cell").orderBy("size")
+    """Links (a, b) within the cells, given rep and payload. A cell of over ``BLOCK`` classes is split by set size, in
+    steps of the least ratio that linked sets can have, so that only equal and neighbouring sizes meet; sizes are split
+    further by a hash into blocks of about VOLUME shingles. The join with the payload is a sort-merge join at every
+    size."""
+    of_size = W.partitionBy("cell").orderBy("size")
     step = math.log(100 / percent) * 1.000001
     totals = cells.groupBy("cell").agg(F.count("*").alias("m"))
     sized = cells.join(totals, "cell").withColumn("size", F.when(F.col("m") > BLOCK, F.floor(F.log("n_shingles") / step)).otherwise(0).cast("long"))
-    units = sized.groupBy("cell", "size").agg(F.count("*").alias("k")).withColumn("m", F.sum("k").over(own_cell))
-    units = units.withColumn("blocks", F.ceil(F.col("k") / F.least(F.greatest(F.lit(BLOCK), F.ceil(F.col("m") / BLOCKS)), F.lit(LARGEST))).cast("int"))
+    units = sized.groupBy("cell", "size").agg(F.sum("n_shingles").alias("volume"), F.count("*").alias("k"))
+    units = units.withColumn("blocks", F.least("k", F.ceil(F.greatest(F.col("volume") / VOLUME, F.col("k") / LARGEST))).cast("int"))
     next_to = lambda f, d: F.coalesce(F.when(f("size").over(of_size) == F.col("size") + d, f("blocks").over(of_size)), F.lit(0))
-    units = units.withColumns({"up": next_to(F.lead, 1), "down": next_to(F.lag, -1)}).drop("m", "k")
+    units = units.withColumns({"up": next_to(F.lead, 1), "down": next_to(F.lag, -1)}).drop("volume", "k")
     placed = sized.drop("m").join(units, ["cell", "size"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
 
     size, block, blocks, up, down = (F.col(c) for c in ("size", "block", "blocks", "up", "down"))
@@ -228,16 +269,10 @@ def near_duplicates(docs: DataFrame, stage: Callable[[DataFrame, str], DataFrame
     first = solid.join(classes.select(F.col("rep").alias("doc_id"), *prints), ["doc_id", *prints], "left_semi").dropDuplicates(["doc_id", *prints])
     first = stage(first.select(F.col("doc_id").alias("rep"), "n_shingles", "sign"), "signatures")
     index = stage(first.select("rep", "sign").mapInArrow(_indexed, "key long, rep long"), "index")
-    hubs = index.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").select("key", "hub")
-    shared = index.join(hubs, "key").where("rep <> hub").select("rep", "hub")
-
-    def cells(edges: DataFrame) -> DataFrame:
-        found = components(edges, stage).select(F.col("node").alias("rep"), F.col("component").alias("cell"))
-        return stage(found.join(first.select("rep", "n_shingles"), "rep"), "cells")
-
-    near = _compared(first.select("rep", F.col("sign").alias("payload")), cells(shared), percent, _signed(percent))
+    found = components(_keyed(index, first, percent, stage), stage).select(F.col("node").alias("rep"), F.col("component").alias("cell"))
+    cells = stage(found.join(first.select("rep", "n_shingles"), "rep"), "cells")
     texts = rows.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), F.col("text").alias("payload"))
-    links = _compared(texts, cells(near), percent, _confirmed(percent, n))
+    links = _compared(texts, cells, percent, _confirmed(percent, n))
     several = members.groupBy("doc_id").count().where("count > 1")  # ids whose rows are in more than one class
     own = members.join(several, "doc_id", "left_semi").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = stage(links.where("a <> b").unionByName(own), "links")
