@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandway.llm import neardup, packing, quality, substrings, surrogates
-from strandway.llm.scratch import stage
+from strandway.llm.scratch import clear, stage
 
 KEY = "strandway"
 
@@ -73,7 +73,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "_"))
+        after = stage(step(spark, docs, sf_dir), name.replace(" ", "_"))
+        if before is not None:
+            clear(before)
+        docs = before = after
     return docs

@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandway.llm.scratch import clear
+
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
     """One half round on edges u > v. Large: the larger neighbours of u go to the least node u knows, itself included.
@@ -41,6 +43,9 @@ def components(edges: DataFrame, stage: Callable[[DataFrame, str], DataFrame]) -
     a, b = (F.col(c) for c in edges.columns[:2])
     now = stage(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     while _unfinished(now):
-        now = stage(_star(stage(_star(now, small=False), "large"), small=True), "small")
+        large = stage(_star(now, small=False), "large")
+        small = stage(_star(large, small=True), "small")
+        clear(now, large)
+        now = small
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())

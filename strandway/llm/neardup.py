@@ -28,6 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandway.llm.components import components
+from strandway.llm.scratch import clear
 from strandway.llm.words import Words, mix, plain, slices
 
 POSITIONS, INDEXED, CHUNKS, ERRORS, BITS = 48, 32, 8, 1, 16
@@ -216,7 +217,9 @@ def _keyed(index: DataFrame, first: DataFrame, percent: int, stage: Callable[[Da
     placed = members.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("rep"), blocks).cast("int")})
     dealt = placed.select("key", "rep", "block", F.explode(_meetings(F.col("block"), F.col("blocks"))).alias("x")).join(signs, "rep")
     met = dealt.select("key", "rep", "block", "sign", "x.*").groupBy("key", "i", "j").applyInArrow(_signed(percent), "a long, b long")
-    return near.unionByName(met).distinct()
+    found = stage(near.unionByName(met).distinct(), "near")
+    clear(shared, tested, open_)
+    return found
 
 
 def _compared(payload: DataFrame, cells: DataFrame, percent: int, link: Callable) -> DataFrame:
@@ -269,7 +272,9 @@ def near_duplicates(docs: DataFrame, stage: Callable[[DataFrame, str], DataFrame
     first = solid.join(classes.select(F.col("rep").alias("doc_id"), *prints), ["doc_id", *prints], "left_semi").dropDuplicates(["doc_id", *prints])
     first = stage(first.select(F.col("doc_id").alias("rep"), "n_shingles", "sign"), "signatures")
     index = stage(first.select("rep", "sign").mapInArrow(_indexed, "key long, rep long"), "index")
-    found = components(_keyed(index, first, percent, stage), stage).select(F.col("node").alias("rep"), F.col("component").alias("cell"))
+    near = _keyed(index, first, percent, stage)
+    clear(index)
+    found = components(near, stage).select(F.col("node").alias("rep"), F.col("component").alias("cell"))
     cells = stage(found.join(first.select("rep", "n_shingles"), "rep"), "cells")
     texts = rows.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), F.col("text").alias("payload"))
     links = _compared(texts, cells, percent, _confirmed(percent, n))

@@ -47,9 +47,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def clear(*tables: DataFrame) -> None:
-    """Free the room of staged tables that no later phase reads: each is overwritten by an empty one. A table that
-    is still part of a result must not be cleared."""
+    """Delete staged tables that no later phase reads. A table that is still part of a result must not be cleared."""
     for df in tables:
-        paths = {path.rsplit("/", 1)[0] for path in df.inputFiles()}
-        for path in paths:
-            df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)
+        jvm = df.sparkSession.sparkContext._jvm
+        conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            if "/strandway-" in path:
+                folder = jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(conf).delete(folder, True)

@@ -1,6 +1,6 @@
 """DuckDB twins of the corpus queries."""
 
-from strandway.llm import secrets
+from strandway.llm import quality, secrets
 
 _Q = {k: v.replace("'", "''") for k, v in secrets.KINDS.items()}
 _FOUND = " UNION ALL ".join(
@@ -9,6 +9,10 @@ _FOUND = " UNION ALL ".join(
     f" unnest(range(len(regexp_extract_all(text, '{p}')))) AS i FROM d"
     for i, (k, p) in enumerate(_Q.items())
 )
+_WORD = r"[^\x20\x09-\x0D]+"
+_PARTS = (("n_symbols", "word_chars"), ("n_upper", "word_chars"), ("n_marks", "word_chars"), ("word_chars", "n_words * 20"), ("n_dup_lines", "n_lines"), ("n_repeat_words", "n_words"))
+_SHARES = ", ".join(f"CASE WHEN {whole} > 0 THEN CAST(least(floor({part} * {quality.STEPS} / ({whole})), {quality.STEPS}) AS INT) ELSE 0 END" for part, whole in _PARTS)
+_RULE_NAMES, _N_RULES = ", ".join(f"'{r}'" for r in quality.RULES), len(quality.RULES)
 
 SQL: dict[str, str] = {
     "op1_secret_scan": f"""
@@ -44,4 +48,62 @@ SQL: dict[str, str] = {
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
     SELECT query_id, CAST(rank AS INT) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM r WHERE rank <= 5
     """,
+    "op3_quality_rules": f"""
+    WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+    lines AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS l FROM d),
+    windows AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS g, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2),
+    twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+    covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(3) t(k) GROUP BY doc_id),
+    counts AS (SELECT d.doc_id, coalesce(lang, '') AS stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+        CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, len(l) AS n_lines, coalesce(n, 0) AS n_repeat_words,
+        length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_upper, length(text) - length(regexp_replace(text, '[!?]', '', 'g')) AS n_marks
+        FROM d JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)),
+    base AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, [{_SHARES}] AS bins FROM counts),
+    marks AS (SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+    held AS (SELECT stratum, good, bins, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS UBIGINT) % 3 = 0 AS fitting
+        FROM base JOIN marks USING (doc_id) WHERE NOT base_failed),
+    fit AS (SELECT stratum, good, unnest(bins) AS bin, unnest(range({_N_RULES})) AS rule FROM held WHERE fitting),
+    binned AS (SELECT stratum, rule, bin, count(*) FILTER (good) AS good, count(*) FILTER (NOT good) AS bad FROM fit GROUP BY ALL),
+    gains AS (SELECT stratum, rule, coalesce(CAST(floor((bin + lead(bin) OVER v - 1) / 2) AS INT), bin) AS cutoff,
+        coalesce(sum(bad) OVER u, 0) - 20 * coalesce(sum(good) OVER u, 0) AS gain FROM binned
+        WINDOW v AS (PARTITION BY stratum, rule ORDER BY bin), u AS (PARTITION BY stratum, rule ORDER BY bin ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+    best AS (SELECT * FROM gains WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, cutoff DESC) = 1),
+    path0 AS (SELECT stratum, rule, cutoff, row_number() OVER (PARTITION BY stratum ORDER BY gain DESC, rule) AS step FROM best),
+    first0 AS (SELECT h.stratum, good, (SELECT min(step) FROM path0 p WHERE p.stratum = h.stratum AND h.bins[p.rule + 1] > p.cutoff) AS step FROM held h WHERE fitting),
+    more AS (SELECT stratum, step FROM first0 GROUP BY ALL HAVING count(*) FILTER (NOT good) > 20 * count(*) FILTER (good)),
+    path AS (SELECT stratum, rule, cutoff, row_number() OVER (PARTITION BY stratum ORDER BY step) AS step FROM path0 SEMI JOIN more USING (stratum, step)),
+    first AS (SELECT h.stratum, good, (SELECT min(step) FROM path p WHERE p.stratum = h.stratum AND h.bins[p.rule + 1] > p.cutoff) AS step FROM held h
+        WHERE NOT fitting AND stratum IN (SELECT stratum FROM path)),
+    n AS (SELECT stratum, count(*) FILTER (good) AS n FROM first GROUP BY stratum),
+    steps AS (SELECT p.stratum, p.step, p.rule, p.cutoff, coalesce(n, 0) AS n,
+        (SELECT count(*) FROM first f WHERE f.stratum = p.stratum AND f.good AND f.step <= p.step) AS k,
+        (SELECT count(DISTINCT stratum) FROM held) AS strata FROM path p LEFT JOIN n USING (stratum)),
+    bounds AS (SELECT *, k < n * 0.05 AND (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.05) + (n - i) * ln(0.95))) FROM range(k + 1) t(i)) <= 0.05 / strata AS allowed FROM steps),
+    used AS (SELECT * FROM (SELECT *, bool_and(allowed) OVER (PARTITION BY stratum ORDER BY step) AS used FROM bounds) WHERE used),
+    r AS (SELECT stratum, count(*) AS n_rules FROM used GROUP BY stratum)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND hit IS NULL AS kept, coalesce(n_rules, 0) AS n_rules, [{_RULE_NAMES}][hit + 1] AS rejected_by
+    FROM (SELECT *, (SELECT min(rule) FROM used u WHERE u.stratum = base.stratum AND base.bins[u.rule + 1] > u.cutoff) AS hit FROM base) LEFT JOIN r USING (stratum)
+    """,
+    "op7_substring_dedup": f"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+    words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+    windows AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 18), lambda i: md5(array_to_string(w[i:i + 19], ' ')))) AS g, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) > 19),
+    later AS (SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1),
+    gone AS (SELECT DISTINCT doc_id, i + k AS i FROM later, range(20) t(k)),
+    kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+    FROM d LEFT JOIN kept USING (doc_id)
+    """,
+    "op9_minhash_near_dedup": f"""
+    WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) > 4 THEN list_transform(range(1, len(w) - 3), lambda i: md5(array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+    links AS (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+    edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c AS component_id, d.doc_id = c AS kept
+    FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a) USING (doc_id)
+    """,
 }
