@@ -4,8 +4,9 @@ A word that the model knows counts with its log frequency in each language. A wo
 character n-grams: at each place the longest known one counts, from the longest order down to single characters.
 
 The model is fitted on a bounded sample: about ``SAMPLE`` labelled documents of each language, drawn by a hash of
-their id; every value of lang is learned. It keeps the words, and for each order the n-grams, whose share of their language is at least ``LEAST``;
-so it holds at most 1 / LEAST entries for a language and order however large the corpus is, and can be broadcast.
+their id; every value of lang is learned. It keeps the words, and for each order the n-grams, whose share of their
+language is at least ``LEAST``, or the least power of two times that with which the model stays under ``room`` bytes.
+So its size has a bound whatever the corpus and the number of languages, and it can be broadcast.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from strandway.llm.words import plain
 
 SAMPLE, LEAST, ORDER = 3000, 4e-6, 4
+#: Bytes of a model at most, and of an entry besides its four bytes a language.
+ROOM, ENTRY = 256 << 20, 150
 #: Words outside the model whose scores a Python worker keeps.
 MEMO = 200_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -34,8 +37,12 @@ def _words(text: str) -> Counter:
     return found
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: Column | None = None) -> dict:
-    """The model: languages in order, and the log share of each known word and n-gram in each language."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: Column | None = None, room: int = ROOM) -> dict:
+    """The model: languages in order, and the log share of each known word and n-gram in each language.
+
+    Null texts and languages don't count, empty texts teach nothing, repeated rows count each time, other columns
+    don't matter; no rows give an empty model. ``room`` bounds its bytes.
+    """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.lit(True) if keep is None else keep)).select(
         F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
     )
@@ -60,8 +67,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     grams = words.select("lang", "n", F.explode(spans).alias("s")).groupBy("lang", F.col("s.k").alias("k"), F.col("s.g").alias("gram")).agg(F.sum("n").alias("n"))
     both = words.select("lang", F.lit(0).alias("k"), "gram", "n").unionByName(grams)
     totals = both.groupBy("lang", "k").agg(F.sum("n").alias("total"))
-    known = both.join(F.broadcast(totals), ["lang", "k"]).where(F.col("n") >= LEAST * F.col("total")).select("lang", "k", "gram", F.log(F.col("n") / F.col("total")).alias("log"))
-    table = known.toPandas()
+    shares = both.join(totals, ["lang", "k"]).select("lang", "k", "gram", (F.col("n") / F.col("total")).alias("share")).where(F.col("share") >= LEAST).persist()
+    level = F.floor(F.log2(F.max("share") / LEAST)).alias("level")  # at most 18 levels
+    counts = {r["level"]: r["count"] for r in shares.groupBy("k", "gram").agg(level).groupBy("level").count().collect()}
+    least = next(x for x in range(64) if sum(n for at, n in counts.items() if at >= x) * (4 * len(sizes) + ENTRY) <= room)
+    table = shares.where(F.col("share") >= LEAST * 2.0**least).select("lang", "k", "gram", F.log("share").alias("log")).toPandas()
+    shares.unpersist()
     langs = sorted(s["lang"] for s in sizes)
     names = [" " + g if k == 0 else g for k, g in zip(table.k, table.gram, strict=True)]  # no n-gram starts with a space
     at = {name: i for i, name in enumerate(dict.fromkeys(names))}
@@ -112,7 +123,11 @@ class Scorer:
 
 
 def predict(docs: DataFrame, model: dict, extra: list[Column] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ``extra`` columns, lang_pred, score for every row, by a broadcast model of bounded size."""
+    """doc_id, ``extra`` columns, lang_pred, score for every row, by a broadcast model of bounded size.
+
+    A null text, or one without a letter, is ``und`` with score 0, as is every text under an empty model. Null ids and
+    repeated rows give rows of their own; other columns don't matter; an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), *extra, F.col(text_col).cast("string").alias("_text_"))
     names = given.columns[:-1]

@@ -4,8 +4,9 @@ Each window of ``WINDOW`` words has a minimizer, the least hash of its 5-grams,
 run of windows with one minimizer is a segment; about every ninth word opens one. Segments whose minimizer occurs
 once go no further. Of segments with the same words all but the earliest repeat as a whole, which a partial aggregate
 finds. The distinct ones that share a minimizer go to shards by it; a shard builds an FM-index and streams its
-segments through backward search, which gives the windows that also start earlier. A minimizer that leads more text
-than a shard may hold has its windows dealt out one by one instead, where again an aggregate finds the earliest.
+segments through backward search, which gives the windows that also start earlier; runs of them are the intervals
+reported. A minimizer that leads more text than a shard may hold is split: its windows are dealt out one by one, where
+again an aggregate finds the earliest. That changes where windows are compared, not what is found.
 """
 
 from __future__ import annotations
@@ -217,13 +218,12 @@ def remove_repeats(docs: DataFrame, stage: Callable[[DataFrame, str], DataFrame]
     rows.
     """
     spans = stage(repeated_spans(docs, stage, window, id_col, text_col), "spans")
-    own = spans.groupBy(F.col("doc_id").alias("_key")).agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
+    own = spans.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     new = ["n_words", "n_removed", "kept_sha256"]
-    given = docs.select(*[c for c in docs.columns if c not in new]).withColumn(text_col, F.col(text_col).cast("string"))
-    names = given.columns
+    names = [c for c in docs.columns if c not in new]
     coded = [f"c{i}" for i in range(len(names))]
-    joined = given.join(own.hint("merge"), F.col(id_col).cast("long") == F.col("_key"), "left").select(*[F.col(f"`{c}`").alias(k) for c, k in zip(names, coded, strict=True)], "_spans")
-    kinds = dict(given.dtypes)
-    schema = ", ".join(f"{k} {kinds[c]}" for c, k in zip(names, coded, strict=True)) + ", _n_words long, _n_removed long, _kept_sha256 string"
+    given = docs.select(*[(F.col(f"`{c}`").cast("string") if c == text_col else F.col(f"`{c}`")).alias(k) for c, k in zip(names, coded, strict=True)])
+    joined = given.join(own.hint("merge"), F.col(coded[names.index(id_col)]).cast("long") == F.col("key"), "left").select(*coded, "spans")
+    schema = ", ".join(f"{k} {t}" for k, t in given.dtypes) + ", _n_words long, _n_removed long, _kept_sha256 string"
     out = joined.mapInArrow(_cleaned(coded, names.index(text_col)), schema)
     return out.toDF(*names, *new)
