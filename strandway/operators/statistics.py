@@ -58,3 +58,43 @@ def scaled(x: Column, low: Column, high: Column, mode: str) -> Column:
 
 def relative_change(now: Column, before: Column) -> Column:
     return F.when(before != 0, (now - before) / before)
+
+
+def runtime_summary(df: DataFrame, keys: list[str], seconds: str) -> DataFrame:
+    """total, mean, median, least, most and p95 of each key's run times."""
+    return df.groupBy(*keys).agg(
+        F.sum(seconds).alias("total"), F.avg(seconds).alias("mean"), F.median(seconds).alias("median"), F.min(seconds).alias("least"), F.max(seconds).alias("most"), F.percentile(seconds, F.lit(0.95)).alias("p95")
+    )
+
+
+def group_median(groups: DataFrame, rows: DataFrame, key: str, value: str) -> DataFrame:
+    """n and m, the exact median, for every one of the groups; null for a group without rows."""
+    return groups.join(rows.groupBy(key).agg(F.count(value).alias("n"), F.median(value).alias("m")), key, "left").fillna(0, ["n"])
+
+
+def vector_summary(df: DataFrame, vector: str, floor: float = 0.0) -> DataFrame:
+    """dim, n, mean, std (population, at least ``floor``), low and high of each component."""
+    x = df.select(F.posexplode(vector).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
+    return x.groupBy("dim").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.greatest(F.stddev_pop("x"), F.lit(floor)).alias("std"), F.min("x").alias("low"), F.max("x").alias("high"))
+
+
+def role_statistics(frames: DataFrame, role: str, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """rows, mean, std, low, high, median, gaps, and step_p99 and step_max of steps that cross no gap, by role."""
+    step = F.abs(F.col(value) - F.lag(value).over(W.partitionBy(*keys).orderBy(*order)))
+    d = frames.withColumn("_step", F.when(~F.col("gap_mask"), step))
+    return d.groupBy(role).agg(
+        F.count("*").alias("rows"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("low"), F.max(value).alias("high"), F.median(value).alias("median"),
+        F.percentile("_step", F.lit(0.99)).alias("step_p99"), F.max("_step").alias("step_max"), F.count_if("gap_mask").alias("gaps"),
+    )
+
+
+def delta_statistics(df: DataFrame, truth: str, plan: str) -> DataFrame:
+    """dim, low and high of the difference of two vectors."""
+    d = df.select(F.posexplode(F.zip_with(truth, plan, lambda a, b: a.cast("double") - b.cast("double"))).alias("dim", "x"))
+    return d.groupBy("dim").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+
+
+def vector_mse(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """mse: the mean squared difference over all components of a key's pairs of vectors."""
+    d = df.select(*keys, F.explode(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0)))).alias("_d"))
+    return d.groupBy(*keys).agg(F.avg("_d").alias("mse"))

@@ -19,7 +19,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from strandway.plans import queries_core, queries_retrieval  # noqa: F401
+    from strandway.plans import queries_core, queries_evaluation, queries_retrieval, queries_windows  # noqa: F401
 
 
 def queries() -> dict:
