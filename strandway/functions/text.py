@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,7 +22,95 @@ def ascii_only(text: Column) -> Column:
     return F.regexp_replace(text, r"[^\x00-\x7F]", " ")
 
 
+def normal(text: Column) -> Column:
+    """Lower case, white space runs as one blank, none at the ends."""
+    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+
+
 def blocked(text: Column, words: list[str]) -> Column:
-    """Whether one of the words stands in the text as a whole word, white space and case aside."""
-    clean = F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
-    return clean.rlike(r"\b(?:" + "|".join(sorted(set(words))) + r")\b")
+    """Whether one of the words stands in the text as a whole word, white space and case aside. Words are literal."""
+    quoted = "|".join(re.escape(w) for w in sorted({" ".join(w.lower().split()) for w in words}))
+    return normal(text).rlike(rf"\b(?:{quoted})\b")
+
+
+def nearly_blocked(text: Column, words: list[str], letters: float, least: int = 6) -> Column:
+    """Whether as many words of the text as a block word has come within ``letters`` of it: the ratio of matching
+    characters, twice their number over both lengths, is at least (length - letters) / length. Block words of under
+    ``least`` characters are left out. The ratio is difflib's, so it is taken in Arrow batches."""
+    known = [w for w in sorted({" ".join(x.lower().split()) for x in words}) if len(w) >= least]
+
+    @F.pandas_udf("boolean")
+    def hit(texts: pd.Series) -> pd.Series:
+        from difflib import SequenceMatcher
+
+        def near(value: str | None) -> bool | None:
+            if value is None:
+                return None
+            tokens = value.split()
+            for word in known:
+                size, bound = len(word.split()), (len(word) - letters) / len(word)
+                match = SequenceMatcher(None)
+                match.set_seq2(word)
+                for part in {" ".join(tokens[i : i + size]) for i in range(len(tokens) - size + 1)}:
+                    if 2 * min(len(part), len(word)) < bound * (len(part) + len(word)):
+                        continue
+                    match.set_seq1(part)
+                    if match.quick_ratio() >= bound and match.ratio() >= bound:
+                        return True
+            return False
+
+        return texts.map(near)
+
+    return hit(normal(text))
+
+
+def censored(text: Column, words: list[str], allowed: list[str]) -> Column:
+    """The words of a text, joined by one blank, with block words as stars; a word of ``allowed`` always stays.
+    Punctuation at a word's ends doesn't count."""
+    listed = lambda names: F.array(*[F.lit(w.lower()) for w in names])
+    bare = lambda w: F.lower(F.regexp_replace(w, r"^\p{Punct}+|\p{Punct}+$", ""))
+    star = lambda w: F.when(F.array_contains(listed(words), bare(w)) & ~F.array_contains(listed(allowed), bare(w)), "****").otherwise(w)
+    return F.array_join(F.transform(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "), star), " ")
+
+
+def command_of_file(name: Column, suffix: int = 10) -> Column:
+    """The command that a file name spells: without its last ``suffix`` characters, blanks for underscores, begun anew
+    after the last part that has SCENE in it."""
+    stem = F.substring(name, F.lit(1), F.greatest(F.length(name) - suffix, F.lit(0)))
+    return F.translate(F.regexp_replace(stem, r"^.*SCENE[^_]*(?:_|$)", ""), "_", " ")
+
+
+def composite(*parts: Column, by: str = "/") -> Column:
+    return F.concat_ws(by, *parts)
+
+
+def parsed(name: Column, by: str = "/") -> Column:
+    """head (all but the last part) and number (the last part, null unless it is one) of a composite name."""
+    parts = F.split(name, by)
+    return F.struct(F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), by).alias("head"), F.element_at(parts, -1).try_cast("long").alias("number"))
+
+
+def caption(captions: Column, weights: dict[str, float], u: Column) -> Column:
+    """style and text of one caption of a map: a style that the map has, drawn by its weight with ``u`` in [0, 1). No
+    such style, or an empty caption, gives null."""
+    names = F.array(*[F.struct(F.lit(k).alias("style"), F.lit(float(v)).alias("weight")) for k, v in weights.items()])
+    have = F.filter(names, lambda n: F.map_contains_key(captions, n["style"]) & (n["weight"] > 0))
+    total = F.aggregate(have, F.lit(0.0), lambda s, n: s + n["weight"])
+    ends = F.aggregate(
+        have,
+        F.struct(F.lit(0.0).alias("at"), F.lit(None).cast("string").alias("pick")),
+        lambda s, n: F.struct((s["at"] + n["weight"]).alias("at"), F.coalesce(s["pick"], F.when(u * total < s["at"] + n["weight"], n["style"])).alias("pick")),
+    )
+    style = F.coalesce(ends["pick"], F.element_at(have, -1)["style"])
+    text = F.try_element_at(captions, style)
+    return F.when((F.size(have) > 0) & (text != ""), F.struct(style.alias("style"), text.alias("text")))
+
+
+def profile_of_json(text: Column) -> Column:
+    """keys (sorted) of a JSON object in text; null for what isn't one."""
+    return F.array_sort(F.json_object_keys(text))
+
+
+def utc(at: Column) -> Column:
+    """A timestamp as text in ISO form, in UTC."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandway.functions.seeds import uniform
+
 
 def epoch_counts(demos: Column, wins: Column, losses: Column, p_demo: float, p_win: float) -> dict[str, Column]:
     """Demonstrations, successful and failed roll-outs of an epoch, scaled up to the two shares; never scaled down.
@@ -68,3 +70,52 @@ def shard_owner(df: DataFrame, group: list[str], order: list[str], world: int, w
 def replayed(df: DataFrame, copies: Column) -> DataFrame:
     """Every row ``copies`` times, with its copy number from 0; no rows for less than one."""
     return df.where(copies >= 1).withColumn("copy", F.explode(F.sequence(F.lit(0), copies.cast("int") - 1)))
+
+
+def modulo_step(index: Column, steps: Column) -> Column:
+    """The step that a sample index replays: index modulo the number of steps."""
+    return F.pmod(index, steps)
+
+
+def auxiliary(df: DataFrame, name: Column, p: float, pool: int) -> DataFrame:
+    """auxiliary: with probability ``p`` the place of a row of an auxiliary pool of ``pool`` rows, drawn evenly, else
+    null. Draws come from a hash of the name."""
+    take = uniform(F.concat(name, F.lit("|take"))) < p
+    return df.withColumn("auxiliary", F.when(take, F.floor(uniform(F.concat(name, F.lit("|which"))) * pool)))
+
+
+def one_of_top(ranked: DataFrame, query: list[str], rank: str, k: int, name: Column, dropout: float) -> DataFrame:
+    """One of the first ``k`` rows of each query, drawn evenly among those there are, with dropped where the draw says
+    that the match is to be masked. ``name`` is the query's as text."""
+    first = ranked.where(F.col(rank) <= k).withColumn("_k", F.count("*").over(W.partitionBy(*query)))
+    pick = F.floor(uniform(F.concat(name, F.lit("|pick"))) * F.col("_k")) + 1
+    return first.where(F.col(rank) == pick).withColumn("dropped", uniform(F.concat(name, F.lit("|drop"))) < dropout).drop("_k")
+
+
+def proportional_workers(counts: dict[str, int], workers: int) -> dict[str, int]:
+    """At least one worker for each key, each further one to the key that is most under-served; ties to the first. Keys
+    are few, so this is plain arithmetic. Fewer workers than keys raise a ValueError."""
+    if workers < len(counts):
+        raise ValueError("a worker serves one key only")
+    total, given = sum(counts.values()), dict.fromkeys(counts, 1)
+    for _ in range(workers - len(counts)):
+        have = sum(given.values())
+        given[min(counts, key=lambda k: given[k] / have - counts[k] / total)] += 1
+    return given
+
+
+def equal_shares(counts: dict[str, int], workers: int) -> tuple[dict[str, int], int]:
+    """Items of each key after repeating them so that all workers get as many, and that number. Shares of workers are
+    rounded up; the key with the most items takes the difference."""
+    total = sum(counts.values())
+    shares = {k: -(-n * workers // total) for k, n in counts.items()}
+    shares[max(counts, key=counts.get)] += workers - sum(shares.values())
+    each = -(-total // sum(shares.values()))
+    return {k: s * each for k, s in shares.items()}, each
+
+
+def url_of_worker(urls: Column, worker: Column, workers: int) -> Column:
+    """The places of a worker's items among ``urls`` of them: every ``workers``-th, or one by modulo where there are
+    fewer items than workers."""
+    own = F.sequence(worker.cast("long"), F.greatest(urls - 1, worker).cast("long"), F.lit(workers).cast("long"))
+    return F.when(urls >= workers, own).otherwise(F.array(F.pmod(worker, urls).cast("long")))
