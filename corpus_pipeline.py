@@ -34,7 +34,7 @@ def _wide(out: DataFrame, docs: DataFrame) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the risk-controlled cutoffs keep."""
     measured = stage(quality.measures(_narrow(docs)), "measured")
-    chosen = stage(quality.cutoffs(measured, spark.read.parquet(f"{sf_dir}/labels.parquet")), "cutoffs")
+    chosen = stage(quality.cutoffs(measured, spark.read.parquet(f"{sf_dir}/labels.parquet"), stage=stage), "cutoffs")
     return _wide(quality.judge(measured, chosen).where("kept"), docs)
 
 

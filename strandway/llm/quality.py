@@ -14,6 +14,7 @@ strata; a stratum with fewer has no rule, which ``used`` tells.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -110,19 +111,21 @@ def log_binomial_cdf(k: Column, n: Column, p: float) -> Column:
     return top + F.log(total["sum"])
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05, cost: int = 20, id_col: str = "doc_id", stratum_col: str = "lang") -> DataFrame:
+def cutoffs(
+    measured: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05, cost: int = 20, id_col: str = "doc_id", stratum_col: str = "lang", stage: Callable[[DataFrame, str], DataFrame] = lambda df, name: df
+) -> DataFrame:
     """stratum, step, rule, cutoff, good, false_rejections, bad_rejections, used: the rules of each stratum in order,
     with the holdout's good documents and what the rules up to this step reject of it.
 
     A document with several labels counts with its lowest quality; labels without a document or a quality don't count.
     A rule that gains nothing in the fitting part has no row. Null strata form a stratum named ''. No labels give no
-    rows.
+    rows. ``stage`` writes the labelled documents' ratios and the proposed rules to the shared folder.
     """
     marks = labels.where(F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.min("quality") > 0).alias("good"))
     ratios = F.array(*[F.col(f"r_{r}") for r in RULES])
     rows = measured.where(~F.col("base_failed")).select(F.col(id_col).alias("_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), ratios.alias("bins"))
     part = F.conv(F.substring(F.md5(F.col("_id").cast("string")), 1, 8), 16, 10).cast("long") % 3
-    held = rows.join(marks, "_id").select("stratum", "good", "bins", (part == 0).alias("fitting"))
+    held = stage(rows.join(marks, "_id").select("stratum", "good", "bins", (part == 0).alias("fitting")), "held")
 
     bins = held.where("fitting").select("stratum", "good", F.posexplode("bins").alias("rule", "bin")).groupBy("stratum", "rule", "bin").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
     above = W.partitionBy("stratum", "rule").orderBy("bin").rowsBetween(1, W.unboundedFollowing)  # bins are at most STEPS + 1
@@ -131,17 +134,18 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.05, delta: f
     gains = bins.withColumns({"gain": F.coalesce(F.sum("bad").over(above), F.lit(0)) - cost * F.coalesce(F.sum("good").over(above), F.lit(0)), "cutoff": between})
     best = gains.where("gain > 0").groupBy("stratum", "rule").agg(F.max(F.struct("gain", "cutoff")).alias("b"))
     ordered = lambda order: F.row_number().over(W.partitionBy("stratum").orderBy(*order)).alias("step")
-    path = best.select("stratum", "rule", "b.cutoff", ordered([F.desc("b.gain"), "rule"]))
+    path = stage(best.select("stratum", "rule", "b.cutoff", ordered([F.desc("b.gain"), "rule"])), "proposed")
 
     def by_step(rows: DataFrame, path: DataFrame) -> DataFrame:
         """Good and bad documents by the first step that rejects them, null for none."""
         paths = path.groupBy("stratum").agg(F.collect_list(F.struct("step", "rule", "cutoff")).alias("path"))  # one entry a rule
+        paths = F.broadcast(paths) if path.count() <= BROADCAST_STRATA else paths
         over = F.filter("path", lambda x: F.element_at("bins", x["rule"] + 1) > x["cutoff"])
         first = rows.join(paths, "stratum").select("stratum", "good", F.array_min(F.transform(over, lambda x: x["step"])).alias("step"))
         return first.groupBy("stratum", "step").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
 
     more = by_step(held.where("fitting"), path).where(F.col("bad") > cost * F.col("good")).select("stratum", "step")
-    path = path.join(more, ["stratum", "step"], "left_semi").select("stratum", "rule", "cutoff", ordered(["step"]))
+    path = stage(path.join(more, ["stratum", "step"], "left_semi").select("stratum", "rule", "cutoff", ordered(["step"])), "path")
     counts = by_step(held.where("NOT fitting"), path)
     totals = counts.groupBy("stratum").agg(F.sum("good").alias("n"))
     strata = held.select("stratum").distinct().agg(F.count("*").alias("strata"))

@@ -39,7 +39,7 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     measured = stage(quality.measures(docs).drop("text"), "measured")
-    chosen = stage(quality.cutoffs(measured, table(spark, sf_dir, "labels")), "cutoffs")
+    chosen = stage(quality.cutoffs(measured, table(spark, sf_dir, "labels"), stage=stage), "cutoffs")
     return quality.judge(measured, chosen).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_rules", "rejected_by")
 
 

@@ -37,7 +37,9 @@ EITHER = "Dr|Doctor|Doktor|Docteur|Prof|Professor|Professeur|Profesor|Profesora|
 INTRODUCED = "my name is|My name is|mein Name ist|Mein Name ist|ich heiße|Ich heiße|je m'appelle|Je m'appelle|mon nom est|Mon nom est|me llamo|Me llamo|mi nombre es|Mi nombre es|меня зовут|Меня зовут|με λένε|Με λένε|Full name:|full name:"
 TITLES = rf"(?:(?:{MALE}|{FEMALE}|{EITHER})\.? )"
 NAME_WORD = r"\p{Lu}(?:['’]\p{Lu})?[\p{L}\p{M}]+(?:['’-]\p{Lu}[\p{L}\p{M}]+)*"
-NAME = rf"(?<![\p{{L}}\p{{M}}]){TITLES}+{NAME_WORD}(?: {NAME_WORD})?|(?<=(?<![\p{{L}}\p{{M}}])(?:{INTRODUCED}) ){NAME_WORD}(?: {NAME_WORD})?"
+NAME = rf"(?<![\p{{L}}\p{{M}}])(?:(?:{INTRODUCED}) {TITLES}*|{TITLES}+){NAME_WORD}(?: {NAME_WORD})?"
+#: What stands before the name, and whether that ends with a form of address.
+LEAD, TITLED = rf"^(?:(?:{INTRODUCED}) )?{TITLES}*", rf"(?:^| )(?:{MALE}|{FEMALE}|{EITHER})\.? $"
 KINDS = ("email", "ip", "ssn", "phone", "card", "name")
 BEFORE, AFTER = ("|".join(f"(?:{p})" for p in ps) for ps in ((EMAIL, IPV4, SSN), (PHONE, NAME)))
 CARD_PREFIX = r"^(?:4|5[1-5]|2[2-7]|3[0-9]|6)"
@@ -155,11 +157,11 @@ def people(text: Column) -> Column:
     each mention that the pattern of names finds in a text."""
 
     def one(x: Column) -> Column:
-        title, words = F.regexp_extract(x, f"^{TITLES}*", 0), F.split(F.regexp_replace(x, f"^{TITLES}+", ""), " ")
-        two = F.size(words) > 1
-        given = F.when(two | (title == ""), words[0])
-        female = F.when(title.rlike(rf"(?:^| )(?:{FEMALE})\.? "), True).when(title.rlike(rf"(?:^| )(?:{MALE})\.? "), False).otherwise(given.rlike("[aаяαη]$"))
-        return F.struct(given.alias("given"), F.when(two | (title != ""), F.element_at(words, -1)).alias("surname"), female.alias("female"), (title == "").alias("bare"))
+        lead, words = F.regexp_extract(x, LEAD, 0), F.split(F.regexp_replace(x, LEAD, ""), " ")
+        two, titled = F.size(words) > 1, lead.rlike(TITLED)
+        given = F.when(two | ~titled, words[0])
+        female = F.when(lead.rlike(rf"(?:^| )(?:{FEMALE})\.? "), True).when(lead.rlike(rf"(?:^| )(?:{MALE})\.? "), False).otherwise(given.rlike("[aаяαη]$"))
+        return F.struct(given.alias("given"), F.when(two | titled, F.element_at(words, -1)).alias("surname"), female.alias("female"), (~titled).alias("bare"))
 
     return F.transform(hits(text, NAME), one)
 
@@ -172,15 +174,15 @@ def _female(x: Column, known: Column) -> Column:
 
 
 def _name(x: Column, salt: Column, known: Column) -> Column:
-    """The form of address stays; of one word alone it is a given name where the text has it as one."""
+    """What leads to the name stays; one word alone it is a given name where the text has it as one."""
 
     def made(parts: Column) -> Column:
-        first, title = parts["words"][0], parts["title"]
+        first, lead = parts["words"][0], parts["lead"]
         given = lambda w: _given(w, _female(w, known), salt)
-        alone = F.when((title == "") & F.exists(known, lambda p: p["given"] == first), given(first)).otherwise(_surname(first, salt))
-        return F.concat(title, F.when(F.size(parts["words"]) > 1, F.concat_ws(" ", given(first), _surname(F.element_at(parts["words"], -1), salt))).otherwise(alone))
+        alone = F.when(~lead.rlike(TITLED) & F.exists(known, lambda p: p["given"] == first), given(first)).otherwise(_surname(first, salt))
+        return F.concat(lead, F.when(F.size(parts["words"]) > 1, F.concat_ws(" ", given(first), _surname(F.element_at(parts["words"], -1), salt))).otherwise(alone))
 
-    return let(F.struct(F.regexp_extract(x, f"^{TITLES}*", 0).alias("title"), F.split(F.regexp_replace(x, f"^{TITLES}+", ""), " ").alias("words")), made)
+    return let(F.struct(F.regexp_extract(x, LEAD, 0).alias("lead"), F.split(F.regexp_replace(x, LEAD, ""), " ").alias("words")), made)
 
 
 def kind_of(x: Column) -> Column:
