@@ -39,9 +39,12 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     A null text has no words. Columns of ``docs`` that have the names of new ones are replaced, other columns stay
     whatever their names; repeated rows are measured alike and an empty table gives no rows. n_repeat_words counts the words that lie in a window of three words found twice or more.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    new = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_upper", "n_marks", "n_repeat_words", *[f"r_{r}" for r in RULES], "base_failed"]
+    rest = [c for c in docs.columns if c not in new]
+    a = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
+    text = F.col("_text")
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    a = docs.withColumn("_words", F.filter(F.split(text, r"[\x20\x09-\x0D]+", -1), lambda x: x != "")).withColumn("_lines", lines)
+    a = a.withColumn("_words", F.filter(F.split(text, r"[\x20\x09-\x0D]+", -1), lambda x: x != "")).withColumn("_lines", lines)
     solid = F.length(_without(text, SPACE))
     a = a.withColumns(
         {
@@ -82,7 +85,8 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "repeats": share(F.col("n_repeat_words"), F.col("n_words")),
     }
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return a.withColumns({f"r_{k}": v for k, v in ratios.items()}).withColumn("base_failed", base)
+    out = a.withColumns({f"r_{k}": v for k, v in ratios.items()}).withColumn("base_failed", base)
+    return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in rest], *new)
 
 
 def _log_factorial(n: Column) -> Column:
@@ -165,10 +169,10 @@ def cutoffs(
 def judge(measured: DataFrame, chosen: DataFrame, stratum_col: str = "lang") -> DataFrame:
     """``measured`` with n_rules (long, the rules in use for its stratum), rejected_by (the first of them in RULES that
     a ratio is over, else null) and kept: false where the base fails or a rule rejects."""
-    wide = chosen.where("used").groupBy(F.col("stratum").alias("_stratum")).agg(F.count("*").alias("n_rules"), *[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"c_{r}") for r in RULES])
+    wide = chosen.where("used").groupBy(F.col("stratum").alias("_stratum")).agg(F.count("*").alias("n_rules"), *[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_c_{r}") for r in RULES])
     if wide.count() <= BROADCAST_STRATA:
         wide = F.broadcast(wide)
     joined = measured.drop("n_rules").join(wide, F.coalesce(F.col(stratum_col).cast("string"), F.lit("")) == F.col("_stratum"), "left")
-    by = F.coalesce(*[F.when(F.col(f"r_{r}") > F.col(f"c_{r}"), r) for r in RULES])
+    by = F.coalesce(*[F.when(F.col(f"r_{r}") > F.col(f"_c_{r}"), r) for r in RULES])
     out = joined.withColumns({"n_rules": F.coalesce("n_rules", F.lit(0)), "rejected_by": by})
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull()).drop("_stratum", *[f"c_{r}" for r in RULES])
+    return out.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull()).drop("_stratum", *[f"_c_{r}" for r in RULES])

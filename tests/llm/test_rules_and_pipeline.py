@@ -29,36 +29,66 @@ def test_binomial_bound_is_exact(spark):
 
 
 def test_cutoffs_match_exact_arithmetic(spark):
+    """The proposed rules, their order and the holdout's bound, by plain Python with fractions."""
+    import hashlib
+
     rng, rows, labels = random.Random(4), [], []
-    for i in range(900):
+    for i in range(1500):
         good = rng.random() < 0.7
-        stratum = ["en", None, "few"][0 if i % 9 < 5 else 1 if i % 9 < 8 else 2]
-        rows.append((i, stratum, i % 50 == 0, *[rng.randrange(0, 6) if good else rng.randrange(0, 40) for _ in quality.RULES]))
+        stratum = ["en", None, "few"][0 if i % 9 < 5 else 1 if i % 45 != 8 else 2]
+        wide = [rng.choice([0, 1, 2, 3, 30] if rng.random() < 0.02 else [0, 1, 2, 3]) if good or k > 2 else rng.randrange(0, 60) for k in range(len(quality.RULES))]
+        rows.append((i, stratum, i % 50 == 0, *wide))
         labels += [(i, int(good))] if i % 10 else [(i, 1), (i, 0), (i, None)]
     schema = "doc_id long, lang string, base_failed boolean, " + ", ".join(f"r_{r} int" for r in quality.RULES)
-    risk, delta, cost = 0.3, 0.05, 2
+    risk, delta, cost = 0.1, 0.05, 3
     got = quality.cutoffs(spark.createDataFrame(rows, schema), spark.createDataFrame(labels, "doc_id long, quality int"), risk, delta, cost).collect()
     lowest = {}
     for i, x in labels:
         if x is not None:
             lowest[i] = min(x, lowest.get(i, 1))
-    held = [(s or "", lowest[i] > 0, x) for i, s, failed, *x in rows if not failed]
-    strata, want = {s for s, _, _ in held}, {}
-    each, level = Fraction(risk / len(quality.RULES)), delta / (len({s for s, _, _ in held}) * len(quality.RULES))
+    held = [(s or "", lowest[i] > 0, x, int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) % 3 == 0) for i, s, failed, *x in rows if not failed]
+    strata, want = {h[0] for h in held}, []
     for s in strata:
-        for j, rule in enumerate(quality.RULES):
-            own, best = [(g, x[j]) for t, g, x in held if t == s], None
-            n = sum(g for g, _ in own)
-            for cut in sorted({v for _, v in own}, reverse=True):
-                false, caught = sum(g and v > cut for g, v in own), sum(not g and v > cut for g, v in own)
-                if not (false < n * each and exact_cdf(false, n, each) <= level):
-                    break
-                if caught - cost * false > max(0, best[0] if best else 0):
-                    best = (caught - cost * false, cut, n, false, caught)
-            if best:
-                want[s, rule] = best[1:]
-    assert want and {(r.stratum, r.rule): (r.cutoff, r.good, r.false_rejections, r.bad_rejections) for r in got} == want
-    assert not any(s == "few" for s, _ in want)
+        fit, hold = ([h for h in held if h[0] == s and h[3] == f] for f in (True, False))
+        path = []
+        for j in range(len(quality.RULES)):
+            values = sorted({h[2][j] for h in fit})
+            each = [(sum(not h[1] for h in fit if h[2][j] > v) - cost * sum(h[1] for h in fit if h[2][j] > v), v if k + 1 == len(values) else (v + values[k + 1] - 1) // 2) for k, v in enumerate(values)]
+            if each and max(each)[0] > 0:
+                path.append((-max(each)[0], j, max(each)[1]))
+        path.sort()
+
+        def first(h, path):
+            return next((k for k, (_, j, cut) in enumerate(path) if h[2][j] > cut), None)
+
+        hits = [(first(h, path), h[1]) for h in fit]
+        path = [p for k, p in enumerate(path) if sum(not g for x, g in hits if x == k) > cost * sum(g for x, g in hits if x == k)]
+        n, used = sum(h[1] for h in hold), True
+        for k, (_, j, cut) in enumerate(path):
+            false, caught = (sum(h[1] == g for h in hold if first(h, path) is not None and first(h, path) <= k) for g in (True, False))
+            used = used and false < n * Fraction(risk) and exact_cdf(false, n, Fraction(risk)) <= delta / len(strata)
+            want.append((s, k + 1, quality.RULES[j], cut, n, false, caught, used))
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    assert any(w[-1] for w in want) and not any(w[-1] for w in want if w[0] == "few")
+
+
+def test_measures_match_brute_force(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(["a b", "Ab", " ", "\n", "\t", "#", "!", "é", "x y z ", "\xa0", "𝒳", "|"]) for _ in range(rng.randrange(0, 120))) for _ in range(150)] + ["", None, "a b c " * 40, "one"]
+    got = {r.doc_id: r for r in quality.measures(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        t = t or ""
+        w, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
+        n = len(w)
+        want = (n, sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), repeated_words(w), n < 50 or 100 * repeated_words(w) > 50 * n)
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == want, repr(t)
+
+
+def test_a_model_has_a_bound(spark):
+    docs = spark.createDataFrame([(i, "ab"[i % 2], f"word{chr(97 + i % 26)} and{chr(97 + i % 13)}") for i in range(200)], "doc_id long, lang string, text string")
+    whole, small = langid.fit(docs), langid.fit(docs, room=20_000)
+    assert 0 < len(small["at"]) * (langid.ENTRY + 8) <= 20_000 < len(whole["at"]) * (langid.ENTRY + 8)
 
 
 def test_held_out_languages(spark):
