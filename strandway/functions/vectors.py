@@ -41,3 +41,21 @@ def circular_degrees(a: Column, b: Column) -> Column:
 def seed_of(text: Column) -> Column:
     """A stable 31-bit seed: the first eight bytes of sha256, masked."""
     return F.conv(F.substring(F.sha2(text, 256), 9, 8), 16, 10).cast("long").bitwiseAND(F.lit(0x7FFFFFFF))
+
+
+def slices(v: Column, sizes: dict[str, int]) -> dict[str, Column]:
+    """The parts of a vector by their sizes, in the declared order."""
+    at, parts = 1, {}
+    for name, size in sizes.items():
+        parts[name] = F.slice(v, at, size)
+        at += size
+    return parts
+
+
+def joined(*parts: Column) -> Column:
+    return F.concat(*parts)
+
+
+def dropped_out(v: Column, u: Column, p: float) -> Column:
+    """A vector of doubles; zeros where the draw ``u`` is under ``p``, else the vector."""
+    return F.when(u < p, F.transform(v, lambda x: F.lit(0).cast("double"))).otherwise(v)

@@ -152,3 +152,27 @@ def best_lag(errors: DataFrame, keys: list[str]) -> DataFrame:
     """by_error and by_correlation of rows with lag, error and r; the first lag wins a tie."""
     first = lambda score: F.min_by("lag", F.struct(score, F.col("lag")))
     return errors.groupBy(*keys).agg(first(F.col("error")).alias("by_error"), first(-F.coalesce("r", F.lit(0.0))).alias("by_correlation"))
+
+
+def busiest_window(df: DataFrame, keys: list[str], order: list[str], energy: str, width: int) -> DataFrame:
+    """first and total: the whole window of ``width`` rows with the most energy; the first of equal ones."""
+    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(0, width - 1)
+    sums = df.withColumn("_e", F.sum(energy).over(w)).where(F.col("pos") + width <= F.col("n"))
+    return sums.groupBy(*keys).agg(F.max_by("pos", F.struct(F.col("_e"), -F.col("pos"))).alias("first"), F.max("_e").alias("total"))
+
+
+def clip_chunks(lengths: DataFrame, size: int) -> DataFrame:
+    """chunk, first and stop: a sequence in chunks of ``size``; a rest of at least half a chunk is one of its own, a
+    smaller one is left out."""
+    chunks = F.floor(F.col("n") / size) + F.when(2 * (F.col("n") % size) >= size, 1).otherwise(0)
+    rows = lengths.withColumn("_c", chunks.cast("int")).where("_c > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("_c") - 1))).drop("_c")
+    return rows.withColumns({"first": (F.col("chunk") * size).cast("long"), "stop": F.least(F.col("n").cast("long"), (F.col("chunk") + 1) * size)})
+
+
+def corrupted(df: DataFrame, width: int, kind: str) -> DataFrame:
+    """source_pos: which row a window of ``width`` rows shows in this row's place when it is frozen on its first row,
+    reversed, or shifted by one with the first repeated."""
+    start = F.floor(F.col("pos") / width) * width
+    stop = F.least(F.col("n"), start + width) - 1
+    moved = {"frozen": start, "reversed": start + stop - F.col("pos"), "shifted": F.greatest(start, F.col("pos") - 1)}[kind]
+    return df.withColumn("source_pos", moved.cast("long"))
