@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandway.functions.vectors import circular_degrees
 from strandway.operators.selection import evenly_spaced, hash_order, top_k
 
 
@@ -104,15 +105,15 @@ def angular_pools(angles: DataFrame, pools: DataFrame, query_id: str, angle: str
     """query_id, pool_angle, degrees, rank: the pool of the query's own angle alone where one is nearer than ``exact``
     degrees, else the ``k`` nearest by circular distance, ties to the lesser angle.
 
-    Every pool enters as itself and a turn to either side, which makes the circle a line for nearest_scalars.
+    Distinct angles of pools are a few directories: they travel as one row with an array, of checked size, and each
+    query ranks them by itself, so nothing is shuffled.
     """
-    line = pools.select(F.lit(0).alias("_key"), F.col(pool_angle)).distinct()
-    turned = line.select("_key", pool_angle, F.explode(F.array(*[F.pmod(F.col(pool_angle).cast("double"), F.lit(360.0)) + 360.0 * t for t in (-1, 0, 1)])).alias("_a"))
-    q = angles.select(F.lit(0).alias("_key"), query_id, F.pmod(F.col(angle).cast("double"), F.lit(360.0)).alias("_a"))
-    # distinct angles of pools are a few directories; the queries meet them as a broadcast of checked size
-    if turned.count() > 3 * 3600:
+    known = pools.select(F.col(pool_angle).cast("double").alias("a")).distinct()
+    if known.count() > 3600:
         raise ValueError("more than 3600 distinct pool angles")
-    pairs = q.join(F.broadcast(turned.withColumnRenamed("_a", "_b")), "_key").groupBy(query_id, pool_angle).agg(F.min(F.abs(F.col("_a") - F.col("_b"))).alias("degrees"))
-    found = top_k(pairs, [query_id], [F.col("degrees"), F.col(pool_angle)], k)
-    first = F.min("degrees").over(W.partitionBy(query_id))
-    return found.withColumn("_first", first).where((F.col("_first") >= exact) | (F.col("rank") == 1)).drop("_first")
+    one = known.agg(F.sort_array(F.collect_list("a")).alias("_pools"))
+    q = angles.select(query_id, F.col(angle).cast("double").alias("_a")).join(F.broadcast(one))
+    each = F.array_sort(F.transform("_pools", lambda b: F.struct(circular_degrees(F.pmod(F.col("_a"), F.lit(360.0)), F.pmod(b, F.lit(360.0))).alias("degrees"), b.alias(pool_angle))))
+    near = q.select(query_id, F.slice(each, 1, k).alias("_n"))
+    count = F.when(F.col("_n")[0]["degrees"] < exact, 1).otherwise(F.size("_n"))
+    return near.select(query_id, F.posexplode(F.slice("_n", F.lit(1), count)).alias("_i", "_x")).select(query_id, "_x.*", (F.col("_i") + 1).alias("rank"))

@@ -98,3 +98,13 @@ def vector_mse(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """mse: the mean squared difference over all components of a key's pairs of vectors."""
     d = df.select(*keys, F.explode(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0)))).alias("_d"))
     return d.groupBy(*keys).agg(F.avg("_d").alias("mse"))
+
+
+def ensemble(df: DataFrame, keys: list[str], value: str, threshold: float = 0.05) -> DataFrame:
+    """average, lcb (average less one deviation), success_vote (share over the threshold) and majority_mean (the mean of
+    those over it, 0 where they are under half), each within [0, 1]."""
+    x = F.col(value).cast("double")
+    won = F.avg((x > threshold).cast("int"))
+    mean = F.coalesce(F.avg(F.when(x > threshold, x)), F.lit(0.0))
+    each = {"average": F.avg(x), "lcb": lower_confidence(F.avg(x), F.stddev_samp(x)), "success_vote": won, "majority_mean": F.when(won >= 0.5, mean).otherwise(0.0)}
+    return df.groupBy(*keys).agg(*[F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)).alias(k) for k, v in each.items()])

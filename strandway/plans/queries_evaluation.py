@@ -278,3 +278,50 @@ def h4(spark, sf_dir):
 )
 def h21(spark, sf_dir):
     return ev.ridge(table(spark, sf_dir, "lineitem"), ["l_quantity"], "l_extendedprice", 2.0).withColumn("weight", rounded("weight", 3))
+
+
+@query(
+    "d19_ensemble_clipped",
+    """WITH x AS (SELECT user_id, event_type, (value - 40) / 50 AS v FROM events), g AS (SELECT user_id, event_type, avg(v) AS a, coalesce(stddev_samp(v), 0) AS s, avg(CASE WHEN v > 0.05 THEN 1.0 ELSE 0.0 END) AS w, coalesce(avg(v) FILTER (v > 0.05), 0) AS m FROM x GROUP BY ALL)
+    SELECT user_id, event_type, round(greatest(0, least(1, a)), 6) AS average, round(greatest(0, least(1, a - s)), 6) AS lcb, round(w, 6) AS success_vote, round(CASE WHEN w >= 0.5 THEN greatest(0, least(1, m)) ELSE 0 END, 6) AS majority_mean FROM g""",
+)
+def d19(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("v", (F.col("value") - 40) / 50)
+    s = st.ensemble(e, ["user_id", "event_type"], "v")
+    return s.select("user_id", "event_type", *[rounded(c).alias(c) for c in s.columns[2:]])
+
+
+# Twelve units of the whole table: event types as tasks, users by parity as seeds.
+_TWELVE = "SELECT event_type AS task, user_id % 2 AS seed, median(value) FILTER (event_id % 2 = 0) - median(value) FILTER (event_id % 2 = 1) AS d FROM events GROUP BY ALL"
+
+
+def twelve(spark, sf_dir):
+    even = F.col("event_id") % 2 == 0
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("task"), (F.col("user_id") % 2).alias("seed")).agg((F.median(F.when(even, F.col("value"))) - F.median(F.when(~even, F.col("value")))).alias("d"))
+
+
+@query(
+    "d23_bootstrap_of_whole_table",
+    f"""WITH u AS ({_TWELVE}), r AS (SELECT d, dense_rank() OVER (ORDER BY task) - 1 AS ti, row_number() OVER (PARTITION BY task ORDER BY seed) - 1 AS si FROM u),
+    k AS (SELECT b, CAST('0x' || substr(sha256('20260711:' || b || ':' || i), 1, 7) AS BIGINT) % 6 AS ti, CAST('0x' || substr(sha256('20260711:' || b || ':' || i || ':' || j), 1, 7) AS BIGINT) % 2 AS si FROM range(10000) x(b), range(6) y(i), range(2) z(j)),
+    m AS (SELECT b, median(d) AS m FROM k JOIN r USING (ti, si) GROUP BY b)
+    SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""",
+)
+def d23(spark, sf_dir):
+    from strandway.operators.inference import hierarchical_bootstrap
+
+    out = hierarchical_bootstrap(twelve(spark, sf_dir), "task", "seed", "d", 10_000, "20260711")
+    return out.select(rounded("low").alias("low"), rounded("high").alias("high"))
+
+
+@query(
+    "d24_sign_flip_of_whole_table",
+    f"""WITH u AS ({_TWELVE}), r AS (SELECT round(d * 1000000) AS d, row_number() OVER (ORDER BY task, seed) - 1 AS i FROM u),
+    m AS (SELECT bits, sum(CASE WHEN (bits >> i) & 1 = 1 THEN d ELSE -d END) AS s FROM range(4096) t(bits), r GROUP BY bits)
+    SELECT avg(CASE WHEN s <= (SELECT sum(d) FROM r) THEN 1.0 ELSE 0.0 END) AS p FROM m""",
+)
+def d24(spark, sf_dir):
+    from strandway.operators.inference import sign_flip_p
+
+    u = twelve(spark, sf_dir).select(F.lit("all").alias("family"), F.concat_ws("|", "task", F.col("seed").cast("string")).alias("unit"), F.round(F.col("d") * 1_000_000).alias("d"))  # whole numbers, so ties are exact
+    return sign_flip_p(u, ["family"], "unit", "d").select("p")

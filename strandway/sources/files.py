@@ -5,6 +5,7 @@ All reads go through Spark's readers, so any store that Spark knows will do.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -79,7 +80,8 @@ def write_once(df: DataFrame, path: str, digest: str) -> DataFrame:
     """
     spark = df.sparkSession
     target = f"{path.rstrip('/')}/{digest}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    try:
+        spark.read.format("binaryFile").load(f"{target}/_SUCCESS")
+    except AnalysisException:  # no such path
         df.write.mode("overwrite").parquet(target)
     return spark.read.schema(df.schema).parquet(target)
