@@ -113,7 +113,7 @@ def angular_pools(angles: DataFrame, pools: DataFrame, query_id: str, angle: str
         raise ValueError("more than 3600 distinct pool angles")
     one = known.agg(F.sort_array(F.collect_list("a")).alias("_pools"))
     q = angles.select(query_id, F.col(angle).cast("double").alias("_a")).join(F.broadcast(one))
-    each = F.array_sort(F.transform("_pools", lambda b: F.struct(circular_degrees(F.pmod(F.col("_a"), F.lit(360.0)), F.pmod(b, F.lit(360.0))).alias("degrees"), b.alias(pool_angle))))
+    each = F.array_sort(F.transform("_pools", lambda b: F.struct(circular_degrees(F.pmod(F.col("_a"), F.lit(360.0)), F.pmod(b, F.lit(360.0))).alias("degrees"), b.cast(pools.schema[pool_angle].dataType).alias(pool_angle))))
     near = q.select(query_id, F.slice(each, 1, k).alias("_n"))
     count = F.when(F.col("_n")[0]["degrees"] < exact, 1).otherwise(F.size("_n"))
     return near.select(query_id, F.posexplode(F.slice("_n", F.lit(1), count)).alias("_i", "_x")).select(query_id, "_x.*", (F.col("_i") + 1).alias("rank"))

@@ -291,7 +291,7 @@ def d19(spark, sf_dir):
     return s.select("user_id", "event_type", *[rounded(c).alias(c) for c in s.columns[2:]])
 
 
-# Twelve units of the whole table: event types as tasks, users by parity as seeds.
+# Units of the whole table, at most twelve: event types as tasks, users by parity as seeds.
 _TWELVE = "SELECT event_type AS task, user_id % 2 AS seed, median(value) FILTER (event_id % 2 = 0) - median(value) FILTER (event_id % 2 = 1) AS d FROM events GROUP BY ALL"
 
 
@@ -303,7 +303,7 @@ def twelve(spark, sf_dir):
 @query(
     "d23_bootstrap_of_whole_table",
     f"""WITH u AS ({_TWELVE}), r AS (SELECT d, dense_rank() OVER (ORDER BY task) - 1 AS ti, row_number() OVER (PARTITION BY task ORDER BY seed) - 1 AS si FROM u),
-    k AS (SELECT b, CAST('0x' || substr(sha256('20260711:' || b || ':' || i), 1, 7) AS BIGINT) % 6 AS ti, CAST('0x' || substr(sha256('20260711:' || b || ':' || i || ':' || j), 1, 7) AS BIGINT) % 2 AS si FROM range(10000) x(b), range(6) y(i), range(2) z(j)),
+    k AS (SELECT b, CAST('0x' || substr(sha256('20260711:' || b || ':' || i), 1, 7) AS BIGINT) % (SELECT count(DISTINCT task) FROM u) AS ti, CAST('0x' || substr(sha256('20260711:' || b || ':' || i || ':' || j), 1, 7) AS BIGINT) % 2 AS si FROM range(10000) x(b), (SELECT DISTINCT ti AS i FROM r) y, range(2) z(j)),
     m AS (SELECT b, median(d) AS m FROM k JOIN r USING (ti, si) GROUP BY b)
     SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""",
 )

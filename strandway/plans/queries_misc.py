@@ -45,7 +45,7 @@ def c4(spark, sf_dir):
 @query(
     "c11_leakage_safe_pairs",
     f"""WITH {FRAMES}, w AS (SELECT user_id, user_id % 40 AS task, event_id AS id, pos - 2 AS first, pos + 1 AS ff, pos + 3 AS fl FROM f WHERE pos >= 2 AND pos + 3 < n AND (pos - 2) % 3 = 0)
-    SELECT q.task, q.id AS query, count(*) AS candidates, sum(c.id) AS ids FROM w q JOIN w c USING (task) WHERE NOT (q.user_id = c.user_id AND (q.id = c.id OR (c.first <= q.fl AND q.ff <= c.fl))) GROUP BY ALL""",
+    SELECT q.task, q.id AS query, count(*) AS candidates, CAST(sum(c.id) AS BIGINT) AS ids FROM w q JOIN w c USING (task) WHERE NOT (q.user_id = c.user_id AND (q.id = c.id OR (c.first <= q.fl AND q.ff <= c.fl))) GROUP BY ALL""",
 )
 def c11(spark, sf_dir):
     w = frames(spark, sf_dir).where("pos >= 2 AND pos + 3 < n AND (pos - 2) % 3 = 0")

@@ -26,12 +26,12 @@ _E = "SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOU
 @query(
     "b1_pose_of_euler",
     f"""WITH e AS ({_E}), a AS (SELECT *, radians(p) AS i, radians(q) AS j, radians(r) AS k FROM e)
-    SELECT vec_id, round(x * 2, 6) AS v0, round(cos(k) * cos(j), 6) AS v3, round(sin(k) * cos(j), 6) AS v4, round(-sin(j), 6) AS v5, round(cos(k) * sin(j) * sin(i) - sin(k) * cos(i), 6) AS v6, round(sin(k) * sin(j) * sin(i) + cos(k) * cos(i), 6) AS v7,
-           round(cos(j) * sin(i), 6) AS v8, round(g, 6) AS v9 FROM a""",
+    SELECT vec_id, round(x * 2, 6) + 0.0 AS v0, round(cos(k) * cos(j), 6) + 0.0 AS v3, round(sin(k) * cos(j), 6) + 0.0 AS v4, round(-sin(j), 6) + 0.0 AS v5, round(cos(k) * sin(j) * sin(i) - sin(k) * cos(i), 6) + 0.0 AS v6, round(sin(k) * sin(j) * sin(i) + cos(k) * cos(i), 6) + 0.0 AS v7,
+           round(cos(j) * sin(i), 6) + 0.0 AS v8, round(g, 6) + 0.0 AS v9 FROM a""",
 )
 def b1(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").withColumn("v", rot.pose_of_euler(F.slice("embedding", 1, 6), F.element_at("embedding", 10), 2.0))
-    return v.select("vec_id", *[rounded(F.col("v")[i]).alias(f"v{i}") for i in (0, 3, 4, 5, 6, 7, 8, 9)])
+    return v.select("vec_id", *[(rounded(F.col("v")[i]) + 0.0).alias(f"v{i}") for i in (0, 3, 4, 5, 6, 7, 8, 9)])
 
 
 @query("h16_rotation_round_trip", f"SELECT vec_id, round(x, 6) AS a, round(y, 6) AS b, round(z, 6) AS c FROM ({_E})")
@@ -49,7 +49,7 @@ def h12(spark, sf_dir):
     return v.select("vec_id", *[rounded(F.col("v")[i]).alias(c) for i, c in enumerate("xyz")], rounded(F.col("v")[3]).alias("m0"), rounded(F.col("v")[11]).alias("m8"))
 
 
-@query("h13_projected_action", f"SELECT vec_id, round(x, 6) AS x, round(greatest(0, least(1, g)), 6) AS grip, round(CASE WHEN vec_id % 3 = 0 THEN 0 ELSE 1 END, 6) AS length, vec_id % 3 = 0 AS fell_back FROM ({_E})")
+@query("h13_projected_action", f"SELECT vec_id, round(x, 6) AS x, round(greatest(0, least(1, g)), 6) AS grip, CAST(CASE WHEN vec_id % 3 = 0 THEN 0 ELSE 1 END AS DOUBLE) AS length, vec_id % 3 = 0 AS fell_back FROM ({_E})")
 def h13(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     bad = F.concat(F.slice("embedding", 1, 3), F.transform(F.slice("embedding", 4, 6), lambda x: x * 0), F.slice("embedding", 10, 1))
