@@ -69,3 +69,31 @@ def relative_history(history: Column, mean: Column, std: Column) -> Column:
     last = F.element_at(history, -1)
     each = lambda s: F.zip_with(F.zip_with(F.zip_with(s, last, lambda a, b: a - b), mean, lambda a, m: a - m), std, lambda a, d: a / d)
     return unit(F.flatten(F.transform(history, each)))
+
+
+ABSOLUTE_BOUNDS = {"quaternion": (-1.0, 1.0), "six": (-1.0, 1.0), "matrix": (-1.0, 1.0), "euler": (-3.141592653589793, 3.141592653589793)}
+
+
+def rotation_normalised(v: Column, source: str, target: str, relative: bool = False) -> Column:
+    """A rotation in another form (euler, quaternion, six, matrix), by the form's own bounds within [-1, 1]. Relative
+    rotations have no such bounds and raise a ValueError."""
+    from strandway.functions import rotations as rot
+
+    if relative:
+        raise ValueError("a relative rotation has no fixed bounds")
+    same = lambda m: m
+    read = {"euler": rot.matrix_of_euler, "quaternion": rot.matrix_of_quaternion, "six": rot.matrix_of_6d, "matrix": same}[source]
+    write = {"euler": rot.euler_of_matrix, "quaternion": rot.quaternion_of_matrix, "six": rot.six_of_matrix, "matrix": same}[target]
+    low, high = ABSOLUTE_BOUNDS[target]
+    return F.transform(rot.bound(read(v), write), lambda x: normalised(x.cast("double"), "min_max", F.lit(low), F.lit(high)))
+
+
+def rotation_restored(v: Column, source: str, target: str) -> Column:
+    """The inverse of rotation_normalised(v, source, target), in reverse order: bounds first, then the form."""
+    from strandway.functions import rotations as rot
+
+    same = lambda m: m
+    low, high = ABSOLUTE_BOUNDS[target]
+    read = {"euler": rot.matrix_of_euler, "quaternion": rot.matrix_of_quaternion, "six": rot.matrix_of_6d, "matrix": same}[target]
+    write = {"euler": rot.euler_of_matrix, "quaternion": rot.quaternion_of_matrix, "six": rot.six_of_matrix, "matrix": same}[source]
+    return rot.bound(read(F.transform(v, lambda x: restored(x, "min_max", F.lit(low), F.lit(high)))), write)

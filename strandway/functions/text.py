@@ -114,3 +114,46 @@ def profile_of_json(text: Column) -> Column:
 def utc(at: Column) -> Column:
     """A timestamp as text in ISO form, in UTC."""
     return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def image_caption(record: Column, kind: str, variants: list[str], u: Column) -> Column:
+    """style and text of an image's caption record (JSON): of ``qwen2p5_7b_v4`` one of ``variants`` drawn by ``u``, of
+    ``prompts`` the prompt, of ``ai_v3p1`` the one model's caption or, where it couldn't be read, the other's. Null
+    where the record hasn't got it. Records call their captions 'captions' or 'caption'."""
+    at = lambda path: F.get_json_object(record, path)
+    if kind == "qwen2p5_7b_v4":
+        style = F.element_at(F.array(*[F.lit(v) for v in variants]), (F.floor(u * len(variants)) + 1).cast("int"))
+        text = F.coalesce(*[F.when(style == v, F.coalesce(at(f"$.captions['{v}']"), at(f"$.caption['{v}']"))) for v in variants])
+    elif kind == "prompts":
+        style, text = F.lit(kind), at("$.caption.prompt")
+    elif kind == "ai_v3p1":
+        broken = at("$.had_parse_issue").try_cast("boolean")
+        style, text = F.lit(kind), F.when(broken, at("$.captions.kosmos_2")).when(~broken, at("$.captions.vfc"))
+    else:
+        raise ValueError(kind)
+    return F.when(text.isNotNull(), F.struct(style.alias("style"), text.alias("text")))
+
+
+def caption_of_json(text: Column, prompt_type: str | None = None) -> Column:
+    """The caption in the JSON text {model: {prompt type: caption}}, outer braces or not: of the first model, the given
+    prompt type or else the first. What can't be read gives an empty text."""
+    whole = F.when(F.ltrim(text).startswith("{"), text).otherwise(F.concat(F.lit("{"), text, F.lit("}")))
+    first = F.get(F.map_values(F.from_json(whole, "map<string,map<string,string>>")), F.lit(0))
+    chosen = F.get(F.map_values(first), F.lit(0))
+    return F.coalesce(F.coalesce(F.try_element_at(first, F.lit(prompt_type)), chosen) if prompt_type else chosen, F.lit(""))
+
+
+def safety(text: Column, words: list[str], allowed: list[str], exact: list[str], lemmas: dict[str, str], letters: float | None = None) -> Column:
+    """safe and reason of a prompt: an empty one is not safe; then it is made ASCII and looked through for block words
+    as it is, for block words in its base forms (``lemmas``), and for ``exact`` whole words, nearly equal ones too
+    where ``letters`` is given."""
+    clean = ascii_only(text)
+    base = F.create_map(*[F.lit(x) for pair in lemmas.items() for x in pair]) if lemmas else None
+    tokens = F.split(normal(clean), " ")
+    lemmatised = F.array_join(F.transform(tokens, lambda w: F.coalesce(F.try_element_at(base, w), w)), " ") if lemmas else normal(clean)
+    starred = lambda t: censored(t, words, allowed) != F.trim(F.regexp_replace(t, r"\s+", " "))
+    checks = [("empty", text.isNull() | (text == "")), ("blocked", starred(clean)), ("blocked base form", starred(lemmatised)), ("exact word", blocked(clean, exact))]
+    if letters is not None:
+        checks.append(("nearly exact word", nearly_blocked(clean, exact, letters)))
+    reason = F.coalesce(*[F.when(hit, F.lit(name)) for name, hit in checks])
+    return F.struct(reason.isNull().alias("safe"), F.coalesce(reason, F.lit("safe")).alias("reason"))

@@ -59,3 +59,9 @@ def joined(*parts: Column) -> Column:
 def dropped_out(v: Column, u: Column, p: float) -> Column:
     """A vector of doubles; zeros where the draw ``u`` is under ``p``, else the vector."""
     return F.when(u < p, F.transform(v, lambda x: F.lit(0).cast("double"))).otherwise(v)
+
+
+def pooled(latent: Column) -> Column:
+    """The mean of each channel (an array of places) as one vector of length one; null where it has almost no length."""
+    mean = F.transform(latent, lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(c))
+    return F.element_at(F.transform(F.array(mean), unit), 1)

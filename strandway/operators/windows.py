@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandway.functions import rotations as rot
 from strandway.functions.seeds import uniform
 
 
@@ -176,3 +177,67 @@ def corrupted(df: DataFrame, width: int, kind: str) -> DataFrame:
     stop = F.least(F.col("n"), start + width) - 1
     moved = {"frozen": start, "reversed": start + stop - F.col("pos"), "shifted": F.greatest(start, F.col("pos") - 1)}[kind]
     return df.withColumn("source_pos", moved.cast("long"))
+
+
+def relative_poses(df: DataFrame, keys: list[str], order: list[str], pose: str, rebase: int = 1) -> DataFrame:
+    """relative: place and xyz angles of each row but the first, seen from a base row of its sequence. The base is the
+    row before, or with ``rebase`` over 1 the last row before whose place in the sequence divides by it."""
+    w = W.partitionBy(*keys).orderBy(*order)
+    back = (F.col("pos") - 1) % rebase
+    base = F.lag(pose, 1).over(w) if rebase == 1 else F.coalesce(*[F.when(back == d, F.lag(pose, d + 1).over(w)) for d in range(rebase)])
+    rows = df.withColumn("_b", base).where("_b IS NOT NULL")
+    angles = lambda p: F.slice(p, 4, 3)
+    moved = F.zip_with(F.slice(pose, 1, 3), F.slice("_b", 1, 3), lambda a, b: a - b)
+    rows = rows.withColumns({"_t": rot.transposed(rot.matrix_of_euler(angles(F.col("_b")))), "_d": moved, "_m": rot.matrix_of_euler(angles(F.col(pose)))})
+    place = F.array(*[sum((F.col("_t")[3 * i + j] * F.col("_d")[j] for j in (1, 2)), F.col("_t")[3 * i] * F.col("_d")[0]) for i in range(3)])
+    return rows.withColumn("relative", F.concat(place, rot.bound(rot.product(F.col("_t"), F.col("_m")), rot.euler_of_matrix))).drop("_b", "_t", "_d", "_m")
+
+
+def sampled_stride(n: Column, fps: Column, low: float, high: float, length: int, u: Column, v: Column) -> Column:
+    """stride, start and fps of ``length`` frames of ``n``: of the strides that keep the rate within [low, high] the
+    largest, or for one draw ``u`` in a hundred the one below it; the start is drawn by ``v``. Null without any."""
+    least = F.greatest(F.lit(1), F.ceil(fps / F.lit(high))).cast("int")
+    most = F.least(F.floor((n - 1) / (length - 1)), F.floor(fps / F.lit(low))).cast("int")
+    stride = F.when((u < 0.01) & (most > least), most - 1).otherwise(most)
+    starts = n - (length - 1) * stride
+    return F.when(most >= least, F.struct(stride.alias("stride"), F.floor(v * starts).cast("int").alias("start"), (fps / stride).alias("fps")))
+
+
+def window_frames(start: Column, stop: Column, count: int, how: str, u: Column | None = None, allowed: tuple[int, ...] = (1,)) -> Column:
+    """Frame numbers of a caption window [start, stop), null where it is too short: the middle ``count`` at the lowest
+    rate whose step is ``allowed`` (native) or at the rate it has (original); ``count`` in a row from a start drawn by
+    ``u`` (consecutive); or every fourth and every fifth of those, both but for the first and the last
+    (interleaved)."""
+    total = (stop - start).cast("int")
+    if how in ("native", "original"):
+        step = F.floor(total / count).cast("int") if how == "native" else F.lit(1)
+        first = start.cast("int") + F.floor((total - count * step) / 2).cast("int")
+        fits = (total >= count) & (step.isin(*allowed) if how == "native" else F.lit(True))
+        return F.when(fits, F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: first + i * step))
+    first = start.cast("int") + F.floor(u * (total - count + 1)).cast("int")
+    if how == "consecutive":
+        return F.when(total >= count, F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: first + i))
+    if how == "interleaved":
+        places = sorted([*range(0, count, 4), *range(0, count, 5)])[1:-1]
+        return F.when(total >= count, F.transform(F.array(*[F.lit(p) for p in places]), lambda i: first + i))
+    raise ValueError(how)
+
+
+def spaced_windows(lengths: DataFrame, every: int, length: int, interval: int) -> DataFrame:
+    """first and frames: whole windows of ``length`` frames ``interval`` apart that start ``every`` frames."""
+    last = F.col("n") - 1 - (length - 1) * interval
+    rows = lengths.where(last >= 0).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"), F.lit(every).cast("long"))))
+    return rows.withColumn("frames", F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.col("first") + i * interval))
+
+
+def consecutive(values: Column, count: int, u: Column | None = None) -> Column:
+    """``count`` neighbours of an array, from its start or from a place drawn by ``u``; null where it is shorter."""
+    first = F.lit(0) if u is None else F.floor(u * (F.size(values) - count + 1)).cast("int")
+    return F.when(F.size(values) >= count, F.slice(values, first + 1, F.lit(count)))
+
+
+def view_metrics(df: DataFrame, keys: list[str], value: str, strides: list[int]) -> DataFrame:
+    """view (a stride), frames, pairs and residual (mean absolute difference of neighbours) of each strided view."""
+    rows = df.withColumn("view", F.explode(F.array(*[F.lit(s) for s in strides]))).where(F.col("pos") % F.col("view") == 0)
+    later = F.lead(value).over(W.partitionBy("view", *keys).orderBy("pos"))
+    return rows.withColumn("_d", F.abs(later - F.col(value))).groupBy("view").agg(F.count("*").alias("frames"), F.count("_d").alias("pairs"), F.avg("_d").alias("residual"))

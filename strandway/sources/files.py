@@ -85,3 +85,59 @@ def write_once(df: DataFrame, path: str, digest: str) -> DataFrame:
     except AnalysisException:  # no such path
         df.write.mode("overwrite").parquet(target)
     return spark.read.schema(df.schema).parquet(target)
+
+
+def listed(files: DataFrame, manifest: DataFrame, episodes: str, least: int) -> DataFrame:
+    """The files that a frozen manifest's array ``episodes`` names by path; under ``least`` of them raise a ValueError."""
+    found = files.join(manifest.select(F.explode(episodes).alias("path")).distinct(), "path", "left_semi")
+    if (n := found.count()) < least:
+        raise ValueError(f"{n} of {least} episodes of the manifest found")
+    return found
+
+
+def sample_keys(spark: SparkSession, index: str) -> DataFrame:
+    """key: the first column of an index file, without extension."""
+    read = spark.read.parquet(index)
+    return read.select(F.split_part(F.col(f"`{read.columns[0]}`").cast("string"), F.lit("."), F.lit(1)).alias("key"))
+
+
+def table_of(spark: SparkSession, path: str, kind: str, schema: str | None = None) -> DataFrame:
+    """A file or folder as a table: csv (with a header), jsonl, json (a document a file), txt (lines), parquet, or bytes
+    (whole files, of any other kind). Spark's readers unpack .gz by themselves."""
+    read = spark.read.schema(schema) if schema else spark.read
+    if kind == "csv":
+        return read.option("header", True).option("inferSchema", schema is None).csv(path)
+    if kind in ("json", "jsonl"):
+        return read.option("multiLine", kind == "json").json(path)
+    if kind == "txt":
+        return spark.read.text(path)
+    if kind == "parquet":
+        return read.parquet(path)
+    if kind == "bytes":
+        return spark.read.format("binaryFile").load(path)
+    raise ValueError(kind)
+
+
+def write_table(df: DataFrame, path: str, kind: str) -> None:
+    """``df`` as csv, json or parquet, in place of what is there; its success mark comes last."""
+    writer = df.write.mode("overwrite")
+    if kind == "csv":
+        writer = writer.option("header", True)
+    writer.format(kind).save(path)
+
+
+def annotations(spark: SparkSession, folder_: str, schema: str) -> DataFrame:
+    """The JSON documents of a folder, one row a file, with path."""
+    return spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder_).withColumn("path", F.col("_metadata.file_path"))
+
+
+def camera_streams(shards_: DataFrame, keys: list[str], cameras: list[str], expanded: str = "videos") -> DataFrame:
+    """One row for each shard and stream: ``expanded`` is one stream a camera, any other key is one itself."""
+    each = F.flatten(F.array(*[F.array(*[F.lit(f"{k}/{c}") for c in cameras]) if k == expanded else F.array(F.lit(k)) for k in keys]))
+    return shards_.withColumn("stream", F.explode(each))
+
+
+def telemetry(df: DataFrame, values: list[str]) -> DataFrame:
+    """metric, avg, max, min over all ranks' rows."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("_v")) for v in values])).alias("_x")).select("_x.*")
+    return long.groupBy("metric").agg(F.avg("_v").alias("avg"), F.max("_v").alias("max"), F.min("_v").alias("min"))

@@ -63,3 +63,62 @@ def best_demos(scores: DataFrame, n: int) -> DataFrame:
     """episode, step, demo, t, score, rank: the ``n`` demos of least score at each step, each at its best chunk."""
     best = scores.groupBy("episode", "step", "demo").agg(F.min(F.struct("score", "t")).alias("b"))
     return top_k(best.select("episode", "step", "demo", "b.t", "b.score"), ["episode", "step"], [F.col("score"), F.col("demo")], n)
+
+
+TRACKS = "episode string, step long, rank int, demo string, t long, followed boolean"
+
+
+def follow(tracks: list[tuple[str, int] | None], best: list[tuple[float, str, int]], close: set[tuple[str, int]], chunk: int) -> list[tuple[str, int, bool]]:
+    """demo, t and whether it was followed, for each track after one step. A track goes on to the chunk after its own
+    where that is close; else it takes the nearest chunk of a demo that no other track is on, or the nearest of all
+    where there is none. ``best`` has each demo's nearest chunk, nearest first."""
+    now, out = list(tracks), []
+    for rank, own in enumerate(tracks):
+        if own is not None and (own[0], own[1] + chunk) in close:
+            now[rank], followed = (own[0], own[1] + chunk), True
+        else:
+            taken = {o[0] for i, o in enumerate(now) if i != rank and o is not None}
+            _, demo, t = next((b for b in best if b[1] not in taken), best[0])
+            now[rank], followed = (demo, t), False
+        out.append((*now[rank], followed))
+    return out
+
+
+def consistent_tracks(distances: DataFrame, tracks: int, threshold: float, chunk: int, idle: int | None = None) -> DataFrame:
+    """episode, step, rank, demo, t, followed for a stream of episode, step, demo, t, distance (a squared distance):
+    ``tracks`` tracks an episode, each kept while its next chunk is within ``threshold``; ties go to the lesser demo and
+    t. Track 0 is the one to act on.
+
+    A step's rows come in one micro-batch, and steps of an episode in order; those of a step already passed are left
+    out. Of a step's rows a task holds each demo's nearest one and those within the threshold; state is the tracks.
+    """
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        at, demos, ts = state.get if state.exists else (-1, [], [])
+        now = list(zip(demos, ts, strict=True)) or [None] * tracks
+        best: dict[int, dict[str, tuple[float, int]]] = {}
+        close: dict[int, set[tuple[str, int]]] = {}
+        for frame in frames:
+            rows = frame[(frame.step > at) & frame.distance.notna()]
+            for r in rows.sort_values(["distance", "t"]).drop_duplicates(["step", "demo"]).itertuples():
+                of = best.setdefault(int(r.step), {})
+                of[r.demo] = min(of.get(r.demo, (np.inf, 0)), (r.distance, int(r.t)))
+            for r in rows[rows.distance <= threshold].itertuples():
+                close.setdefault(int(r.step), set()).add((r.demo, int(r.t)))
+        out = []
+        for step in sorted(best):
+            found = follow(now, sorted((d, demo, t) for demo, (d, t) in best[step].items()), close.get(step, set()), chunk)
+            now, at = [(demo, t) for demo, t, _ in found], step
+            out += [(key[0], step, rank, *f) for rank, f in enumerate(found)]
+        if out:
+            state.update((at, [d for d, _ in now], [t for _, t in now]))
+            if idle:
+                state.setTimeoutDuration(idle)
+            yield pd.DataFrame(out, columns=["episode", "step", "rank", "demo", "t", "followed"])
+
+    given = distances.select(F.col("episode").cast("string"), F.col("step").cast("long"), F.col("demo").cast("string"), F.col("t").cast("long"), F.col("distance").cast("double"))
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    return given.groupBy("episode").applyInPandasWithState(run, TRACKS, "at long, demo array<string>, t array<long>", "append", timeout)
