@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandway.llm import bpe, html, langid, neardup, packing, quality, secrets, substrings, surrogates, topk
+from strandway.llm import bpe, centroids, html, langid, manifest, neardup, packing, quality, secrets, substrings, subwords, surrogates, topk
 from strandway.llm.scratch import stage
 
 #: Key of the surrogates; a deployment passes its own.
@@ -81,3 +81,22 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, stage, 5)
+
+
+@query
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), 16, 3, stage).drop("scanned")
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verify(table(spark, sf_dir, "documents"), stage)
+
+
+@query
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fifth = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    model = subwords.fit(docs, table(spark, sf_dir, "labels").where(fifth != 0), "quality", stage)
+    scored = subwords.score(docs, model, [F.coalesce(fifth == 0, F.lit(False)).alias("held_out")])
+    return scored.select("doc_id", "held_out", F.col("score")[1].alias("score")).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))

@@ -14,7 +14,70 @@ _PARTS = (("n_symbols", "word_chars"), ("n_upper", "word_chars"), ("n_marks", "w
 _SHARES = ", ".join(f"CASE WHEN {whole} > 0 THEN CAST(least(floor({part} * {quality.STEPS} / ({whole})), {quality.STEPS}) AS INT) ELSE 0 END" for part, whole in _PARTS)
 _RULE_NAMES, _N_RULES = ", ".join(f"'{r}'" for r in quality.RULES), len(quality.RULES)
 
+_ROUND = """
+    a{i} AS MATERIALIZED (
+        SELECT nth, arg_min(c, d * 16 + c) AS c, min(d) AS d FROM (
+            SELECT v.nth, m.c, list_sum(list_transform(list_zip(v.e, m.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v CROSS JOIN m{i} m)
+        GROUP BY nth),"""
+_MOVE = """
+    m{j} AS MATERIALIZED (
+        SELECT m.c, CASE WHEN n.e IS NULL THEN m.e ELSE n.e END AS e FROM m{i} m LEFT JOIN (
+            SELECT c, list(CAST(s // k - CASE WHEN s % k < 0 THEN 1 ELSE 0 END AS BIGINT) ORDER BY i) AS e FROM (
+                SELECT a.c, p.i, sum(v.e[p.i]) AS s, count(*) AS k FROM a{i} a JOIN v USING (nth), (SELECT unnest(range(1, 65)) AS i) p GROUP BY a.c, p.i)
+            GROUP BY c) n USING (c)),"""
+_CENTROIDS = "".join(_ROUND.format(i=i) + (_MOVE.format(i=i, j=i + 1) if i < 3 else "") for i in range(4))
+#: crc32 of x's digits, bit by bit
+_CRC = """
+    crc AS (SELECT x, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(x, ''), lambda b: list_prepend(CAST(ascii(b) AS BIGINT), [-1, -1, -1, -1, -1, -1, -1, -1])))),
+                lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c
+            FROM (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS x FROM documents WHERE doc_id IS NOT NULL)),"""
+_CELL = lambda c: f"coalesce(strlen({c}) || ':' || {c}, '-')"
+_LEAF = lambda text: "sha256(" + " || ".join(_CELL(c) for c in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)) + ")"
+_TAMPERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 SQL: dict[str, str] = {
+    "op11_centroid_clustering": f"""
+    WITH v AS MATERIALIZED (
+        SELECT row_number() OVER () AS nth, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    m0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, e) - 1 AS c, e FROM v QUALIFY c < 16),
+    {_CENTROIDS}
+    own AS (SELECT c, sum(d) AS d FROM a3 GROUP BY c)
+    SELECT v.vec_id, CAST(a3.c AS INT) AS cluster, CAST(a3.d AS BIGINT) AS distance, CAST(own.d AS BIGINT) AS cluster_inertia,
+           CAST((SELECT sum(d) FROM a3) AS BIGINT) AS inertia, sha256(array_to_string(m3.e, ',')) AS centroid_sha256
+    FROM v JOIN a3 USING (nth) JOIN own ON own.c = a3.c JOIN m3 ON m3.c = a3.c
+    """,
+    "op12_merkle_manifest": f"""
+    WITH RECURSIVE {_CRC}
+    docs AS MATERIALIZED (
+        SELECT row_number() OVER () AS nth, doc_id, coalesce('=' || lang, '-') AS tree, {_LEAF("text")} AS leaf, coalesce(xor(c, 4294967295) % 3 = 0, false) AS drawn, {_LEAF(_TAMPERED)} AS tampered
+        FROM documents LEFT JOIN crc ON x = CAST(doc_id AS VARCHAR)),
+    low AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, nth) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM docs),
+    level AS (
+        SELECT tree, 0 AS depth, idx, n, leaf AS h FROM low
+        UNION ALL
+        SELECT tree, depth + 1, idx // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY idx)) FROM level WHERE n > 1 GROUP BY tree, depth, idx // 8, n),
+    sub AS MATERIALIZED (SELECT tree, h, row_number() OVER (ORDER BY tree COLLATE "C") - 1 AS idx, count(*) OVER () AS n FROM level WHERE n = 1),
+    top AS (
+        SELECT 0 AS depth, idx, n, h FROM sub
+        UNION ALL
+        SELECT depth + 1, idx // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY idx)) FROM top WHERE n > 1 GROUP BY depth, idx // 8, n),
+    runs AS MATERIALIZED (
+        SELECT tree, depth, idx // 8 AS run, list(h ORDER BY idx) AS hs FROM level WHERE n > 1 GROUP BY ALL
+        UNION ALL
+        SELECT '' AS tree, depth, idx // 8 AS run, list(h ORDER BY idx) AS hs FROM top WHERE n > 1 GROUP BY ALL),
+    walk AS (
+        SELECT nth, tree, 0 AS depth, idx, n, '' AS proof, CASE WHEN drawn THEN tampered ELSE leaf END AS got FROM low
+        UNION ALL
+        SELECT w.nth, CASE WHEN w.n > 1 THEN w.tree ELSE '' END, CASE WHEN w.n > 1 THEN w.depth + 1 ELSE 0 END, CASE WHEN w.n > 1 THEN w.idx // 8 ELSE s.idx END, CASE WHEN w.n > 1 THEN (w.n + 7) // 8 ELSE s.n END,
+               CASE WHEN w.n > 1 THEN proof || array_to_string(hs[:w.idx % 8], '') || array_to_string(hs[w.idx % 8 + 2:], '') ELSE proof END,
+               CASE WHEN w.n > 1 THEN sha256(array_to_string(hs[:w.idx % 8], '') || got || array_to_string(hs[w.idx % 8 + 2:], '')) ELSE got END
+        FROM walk w LEFT JOIN runs r ON w.n > 1 AND r.tree = w.tree AND r.depth = w.depth AND r.run = w.idx // 8 LEFT JOIN sub s ON w.n = 1 AND s.tree = w.tree
+        WHERE w.n > 1 OR w.tree <> '')
+    SELECT doc_id, leaf, sub.h AS subroot, top.h AS root, sha256(proof) AS proof_sha256, got AS folded_root, got = top.h AS verified
+    FROM walk JOIN low USING (nth) JOIN sub ON sub.tree = low.tree CROSS JOIN (SELECT h FROM top WHERE n = 1) top
+    WHERE walk.tree = '' AND walk.n = 1
+    """,
     "op1_secret_scan": f"""
     WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
     m AS ({_FOUND}),
