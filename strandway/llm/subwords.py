@@ -14,10 +14,8 @@ class scores, a fixed megabyte or so, and a document's class scores are the aver
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,74 +23,69 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandway.llm.words import plain
+from strandway.llm.words import BYTE_BASE, WORD_BASE, Words, _powers, mix, plain, slices
 
 #: Labelled documents to learn from at most; hashed vectors and their size; lengths of n-grams; passes; first rate.
 SAMPLE, BUCKETS, DIMS, SHORTEST, LONGEST, PASSES, RATE = 4000, 1 << 17, 16, 2, 4, 6, 0.5
-#: Distances at which a repeated word is noticed.
+#: Distances at which a repeated word is noticed; their features come after the hashed ones.
 REPEATS = (1, 2)
-#: Words whose features a Python worker keeps, and the longest of those.
-MEMO, MEMO_LENGTH = 200_000, 64
+ROWS = BUCKETS + len(REPEATS)
+#: Words whose scores a Python worker keeps; bytes of texts that are scored together.
+MEMO, CHARS = 500_000, 1 << 20
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def features(word: str) -> np.ndarray:
-    """Buckets of a word and of its character n-grams, repeats kept."""
-    framed = f"^{word}$" if word.strip(" ") else ""
-    sizes = [max(0, len(framed) - k + 1) for k in range(SHORTEST, LONGEST + 1)]
-    grams = (framed[i : i + k] for k, n in enumerate(sizes, SHORTEST) for i in range(n))
-    hashes = (zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in chain([" " + word], grams))
-    return np.fromiter(hashes, np.int32, 1 + sum(sizes))
+def hashed(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, which word) of all features of some words: each word's own, then its n-grams by length and place.
 
-
-def bag(text: str) -> Counter:
-    """Words and repeats of a text, counted. A repeat is named by its distance, and no word has a blank in its name."""
+    A hash is a polynomial over code points modulo 2**64, with the length added, mixed; its highest bits are the bucket.
+    """
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    starts = np.cumsum(sizes) - sizes
+    code = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    of = np.repeat(np.arange(len(words)), sizes)
+    place = np.arange(len(code)) - starts[of]
+    up = _powers(WORD_BASE, int(sizes.max()))[0]
+    shift = np.uint64(64 - BUCKETS.bit_length() + 1)
+    buckets, owners = [mix(np.add.reduceat(code * up[place], starts))], [np.arange(len(words))]
+    gram = code
+    for k in range(2, LONGEST + 1):
+        gram = gram[:-1] * BYTE_BASE + code[k - 1 :]
+        if k >= SHORTEST:
+            whole = place[: len(gram)] + k <= sizes[of[: len(gram)]]
+            buckets.append(mix(gram[whole] + np.uint64(k)))
+            owners.append(of[: len(gram)][whole])
+    return (np.concatenate(buckets) >> shift).astype(np.int64), np.concatenate(owners)
+
+
+def bag(text: str) -> tuple[Counter, list[int]]:
+    """The words of a text, counted, and how many of them repeat the one at each distance of ``REPEATS``."""
     words = WORD.findall(text)
-    found = Counter(words)
-    for back in REPEATS:
-        if n := sum(map(str.__eq__, words, words[back:])):
-            found[" " * back] = n
-    return found
-
-
-class Words:
-    """Features by word, those of common words kept."""
-
-    def __init__(self, of: Callable[[np.ndarray], object]) -> None:
-        self.of, self.memo = of, {}
-
-    def __call__(self, word: str):
-        got = self.memo.get(word)
-        if got is None:
-            got = self.of(features(word))
-            if len(word) <= MEMO_LENGTH and len(self.memo) < MEMO:
-                self.memo[word] = got
-        return got
+    return Counter(words), [sum(map(str.__eq__, words, words[back:])) for back in REPEATS]
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    of = Words(lambda f: f)
     for batch in batches:
         ids, shares = [], []
         for text in batch.text:
-            words = bag(text)
-            parts = [of(w) for w in words]
-            flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-            weight = np.repeat(np.fromiter(words.values(), np.float64, len(words)), [len(p) for p in parts])
-            at, back = np.unique(flat, return_inverse=True)
-            total = np.bincount(back, weight, len(at))
-            ids.append(at)
-            shares.append((total / max(total.sum(), 1)).astype(np.float32))
+            words, repeats = bag(text)
+            bucket, owner = hashed(list(words))
+            total = np.bincount(bucket, np.fromiter(words.values(), np.float64, len(words))[owner], ROWS)
+            total[BUCKETS:] = repeats
+            ids.append(at := np.flatnonzero(total).astype(np.int32))
+            shares.append((total[at] / max(total.sum(), 1)).astype(np.float32))
         yield pd.DataFrame({"draw": batch.draw, "label": batch.label, "ids": ids, "shares": shares})
 
 
 def train(rows: pd.DataFrame, classes: int) -> np.ndarray:
-    """BUCKETS rows of class scores and one of the classes' constants, learned from label, ids and shares of documents.
+    """A row of class scores for each feature and one of the classes' constants, learned from label, ids and shares of documents.
 
     Rows are taken in the given order, then in shuffled orders of a fixed seed, so the same rows give the same model.
     """
     rng = np.random.default_rng(1)
-    vectors = rng.uniform(-1 / DIMS, 1 / DIMS, (BUCKETS, DIMS)).astype(np.float32)
+    vectors = rng.uniform(-1 / DIMS, 1 / DIMS, (ROWS, DIMS)).astype(np.float32)
     out, constant = np.zeros((classes, DIMS), np.float32), np.zeros(classes, np.float32)
     docs = [(int(y), np.asarray(i, np.int64), np.asarray(s, np.float32)) for y, i, s in zip(rows.label, rows.ids, rows.shares, strict=True)]
     steps = PASSES * max(1, len(docs))
@@ -135,28 +128,46 @@ def fit(
 
     made = stage(counted.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "model binary"), "model").first()
     if made is None:
-        return np.zeros((BUCKETS + 1, classes), np.float32)
-    return np.frombuffer(made.model, "<f4").reshape(BUCKETS + 1, classes)
+        return np.zeros((ROWS + 1, classes), np.float32)
+    return np.frombuffer(made.model, "<f4").reshape(ROWS + 1, classes)
 
 
 class Scorer:
     def __init__(self, model: np.ndarray) -> None:
-        table = model[:-1].astype(np.float64)
-        self.constant = model[-1].astype(np.float64)
-        self.words = Words(lambda f: (table[f].sum(0), len(f)))
-
-    def score(self, text: str | None) -> list[float]:
+        self.table, self.constant = model[:-1].astype(np.float64), model[-1].astype(np.float64)
+        #: By hash of word, in order: the sums of its features' rows and their number.
+        self.keys, self.sums = np.zeros(0, np.uint64), np.zeros((0, len(self.constant) + 1))
+
+    def _rows(self, words: list[str]) -> np.ndarray:
+        bucket, owner = hashed(words)
+        return np.stack([*(np.bincount(owner, column[bucket], len(words)) for column in self.table.T), np.bincount(owner, minlength=len(words))], 1).astype(np.float64)
+
+    def _together(self, found: Words, docs: int) -> np.ndarray:
+        """Class scores without the constants of the texts whose words are ``found``."""
+        known, first, back = np.unique(found.hash, return_index=True, return_inverse=True)
+        rows = np.zeros((len(known), len(self.constant) + 1))
+        at = np.searchsorted(self.keys, known)
+        hit = np.zeros(len(known), bool)
+        hit[at < len(self.keys)] = self.keys[at[at < len(self.keys)]] == known[at < len(self.keys)]
+        rows[hit] = self.sums[at[hit]]
+        new = np.flatnonzero(~hit)
+        rows[new] = self._rows([found.data[found.start[i] : found.stop[i]].tobytes().decode("utf-8", "replace") for i in first[new]])
+        if room := max(0, MEMO - len(self.keys)):
+            self.keys, self.sums = np.insert(self.keys, at[new[:room]], known[new[:room]]), np.insert(self.sums, at[new[:room]], rows[new[:room]], 0)
+        of = np.repeat(np.arange(docs), np.diff(found.first))
+        sums = np.stack([np.bincount(of, column[back], docs) for column in rows.T], 1).astype(np.float64)  # whole numbers, where there is no word
+        for bucket, apart in enumerate(REPEATS, BUCKETS):
+            same = of[apart:][(found.hash[apart:] == found.hash[:-apart]) & (of[apart:] == of[:-apart])]
+            n = np.bincount(same, minlength=docs)
+            sums += n[:, None] * np.append(self.table[bucket], 1)
+        return sums[:, :-1] / np.maximum(sums[:, -1:], 1)
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
         """The share of each class; that of a text without a word follows from the constants alone."""
-        words = bag(text) if text else Counter()
-        z, total = np.zeros(len(self.constant)), 0
-        if words:
-            found = [self.words(w) for w in words]
-            counts = np.fromiter(words.values(), np.float64, len(words))
-            z = counts @ np.array([f[0] for f in found])
-            total = counts @ np.array([f[1] for f in found], np.float64)
-        z = z / max(total, 1) + self.constant
-        p = np.exp(z - z.max())
-        return (p / p.sum()).tolist()
+        parts = [self._together(Words(texts, row, end), end - row) for row, end in slices(texts, CHARS)]
+        z = np.concatenate([np.zeros((0, len(self.constant))), *parts]) + self.constant
+        p = np.exp(z - z.max(1, keepdims=True))
+        return p / p.sum(1, keepdims=True)
 
 
 def score(docs: DataFrame, model: np.ndarray, extra: list[Column] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,8 +183,9 @@ def score(docs: DataFrame, model: np.ndarray, extra: list[Column] = (), id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            got = [scorer.score(x) for x in plain(batch.column(len(names))).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got, pa.list_(pa.float64()))], [*names, "score"])
+            got = scorer.scores(plain(batch.column(len(names))))
+            cells = pa.ListArray.from_arrays(pa.array(np.arange(0, got.size + 1, got.shape[1]), pa.int32()), pa.array(got.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], cells], [*names, "score"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in given.dtypes[:-1]) + ", score array<double>"
     return given.mapInArrow(run, schema)

@@ -4,6 +4,7 @@ import hashlib
 import random
 import sys
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -183,25 +184,55 @@ def test_classifier_on_held_out_rows(model):
 def test_model_is_the_same_each_time(model):
     rows, labels, m = model
     again = subwords.fit(rows.select("doc_id", "text").repartition(7), labels.repartition(3), "quality", stage)
-    assert np.array_equal(m, again) and m.shape == (subwords.BUCKETS + 1, 2)
+    assert np.array_equal(m, again) and m.shape == (subwords.ROWS + 1, 2)
 
 
 def test_scores_by_definition(spark, model):
     """The average over all features of all words, however often a worker's memory is used; whole texts count."""
-    m = model[2].astype(float)
+    m, wide = model[2].astype(float), (1 << 64) - 1
+
+    def mixed(h):
+        h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 & wide
+        h = (h ^ (h >> 27)) * 0x94D049BB133111EB & wide
+        return (h ^ (h >> 31)) >> 47
+
+    def features(word):
+        code = [ord(c) for c in f"^{word}$"]
+        out = [mixed(sum(c * pow(int(subwords.WORD_BASE), i, 1 << 64) for i, c in enumerate(code)) & wide)]
+        for k in (2, 3, 4):
+            for a in range(len(code) - k + 1):
+                h = 0
+                for c in code[a : a + k]:
+                    h = h * int(subwords.BYTE_BASE) + c & wide
+                out.append(mixed(h + k & wide))
+        return out
+
     long = "many different words " * 20_000 + "tail| " * 20_000
-    texts = [None, "", " \n\t ", "one", "one one", "a b a b a", "x" * 50_000, long, "日本 日本", *[t for _, t, _ in labelled(30)]]
+    texts = [None, "", " \n\t ", "one", "one one", "a b a b a", "x" * 5_000, long, "日本 日本", "", *[t for _, t, _ in labelled(30)]]
     got = {r.doc_id: r.score for r in subwords.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model[2]).collect()}
     for i, text in enumerate(texts):
-        words, found = subwords.WORD.findall(text or ""), []
-        for j, w in enumerate(words):
-            found += [" " + w] + [f"^{w}$"[a : a + k] for k in (2, 3, 4) for a in range(len(w) + 3 - k)]
-            found += ["  "] if j > 0 and words[j - 1] == w else []
-            found += ["   "] if j > 1 and words[j - 2] == w else []
-        z = m[[zlib.crc32(x.encode()) % subwords.BUCKETS for x in found]].sum(0) / max(1, len(found)) + m[-1]
+        words, total, n = subwords.WORD.findall(text or ""), np.zeros(2), 0
+        for w, times in Counter(words).items():
+            f = features(w)
+            total, n = total + times * m[f].sum(0), n + times * len(f)
+        for back, at in ((1, -3), (2, -2)):
+            times = sum(a == b for a, b in zip(words, words[back:], strict=False))
+            total, n = total + times * m[at], n + times
+        z = total / max(1, n) + m[-1]
         assert np.allclose(got[i], np.exp(z) / np.exp(z).sum(), atol=1e-9)
 
 
+def test_worker_memory_does_not_matter(model, monkeypatch):
+    import pyarrow as pa
+
+    texts = pa.array([t for _, t, _ in labelled(60)] + [""])
+    whole = subwords.Scorer(model[2]).scores(texts)
+    for memo, chars in ((0, 1 << 20), (5, 50), (1 << 20, 200)):
+        monkeypatch.setattr(subwords, "MEMO", memo)
+        monkeypatch.setattr(subwords, "CHARS", chars)
+        assert np.array_equal(whole, subwords.Scorer(model[2]).scores(texts))
+
+
 def test_classifier_on_odd_rows(spark):
     docs = spark.createDataFrame([(1, "a b", "x", "y"), (1, "a b", "x", "y"), (None, "no id", "x", "y"), (2, None, "x", "y"), (3, "", "x", "y")], "doc_id long, text string, score string, id string")
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, 0), (77, 1), (None, 1)], "doc_id long, quality int")
@@ -210,7 +241,7 @@ def test_classifier_on_odd_rows(spark):
     nothing = subwords.fit(docs, labels.limit(0), "quality", stage)
     assert {tuple(r.score) for r in subwords.score(docs, nothing).collect()} == {(0.5, 0.5)}
     assert subwords.score(docs.limit(0), nothing).isEmpty()
-    assert subwords.train(pd.DataFrame({"label": [], "ids": [], "shares": []}), 3).shape == (subwords.BUCKETS + 1, 3)
+    assert subwords.train(pd.DataFrame({"label": [], "ids": [], "shares": []}), 3).shape == (subwords.ROWS + 1, 3)
 
 
 def test_sample_is_bounded(spark, model):
