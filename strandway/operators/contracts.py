@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandway.operators.graphs import reached
+
 
 def unequal_copies(source: DataFrame, copy: DataFrame, key: str, digest: str) -> DataFrame:
     """key and status (missing, extra, changed) of what a copy doesn't hold as the source does."""
@@ -33,3 +37,32 @@ def leaked(statistics: DataFrame, rows: DataFrame, key: str, held_out: Column) -
 def stable_hash(*columns: Column) -> Column:
     """sha256 of a row's JSON, keys in the order given, null fields left out."""
     return F.sha2(F.to_json(F.struct(*columns)), 256)
+
+
+def sorted_json_hash(columns: dict[str, Column]) -> Column:
+    """sha256 of a row's JSON with its keys in order and nulls kept, so the order in which fields are given is no matter."""
+    fields = [columns[k].alias(k) for k in sorted(columns)]
+    return F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256)
+
+
+def failed_checks(df: DataFrame, key: str, checks: dict[str, Column]) -> DataFrame:
+    """key and check: the named conditions that a row doesn't meet; an unknown (null) one counts as not met."""
+    each = F.array(*[F.struct(F.lit(name).alias("check"), F.coalesce(c, F.lit(False)).alias("_ok")) for name, c in checks.items()])
+    return df.select(key, F.inline(F.filter(each, lambda x: ~x["_ok"]))).select(key, "check")
+
+
+def frozen(artifacts: DataFrame, parents: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """id, own (unequal parents by hash), missing (parents that are gone), status and steps of every artifact.
+
+    ``artifacts`` are id and sha256 as they are now; ``parents`` are id, parent and sha256, the parent's hash when the
+    artifact was frozen. An artifact is ``broken`` where a parent has another hash or is gone, ``stale`` where that is
+    so of one that it rests on, at the fewest ``steps`` away, and ``valid`` else. The fault is passed on edge by edge:
+    a recursive query would count every path of a graph in which paths meet.
+    """
+    now = artifacts.select(F.col("id").alias("parent"), F.col("sha256").alias("_now"))
+    held = parents.join(now, "parent", "left")
+    direct = held.groupBy("id").agg(F.count_if(F.col("_now").isNotNull() & ~F.col("_now").eqNullSafe(F.col("sha256"))).alias("own"), F.count_if(F.col("_now").isNull()).alias("missing"))
+    facts = stage(artifacts.select("id").join(direct, "id", "left").fillna(0, ["own", "missing"]))
+    hit = reached(facts.where("own > 0 OR missing > 0").select("id"), stage(parents.select("parent", F.col("id").alias("child")).distinct()), stage)
+    status = F.when((F.col("own") > 0) | (F.col("missing") > 0), "broken").when(F.col("steps").isNotNull(), "stale").otherwise("valid")
+    return facts.join(hit, "id", "left").withColumn("status", status)

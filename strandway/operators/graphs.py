@@ -1,4 +1,4 @@
-"""Dependency graphs as tables of (parent, child): levels, closures, and what is ready to run."""
+"""Dependency graphs as tables of (parent, child): levels, closures, what is ready to run, and what a fault reaches."""
 
 from __future__ import annotations
 
@@ -8,19 +8,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _sound(nodes: DataFrame, edges: DataFrame) -> None:
+    """A self-loop or an end that is no node raises a ValueError that names it."""
+    loop = edges.where("parent = child").select("child").first()
+    if loop is not None:
+        raise ValueError(f"{loop[0]} depends on itself")
+    ends = edges.select("parent", "child", F.explode(F.array("parent", "child")).alias("end"))
+    unknown = ends.join(nodes.select(F.col("id").alias("end")), "end", "left_anti").first()
+    if unknown is not None:
+        raise ValueError(f"unknown node {unknown['end']} in {unknown['parent']} -> {unknown['child']}")
+
+
 def levels(nodes: DataFrame, edges: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """id and level, the longest path from a node without parents; ordered by (level, id) the nodes are in topological
-    order. A cycle raises a ValueError. Each round is a join and an aggregate; ``stage`` cuts the lineage."""
-    level = stage(nodes.select("id", F.lit(0).alias("level")))
-    count, rounds = nodes.count(), 0
+    order. Repeated edges count once.
+
+    Nodes without open parents leave in rounds, one for each level; a round joins only the edges of those that left
+    last. The round in which none leaves while nodes are left shows a cycle, which raises a ValueError, as do unknown
+    nodes and self-loops. ``stage`` cuts the lineage.
+    """
+    edges = stage(edges.distinct())
+    _sound(nodes, edges)
+    degrees = nodes.select("id").distinct().join(edges.groupBy(F.col("child").alias("id")).agg(F.count("*").alias("left")), "id", "left").fillna(0, ["left"])
+    waiting, done, level = stage(degrees), None, 0
+    while True:
+        free = stage(waiting.where("left = 0").select("id", F.lit(level).alias("level")))
+        if free.isEmpty():
+            break
+        done = free if done is None else stage(done.unionByName(free))
+        freed = edges.join(free, F.col("parent") == F.col("id")).groupBy(F.col("child").alias("id")).agg(F.count("*").alias("gone"))
+        waiting = stage(waiting.where("left > 0").join(freed, "id", "left").select("id", (F.col("left") - F.coalesce("gone", F.lit(0))).alias("left")))
+        level += 1
+    if not waiting.isEmpty():
+        raise ValueError(f"the graph has a cycle, which {waiting.first()['id']} is on or behind")
+    return degrees.select("id", F.lit(0).alias("level")) if done is None else done
+
+
+def reached(seeds: DataFrame, edges: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """id and steps: the seeds (id) and all that lies behind them, with the fewest edges on the way.
+
+    A round goes one edge on from what was found last and leaves out what is known, so a node is found once whatever
+    the number of paths to it, and cycles end.
+    """
+    found = last = stage(seeds.select("id", F.lit(0).alias("steps")).distinct())
     while True:
-        up = edges.join(level, F.col("parent") == F.col("id")).groupBy("child").agg((F.max("level") + 1).alias("up"))
-        new = stage(level.join(up, F.col("id") == F.col("child"), "left").select("id", F.greatest("level", F.coalesce("up", F.lit(0))).alias("level")))
-        if new.join(level.withColumnRenamed("level", "before"), "id").where("level <> before").isEmpty():
-            return new
-        level, rounds = new, rounds + 1
-        if rounds > count:
-            raise ValueError("the graph has a cycle")
+        step = edges.join(last, F.col("parent") == F.col("id")).select(F.col("child").alias("id"), (F.col("steps") + 1).alias("steps")).distinct()
+        last = stage(step.join(found.select("id"), "id", "left_anti"))
+        if last.isEmpty():
+            return found
+        found = stage(found.unionByName(last))
 
 
 def closure(edges: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:

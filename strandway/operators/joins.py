@@ -31,6 +31,16 @@ def keyed_merge(streams: dict[str, DataFrame], key: str, value: str) -> DataFram
     return merged.select(key, *[F.col(n)["v"].alias(n) for n in streams], missing.alias("missing"))
 
 
+def ordered_merge(streams: dict[str, DataFrame], key: str, value: str, order: str) -> DataFrame:
+    """``keyed_merge`` where of a key's repeats within a stream the first one in ``order`` counts, null or not, and a key
+    is missing in a stream only where it has no row there."""
+    rows = reduce(DataFrame.unionByName, [s.select(F.col(key), F.lit(name).alias("_s"), F.col(value).alias("_v"), F.col(order).alias("_o")) for name, s in streams.items()])
+    first = lambda n: F.min_by(F.when(F.col("_s") == n, F.struct(F.col("_v").alias("v"))), F.when(F.col("_s") == n, F.col("_o")))
+    merged = rows.where(F.col(key).isNotNull()).groupBy(key).agg(*[first(n).alias(n) for n in streams])
+    missing = F.filter(F.array(*[F.when(F.col(n).isNull(), n) for n in streams]), lambda x: x.isNotNull())
+    return merged.select(key, *[F.col(n)["v"].alias(n) for n in streams], missing.alias("missing"))
+
+
 def leakage_safe(queries: DataFrame, candidates: DataFrame, task: str, path: str) -> DataFrame:
     """query and candidate of one task, without candidates of the same path that are the query's own window or whose
     rows first .. last overlap the query's future rows future_first .. future_last. Windows have id, first, last,

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandway.operators.ordering import same
+from strandway.operators.quantiles import exact_quantiles
 
 def dimension_statistics(df: DataFrame, vector: str) -> DataFrame:
     """dim and min, max, mean, std (population), median, q01, q99 of each component."""
     x = df.select(F.posexplode(vector).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
-    q = lambda p: F.percentile("x", F.lit(p))
-    return x.groupBy("dim").agg(
-        F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), q(0.5).alias("median"), q(0.01).alias("q01"), q(0.99).alias("q99")
-    )
+    moments = x.groupBy("dim").agg(F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
+    return moments.join(exact_quantiles(x, ["dim"], "x", {"median": 0.5, "q01": 0.01, "q99": 0.99}).drop("n"), "dim")
 
 
 def histogram_with_zeros(df: DataFrame, column: str, buckets: list[str]) -> DataFrame:
@@ -62,14 +62,27 @@ def relative_change(now: Column, before: Column) -> Column:
 
 def runtime_summary(df: DataFrame, keys: list[str], seconds: str) -> DataFrame:
     """total, mean, median, least, most and p95 of each key's run times."""
-    return df.groupBy(*keys).agg(
-        F.sum(seconds).alias("total"), F.avg(seconds).alias("mean"), F.median(seconds).alias("median"), F.min(seconds).alias("least"), F.max(seconds).alias("most"), F.percentile(seconds, F.lit(0.95)).alias("p95")
-    )
+    sums = df.groupBy(*keys).agg(F.sum(seconds).alias("total"), F.avg(seconds).alias("mean"), F.min(seconds).alias("least"), F.max(seconds).alias("most"))
+    q = exact_quantiles(df, keys, seconds, {"median": 0.5, "p95": 0.95})
+    return sums.join(q, same(sums, q, keys), "left").select(*[sums[c] for c in keys], "total", "mean", "median", "least", "most", "p95")
+
+
+def nested_summary(df: DataFrame, sets: list[list[str]], value: str) -> DataFrame:
+    """mean, median, min and max for each group of each set of keys; keys that a set leaves out are null."""
+    every, out = list(dict.fromkeys(k for s in sets for k in s)), None
+    for keys in sets:
+        sums = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
+        q = exact_quantiles(df, keys, value, {"median": 0.5})
+        found = sums.join(q, same(sums, q, keys), "left")
+        cells = [sums[k] if k in keys else F.lit(None).cast(df.schema[k].dataType).alias(k) for k in every]
+        part = found.select(*cells, "mean", "median", "min", "max")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def group_median(groups: DataFrame, rows: DataFrame, key: str, value: str) -> DataFrame:
     """n and m, the exact median, for every one of the groups; null for a group without rows."""
-    return groups.join(rows.groupBy(key).agg(F.count(value).alias("n"), F.median(value).alias("m")), key, "left").fillna(0, ["n"])
+    return groups.join(exact_quantiles(rows, [key], value, {"m": 0.5}), key, "left").fillna(0, ["n"])
 
 
 def vector_summary(df: DataFrame, vector: str, floor: float = 0.0) -> DataFrame:

@@ -179,6 +179,60 @@ def corrupted(df: DataFrame, width: int, kind: str) -> DataFrame:
     return df.withColumn("source_pos", moved.cast("long"))
 
 
+def clip_start(df: DataFrame, keys: list[str], order: list[str], energy: list[str], width: int, stride: int) -> DataFrame:
+    """first: where the clip of ``width`` rows begins that moves most; 0 in a sequence of ``width`` rows or fewer.
+
+    Clips begin at rows 1, 1 + stride, ...; of each the energies (summed over the columns, null as 0) of every
+    ``stride``-th row after its first count. Of equal clips the last one is taken.
+    """
+    total = sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in energy[1:]), F.coalesce(F.col(energy[0]).cast("double"), F.lit(0.0)))
+    w = W.partitionBy(*keys).orderBy(*order)
+    sampled = df.where((F.col("pos") - 1) % stride == 0).withColumn("_e", total)
+    after = (width - 1) // stride
+    scored = sampled.withColumn("_s", F.coalesce(F.sum("_e").over(w.rowsBetween(1, after)), F.lit(0.0)) if after else F.lit(0.0))
+    best = scored.where(F.col("pos") + width <= F.col("n")).groupBy(*keys).agg(F.max(F.struct("_s", "pos"))["pos"].cast("long").alias("first"))
+    every = df.groupBy(*keys).agg(F.lit(0).cast("long").alias("_zero"))
+    return every.join(best, keys, "left").select(*keys, F.coalesce("first", "_zero").alias("first"))
+
+
+def shown_rows(df: DataFrame, keys: list[str], order: list[str], width: int, kind: str, severity: float, draw: Column, rate: float = 30.0) -> DataFrame:
+    """window, place, left, right and share: of each whole window of ``width`` rows, which of its rows is shown in this
+    row's place (``left``; where it lies between two, ``right`` by ``share`` and ``left`` by the rest).
+
+    drop: a share ``severity`` of the places after the first, at least one, drawn by ``draw`` (the least go), shows the
+    last row that wasn't dropped. jitter: each place moves by up to ``severity`` ms at ``rate`` rows a second, as
+    ``draw`` says, within the window. pause: the row before the middle part of ``severity`` seconds is shown throughout
+    it. jump: from the middle on, rows ``severity`` places on are shown, the last one in the end.
+    """
+    whole = df.where(F.floor(F.col("pos") / width) * width + width <= F.col("n")).withColumns({"window": F.floor(F.col("pos") / width), "place": (F.col("pos") % width).cast("int")})
+    place, end = F.col("place"), width - 1
+    flat = lambda x: {"left": x.cast("int"), "right": x.cast("int"), "share": F.lit(0.0)}
+    if kind == "drop":
+        count = min(end, max(1, math.ceil(severity * width)))
+        by_draw = W.partitionBy(*keys, "window").orderBy(F.when(place > 0, draw).asc_nulls_last(), "place")
+        lost = whole.withColumn("_lost", (place > 0) & (F.row_number().over(by_draw) <= count))
+        running = W.partitionBy(*keys, "window").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        return lost.withColumns(flat(F.max(F.when(~F.col("_lost"), place)).over(running))).drop("_lost")
+    if kind == "jitter":
+        at = F.least(F.greatest(place + (draw * 2 - 1) * severity * rate / 1000, F.lit(0.0)), F.lit(float(end)))
+        return whole.withColumn("_at", at).withColumns({"left": F.floor("_at").cast("int"), "right": F.ceil("_at").cast("int"), "share": F.col("_at") - F.floor("_at")}).drop("_at")
+    if kind == "pause":
+        length = min(end, max(1, round(severity * rate)))
+        start = max(1, (width - length) // 2)
+        return whole.withColumns(flat(F.when((place >= start) & (place < start + length), start - 1).otherwise(place)))
+    if kind == "jump":
+        return whole.withColumns(flat(F.when(place >= max(1, width // 2), F.least(place + int(severity), F.lit(end))).otherwise(place)))
+    raise ValueError(f"no such corruption: {kind}")
+
+
+def shown_values(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """``df``, rows of ``shown_rows``, with shown: the value that stands in each place, blended where it lies between two."""
+    held = F.collect_list(F.struct(F.col(value).cast("double").alias("v"))).over(W.partitionBy(*keys, "window").orderBy(*order).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    of = lambda i: F.get(F.col("_held"), F.col(i))["v"]
+    shown = F.when(F.col("share") == 0, of("left")).otherwise(of("left") * (1 - F.col("share")) + of("right") * F.col("share"))
+    return df.withColumn("_held", held).withColumn("shown", shown).drop("_held")
+
+
 def relative_poses(df: DataFrame, keys: list[str], order: list[str], pose: str, rebase: int = 1) -> DataFrame:
     """relative: place and xyz angles of each row but the first, seen from a base row of its sequence. The base is the
     row before, or with ``rebase`` over 1 the last row before whose place in the sequence divides by it."""

@@ -192,8 +192,7 @@ def d11(spark, sf_dir):
 )
 def d16(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("unit", (F.col("user_id") % 4).cast("int"))
-    summary = [rounded(F.avg("value")).alias("mean"), F.median("value").alias("median"), F.min("value").alias("min"), F.max("value").alias("max")]
-    return e.groupingSets([["event_type"], ["event_type", "unit"]], "event_type", "unit").agg(*summary)
+    return st.nested_summary(e, [["event_type"], ["event_type", "unit"]], "value").withColumn("mean", rounded("mean"))
 
 
 @query("d18_success_rate", "SELECT user_id, round(avg(CASE WHEN event_type <> 'error' THEN 1.0 ELSE 0.0 END), 9) AS rate, round(avg(value), 6) AS coverage FROM events GROUP BY user_id")

@@ -138,7 +138,8 @@ def graph(spark, sf_dir):
 
 @query("f9_levels", f"WITH RECURSIVE {_EDGES}, l AS (SELECT p_partkey AS id, 0 AS level FROM part WHERE p_partkey < 128 UNION SELECT child, level + 1 FROM l JOIN e ON parent = id) SELECT id, max(level) AS level FROM l GROUP BY id")
 def f9(spark, sf_dir):
-    return graphs.levels(*graph(spark, sf_dir), kept)
+    nodes, edges = graph(spark, sf_dir)
+    return graphs.levels(nodes, edges.where("parent >= 0"), kept)
 
 
 @query("f11_closure", f"WITH RECURSIVE {_EDGES}, c AS (SELECT parent AS ancestor, child AS descendant FROM e UNION SELECT ancestor, child FROM c JOIN e ON parent = descendant) SELECT * FROM c")
