@@ -2,8 +2,11 @@
 
 Paragraphs pass points for length and commas to their nearest ancestors, discounted by link density; the best container
 and its siblings of worth are kept. Before that, parts that are never the article are cut out of the tree: by tag, by
-role, by a class or id that says nothing else, or by one that has such a word where the part is short or mostly links.
-Longer parts whose name merely has such a word stay and only lose points. Work is linear in the length of a page.
+role, by a class or id that says nothing else or has a word that only such parts have, and by one that has another such
+word where the part is mostly links. Other parts whose name merely has such a word stay and only lose points. How long
+a part is doesn't matter to that, so no comment section is long enough to be taken for the article; only where nothing
+is left on a page do names not count. An ``article``, or else a ``main``, with text of its own comes before any part
+outside it; an article inside another one is a reader's, as the standard has it. Work is linear in the length of a page.
 """
 
 from __future__ import annotations
@@ -27,18 +30,20 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 JUNK_TAGS = set("nav footer aside form button fieldset dialog menu head".split())
 JUNK_ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
 JUNK_NAMES = set(
-    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus feedback"
-    " footer gdpr header hidden legal login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion"
-    " recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toast toolbar widget widgets".split()
+    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer discussion discussions disqus"
+    " feedback footer gdpr header hidden legal login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion"
+    " recommended related replies reply respond response responses share sharing sidebar signup skip social sponsor sponsored subscribe subscription toast toolbar widget widgets".split()
 )
-#: Names that are never the article's, at any length, and words that go with a name without changing what it says.
+#: Words that only parts outside the article have in a name, words that go with a name without changing what it says,
+#: and words of the article itself or of a page's frame, beside which a name says nothing of that kind.
 SURE_NAMES = set(
     "ad ads adv advert adverts advertisement advertising adsense breadcrumb breadcrumbs comments cookie cookies disqus gdpr login modal nav navbar newsletter pager pagination"
     " popup sidebar signup sponsor sponsored toolbar".split()
 )
 WITH_NAMES = set("area articles bar block box button buttons container form group icons inner left links list main media outer panel posts right section site stories top wrapper".split())
-#: Characters without blanks under which a part with a name of junk is taken for one.
-SHORT = 200
+#: Names of sections of articles too, so an article's part with such an id alone is its own.
+SLUGS = set("copyright disclaimer discussion discussions feedback legal notice notices related response responses".split())
+FRAME_NAMES = set("article body col column content entry free grid has layout main no page post row story text template theme with without wrap wrapper".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 SCOPES = set("ul ol dl table article section div body td th form nav aside main".split())
 PARAGRAPHS = set("p pre td blockquote li dd h1 h2 h3 h4 h5 h6".split())
@@ -142,23 +147,25 @@ def _named(value: str, names: set[str], inside: bool) -> bool:
     return False
 
 
-def _junk_name(node: Node, name: str, value: str, inside: bool, slight: bool) -> bool:
-    """Whether a class or id makes a part junk: in an article where the whole name says so, outside it also where a
-    part of the name does and the part is ``slight``. Headings, and paragraphs by id, are never junk in an article."""
+def _junk_name(node: Node, name: str, value: str, inside: bool, links: bool) -> bool:
+    """Whether a class or id makes a part junk: where the whole name says so or a word of it for certain, outside an
+    article also where a word of it may, in a part of mostly ``links``. Headings, and paragraphs by id, are never junk
+    in an article."""
     block = node.tag not in PARAGRAPHS
-    if inside:
-        if node.tag in HEADINGS or not block and name == "id":
-            return False
-        return block and name == "class" and _named(value, SURE_NAMES, True) or slight and _named(value, JUNK_NAMES, True)
-    if (block or name == "class") and _named(value, JUNK_NAMES, False):
+    if inside and (node.tag in HEADINGS or name == "id" and value.strip().lower() in SLUGS):
+        return False
+    if (block or name == "class") and _named(value, JUNK_NAMES, inside):
+        return True
+    words = {x.lower() for x in NAME_PARTS.findall(value)}
+    if block and not SURE_NAMES.isdisjoint(words) and FRAME_NAMES.isdisjoint(words):
         return True
-    if JUNK_NAMES.isdisjoint(x.lower() for x in NAME_PARTS.findall(value)):
+    if inside or JUNK_NAMES.isdisjoint(words):
         return False
     node.doubt = True
-    return slight and (block or name == "class")
+    return links and (block or name == "class")
 
 
-def _is_junk(node: Node, inside: bool, slight: bool) -> bool:
+def _is_junk(node: Node, inside: bool, links: bool, names: bool) -> bool:
     if node.tag in JUNK_TAGS or node.tag == "header" and not inside:
         return True
     if not node.attrs:
@@ -167,29 +174,51 @@ def _is_junk(node: Node, inside: bool, slight: bool) -> bool:
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if name == "role" and value in JUNK_ROLES or name in ("class", "id") and _junk_name(node, name, value, inside, slight):
+        if name == "role" and value in JUNK_ROLES or names and name in ("class", "id") and _junk_name(node, name, value, inside, links):
             return True
     return False
 
 
-def _cut(nodes: list[Node]) -> None:
-    """Mark junk subtrees. Names don't count against a part that holds most of the page's unlinked text."""
+def _cut(nodes: list[Node], names: bool = True) -> bool:
+    """Mark junk subtrees, by name too unless told otherwise; whether any text is left outside them."""
     whole: dict[int, list[int]] = {id(x): [x.chars, x.linked] for x in nodes}
     for node in reversed(nodes[1:]):
         mine, up = whole[id(node)], whole[id(node.parent)]
         up[0] += mine[0]
         up[1] += mine[1]
-    most = (whole[id(nodes[0])][0] - whole[id(nodes[0])][1]) / 2
     inside = {id(nodes[0]): False}
     for node in nodes[1:]:
         within = inside[id(node)] = inside[id(node.parent)] or node.tag in ("article", "main")
-        if node.parent.junk:
-            node.junk = True
-        elif _is_junk(node, within, whole[id(node)][0] < SHORT or 2 * whole[id(node)][1] > whole[id(node)][0]):
-            chars, linked = whole[id(node)]
-            node.junk = not (chars - linked > most and node.tag not in JUNK_TAGS)
-        elif node.parent.tag == "header" and node.tag not in HEADINGS:
-            node.junk = True
+        chars, linked = whole[id(node)]
+        node.junk = node.parent.junk or _is_junk(node, within, 2 * linked > chars, names) or node.parent.tag == "header" and node.tag not in HEADINGS
+    return any(not x.junk and x.chars > x.linked for x in nodes)
+
+
+def _article(nodes: list[Node]) -> Node | None:
+    """The article of the most points with text of its own, or else such a main part. What is in an article inside it
+    is cut from it."""
+    for tag in ("article", "main"):
+        top: dict[int, Node | None] = {}
+        own: dict[int, list[int]] = {}
+        for node in nodes:
+            up = top.get(id(node.parent)) if node.parent is not None else None
+            inner = up is not None and node.tag == tag
+            if node.junk or inner or node.parent is not None and id(node.parent) not in top:
+                continue  # junk and inner articles have no place
+            top[id(node)] = up or (node if node.tag == tag else None)
+            if top[id(node)] is not None:
+                sums = own.setdefault(id(top[id(node)]), [0, 0])
+                sums[0] += sum(len(x) - x.count(" ") for x in node.items if isinstance(x, str) and x.strip())
+                sums[1] = max(sums[1], node.score)
+        # links are weighed by the part's whole text, which the score has summed up
+        found = [x for x in nodes if id(x) in own and top[id(x)] is x and own[id(x)][0] > 0 and 2 * x.linked < x.chars]
+        if found:
+            best = max(found, key=lambda x: own[id(x)][1])
+            for node in nodes:
+                if node is not best and node.tag == tag and not node.junk and id(node) not in top:
+                    node.junk = True
+            return best
+    return None
 
 
 def _score(nodes: list[Node]) -> None:
@@ -234,16 +263,16 @@ def _text(node: Node, out: list[str]) -> None:
 def main_text(html: str) -> str:
     """The article of a page; '' where the page has no text outside its junk."""
     nodes = parse(html)
-    _cut(nodes)
+    if not _cut(nodes):
+        _cut(nodes, names=False)
     _score(nodes)
-    holders = [x for x in nodes if not x.junk and x.tag not in PARAGRAPHS]
-    best = max(holders, key=lambda x: x.score)
-    up = best
-    while up is not None and up.tag not in ("article", "main"):
-        up = up.parent
     out: list[str] = []
-    if up is not None or best.parent is None:
-        _text(up or best, out)
+    if (article := _article(nodes)) is not None:
+        _text(article, out)
+        return " ".join("".join(out).split())
+    best = max((x for x in nodes if not x.junk and x.tag not in PARAGRAPHS), key=lambda x: x.score)
+    if best.parent is None:
+        _text(best, out)
     else:
         for item in best.parent.items:
             if item is best:
