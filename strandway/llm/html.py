@@ -152,7 +152,7 @@ def _junk_name(node: Node, name: str, value: str, inside: bool, links: bool) ->
     article also where a word of it may, in a part of mostly ``links``. Headings, and paragraphs by id, are never junk
     in an article."""
     block = node.tag not in PARAGRAPHS
-    if inside and (node.tag in HEADINGS or name == "id" and value.strip().lower() in SLUGS):
+    if inside and (node.tag in HEADINGS or name == "id" and not links and value.strip().lower() in SLUGS):
         return False
     if (block or name == "class") and _named(value, JUNK_NAMES, inside):
         return True
