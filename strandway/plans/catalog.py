@@ -19,7 +19,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from strandway.plans import queries_core, queries_evaluation, queries_exact, queries_misc, queries_more, queries_records, queries_retrieval, queries_windows  # noqa: F401
+    from strandway.plans import queries_core, queries_episodes, queries_evaluation, queries_exact, queries_misc, queries_more, queries_records, queries_retrieval, queries_windows  # noqa: F401
 
 
 def queries() -> dict:

@@ -16,6 +16,13 @@ ADDRESS = ["_file", "_row"]
 FILES = 10_000
 
 
+def _reader(spark: SparkSession, path: str):
+    """A reader to which single files of a folder are still parts of the folder, with its partition columns."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return spark.read.option("basePath", path) if store.exists(place) and store.getFileStatus(place).isDirectory() else spark.read
+
+
 def addressed(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """The given columns of the Parquet files below ``path``, and each row's address."""
     return spark.read.parquet(path).select(*columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
@@ -30,7 +37,7 @@ def late_read(chosen: DataFrame, path: str, columns: list[str], files: int = FIL
     """
     spark = chosen.sparkSession
     found = [r[0] for r in chosen.select("_file").distinct().limit(files + 1).collect()]
-    reader = spark.read.option("basePath", path)
+    reader = _reader(spark, path)
     if not found:
         wide = addressed(spark, path, columns).limit(0)
     else:
