@@ -9,7 +9,10 @@ else the name's own ending tells. As hashes may meet, a check over the whole cor
 parts with one surrogate, or one that is its own; if there is any, the next nonce is taken for all.
 
 A name is found after a form of address or an introduction ("my name is"), and then wherever one of its words stands
-in the same text. Names in texts that introduce nobody are not found: that would take a trained model.
+in the same text, in capitals too. A word that any text has (articles, pronouns, auxiliaries and the like) is no name;
+nor is the second of two words if the text has it in lower case or after an article elsewhere, so "Herr Müller Haus"
+with "das Haus" further on is Herr Müller alone. Names in texts that introduce nobody are not found, and of a noun that
+stands behind a surname and has no article anywhere nothing tells that it is none: that would take a trained model.
 """
 
 from __future__ import annotations
@@ -20,13 +23,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandway.llm.matching import hits, let
+from strandway.llm.scratch import clear, stage
 
 # Patterns of the kinds, in order of precedence.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IPV4 = rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}|\d(?: \d{2}){4})(?!\d)|(?<![\d(-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"
+#: With a country code, in the groupings that are in use; ten digits in three groups; with a leading 0, pairs or a
+#: dialling code.
+NATIONAL = (
+    r"\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}", r"\d(?: \d{2}){4}", r"\d{1,2}[ .-]\d{3}[ .-]\d{4}", r"\d{2}(?:[ .-]\d{3}){2}", r"\d{2,4}[ .-]\d{5,8}", r"\d{3}[ .-]\d{3}(?:[ .-]\d{2}){2}", r"\d{7,12}"
+)
+PHONE = (
+    rf"(?<![\w+])\+\d{{1,3}}[ .-]?(?:{'|'.join(NATIONAL)})(?!\d)|(?<![\d(-])(?:\(\d{{3}}\) ?|\d{{3}}[ .-])\d{{3}}[ .-]\d{{4}}(?!\d)"
+    r"|(?<![\w.,+-])(?:0[1-9](?:[ .]\d{2}){4}|0[1-9]\d{1,3}[ /-]\d{5,8})(?![\w-])"
+)
+#: Country codes of one and two digits; the others have three.
+COUNTRY = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: Digits with single blanks or hyphens, as far as they go; groupings of card numbers; the longest number from a group on.
 RUN = r"(?<!\d)\d(?:[ -]?\d){12,}+"
 GROUPED = (r"\d{13,19}", r"\d{4}(?:[ -]\d{4}){3}[ -]\d{3}", r"\d{6}[ -]\d{13}", r"\d{4}(?:[ -]\d{4}){3}", r"\d{4}[ -]\d{6}[ -]\d{5}", r"\d{4}[ -]\d{6}[ -]\d{4}", r"\d{4}(?:[ -]\d{4}){2}[ -]\d")
@@ -40,6 +54,14 @@ NAME_WORD = r"\p{Lu}(?:['’]\p{Lu})?[\p{L}\p{M}]+(?:['’-]\p{Lu}[\p{L}\p{M}]+)
 NAME = rf"(?<![\p{{L}}\p{{M}}])(?:(?:{INTRODUCED}) {TITLES}*|{TITLES}+){NAME_WORD}(?: {NAME_WORD})?"
 #: What stands before the name, and whether that ends with a form of address.
 LEAD, TITLED = rf"^(?:(?:{INTRODUCED}) )?{TITLES}*", rf"(?:^| )(?:{MALE}|{FEMALE}|{EITHER})\.? $"
+ARTICLES = "the|a|an|der|die|das|den|dem|des|ein|eine|einen|einem|einer|eines|le|la|les|un|une|el|los|las|una|unos|unas"
+ORDINARY = (
+    "the a an this that these those it he she we they you i my our your his her its their there here who what when where why how if and but or so as at by for from in of on to with"
+    " will would can could shall should may might must do does did is are was were be have has had not no please yesterday today tomorrow then now however also"
+    " der die das den dem des ein eine einen einem einer und oder aber wenn als wir ihr sie er es ich du nicht kein keine mit von zu bei nach aus auf für im am um gestern heute dann jetzt bitte"
+    " le les un une du et ou mais si il elle nous vous ils elles je tu ce cette ces mon ma mes notre votre son sa ses dans avec pour par sur hier demain puis"
+    " el los las y pero ella nosotros ustedes ellos yo este esta estos mi su sus en con para por sobre de del ayer hoy luego"
+).split()
 KINDS = ("email", "ip", "ssn", "phone", "card", "name")
 BEFORE, AFTER = ("|".join(f"(?:{p})" for p in ps) for ps in ((EMAIL, IPV4, SSN), (PHONE, NAME)))
 CARD_PREFIX = r"^(?:4|5[1-5]|2[2-7]|3[0-9]|6)"
@@ -152,35 +174,57 @@ def _mail(low: Column, salt: Column) -> Column:
     return F.concat(_letters(F.concat_ws("|", salt, F.lit("email"), low), 16), F.lit("@"), _letters(F.concat_ws("|", salt, F.lit("domain"), domain), 12), F.lit(".example."), F.substring_index(domain, ".", -1))
 
 
+def _alone(word: Column) -> Column:
+    """The pattern of a word on its own."""
+    return F.concat(F.lit(r"(?<![\p{L}\p{M}])"), word, F.lit(r"(?![\p{L}\p{M}])"))
+
+
 def people(text: Column) -> Column:
     """given (null with a form of address and one word), surname (null with an introduction and one word) and female of
-    each mention that the pattern of names finds in a text."""
+    each mention that the pattern of names finds in a text and that isn't an ordinary word."""
 
     def one(x: Column) -> Column:
         lead, words = F.regexp_extract(x, LEAD, 0), F.split(F.regexp_replace(x, LEAD, ""), " ")
-        two, titled = F.size(words) > 1, lead.rlike(TITLED)
+        titled, second = lead.rlike(TITLED), F.get(words, F.lit(1))
+        common = F.rlike(text, _alone(F.lower(second))) | F.rlike(text, F.concat(F.lit(rf"(?<![\p{{L}}\p{{M}}])(?i:{ARTICLES}) "), second, F.lit(r"(?![\p{L}\p{M}])")))
+        two = (F.size(words) > 1) & ~F.lower(second).isin(ORDINARY) & ~common
         given = F.when(two | ~titled, words[0])
         female = F.when(lead.rlike(rf"(?:^| )(?:{FEMALE})\.? "), True).when(lead.rlike(rf"(?:^| )(?:{MALE})\.? "), False).otherwise(given.rlike("[aаяαη]$"))
-        return F.struct(given.alias("given"), F.when(two | titled, F.element_at(words, -1)).alias("surname"), female.alias("female"), (~titled).alias("bare"))
+        found = F.struct(given.alias("given"), F.when(two, second).when(titled, words[0]).alias("surname"), female.alias("female"), (~titled).alias("bare"))
+        return F.when(~F.lower(words[0]).isin(ORDINARY), found)
+
+    return F.filter(F.transform(hits(text, NAME), one), lambda p: p.isNotNull())
 
-    return F.transform(hits(text, NAME), one)
+
+def _same(a: Column, b: Column) -> Column:
+    return F.lower(a) == F.lower(b)
 
 
 def _female(x: Column, known: Column) -> Column:
     """The gender of a given name: of the text's mentions of it, one with a form of address goes first."""
-    own = F.filter(known, lambda p: p["given"] == x)
+    own = F.filter(known, lambda p: _same(p["given"], x))
     titled = F.filter(own, lambda p: ~p["bare"])
-    return F.coalesce(F.try_element_at(titled, F.lit(1))["female"], F.try_element_at(own, F.lit(1))["female"], x.rlike("[aаяαη]$"))
+    return F.coalesce(F.try_element_at(titled, F.lit(1))["female"], F.try_element_at(own, F.lit(1))["female"], x.rlike("[aаяαηAАЯΑΗ]$"))
+
+
+def _is_known(x: Column, known: Column) -> Column:
+    """Whether the first word of a mention is part of a name of the text."""
+    first = F.split(F.regexp_replace(x, LEAD, ""), " ")[0]
+    return F.exists(known, lambda p: F.coalesce(_same(p["given"], first), F.lit(False)) | F.coalesce(_same(p["surname"], first), F.lit(False)))
 
 
 def _name(x: Column, salt: Column, known: Column) -> Column:
-    """What leads to the name stays; one word alone it is a given name where the text has it as one."""
+    """What leads to the name stays, and so does a second word that is no part of it; one word alone is a given name
+    where the text has it as one. Words in capitals stay in capitals."""
+    cased = lambda new, w: F.when((w == F.upper(w)) & (F.length(w) > 1), F.upper(new)).otherwise(new)
 
     def made(parts: Column) -> Column:
-        first, lead = parts["words"][0], parts["lead"]
-        given = lambda w: _given(w, _female(w, known), salt)
-        alone = F.when(~lead.rlike(TITLED) & F.exists(known, lambda p: p["given"] == first), given(first)).otherwise(_surname(first, salt))
-        return F.concat(lead, F.when(F.size(parts["words"]) > 1, F.concat_ws(" ", given(first), _surname(F.element_at(parts["words"], -1), salt))).otherwise(alone))
+        first, second, lead = parts["words"][0], F.get(parts["words"], F.lit(1)), parts["lead"]
+        given = lambda w: cased(_given(w, _female(w, known), salt), w)
+        surname = lambda w: cased(_surname(w, salt), w)
+        pair = (F.size(parts["words"]) > 1) & F.exists(known, lambda p: F.coalesce(_same(p["given"], first) & _same(p["surname"], second), F.lit(False)))
+        alone = F.when(~lead.rlike(TITLED) & F.exists(known, lambda p: _same(p["given"], first)), given(first)).otherwise(surname(first))
+        return F.concat(lead, F.when(pair, F.concat_ws(" ", given(first), surname(second))).otherwise(F.concat_ws(" ", alone, second)))
 
     return let(F.struct(F.regexp_extract(x, LEAD, 0).alias("lead"), F.split(F.regexp_replace(x, LEAD, ""), " ").alias("words")), made)
 
@@ -192,7 +236,7 @@ def kind_of(x: Column) -> Column:
         .when(x.rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$"), "ip")
         .when(x.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(x.rlike(r"^\p{L}"), "name")
-        .when(x.rlike(r"^[+(]|^\d{3}[ .-]\d{3}[ .-]\d{4}$"), "phone")
+        .when(x.rlike(r"^[+(]|^\d{3}[ .-]\d{3}[ .-]\d{4}$|^0\d{1,4}[ ./-]\d"), "phone")
         .when(is_card(x), "card")
     )
 
@@ -212,7 +256,9 @@ def surrogate(x: Column, kind: Column, key: str, nonce: int, known: Column) -> C
     )
 
     def number(digits: Column) -> Column:
-        keep = F.greatest(F.length(digits) - 9, F.lit(1))
+        """A country code stays whole, of other numbers the first digit, and what is over nine digits."""
+        code = F.when(x.startswith("+"), F.length(F.regexp_extract(digits, COUNTRY, 0)))
+        keep = F.greatest(F.coalesce(code, F.length(digits) - 9), F.lit(1))
         head = F.substring(digits, F.lit(1), keep)
         return F.concat(head, _permuted_digits(F.substring(digits, keep + 1, F.length(digits)), F.concat_ws("|", salt, kind, head)))
 
@@ -248,37 +294,41 @@ def pattern_for(text: Column, known: Column) -> Column:
         return F.when(F.size(numbers) > 0, F.concat(F.lit(r"|(?<!\d)(?=\d)(?:"), F.array_join(numbers, "|"), F.lit(r")(?!\d)"))).otherwise("")
 
     words = F.array_distinct(F.flatten(F.transform(known, lambda p: F.array(F.concat_ws(" ", p["given"], p["surname"]), p["given"], p["surname"]))))
+    words = F.array_distinct(F.concat(words, F.transform(words, F.upper)))
     longest = F.array_sort(F.filter(words, lambda w: F.length(w) > 1), lambda a, b: F.length(b) - F.length(a))
     names = F.when(F.size(known) > 0, F.concat(F.lit(r"|(?<![\p{L}\p{M}])(?:"), F.array_join(longest, "|"), F.lit(r")(?![\p{L}\p{M}])"))).otherwise("")
     cards = F.size(runs) > 0
     return F.concat(F.lit(BEFORE), F.when(cards, valid(GROUPED)).otherwise(""), F.lit("|" + AFTER), F.when(cards, valid(LOOSE)).otherwise(""), names)
 
 
-def collisions(docs: DataFrame, key: str, nonce: int, text_col: str = "text") -> DataFrame:
-    """kind, surrogate: surrogates of two different addresses or name parts, or equal to their own. Numbers need no
-    check, as theirs are a permutation."""
-    salt = F.lit(f"{key}|{nonce}")
-    text = F.col(text_col).cast("string")
-    thing = lambda kind, entity, made: F.struct(F.lit(kind).alias("kind"), entity.alias("entity"), made.alias("surrogate"))
-    mails = F.transform(F.when(text.contains("@"), hits(text, EMAIL)), lambda x: thing("email", F.lower(x), _mail(F.lower(x), salt)))
-    names = F.flatten(
-        F.transform(
-            people(text),
-            lambda p: F.array(
-                thing("surname", F.lower(p["surname"]), F.lower(_surname(p["surname"], salt))),
-                thing("given", F.concat_ws("|", F.lower(p["given"]), p["female"].cast("string")), F.concat_ws("|", F.lower(_given(p["given"], p["female"], salt)), p["female"].cast("string"))),
-            ),
-        )
-    )
-    empty = F.expr("CAST(array() AS array<struct<kind:string,entity:string,surrogate:string>>)")
-    made = docs.select(F.explode(F.concat(F.coalesce(mails, empty), F.coalesce(names, empty))).alias("x")).select("x.*").where("surrogate IS NOT NULL")
-    return made.groupBy("kind", "surrogate").agg(F.min("entity").alias("a"), F.max("entity").alias("b")).where("a <> b OR a = surrogate").select("kind", "surrogate")
+def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """kind, entity and female: the distinct addresses and name parts of all texts, in lower case. Numbers need no check,
+    as theirs are a permutation."""
+    text = F.col(f"`{text_col}`").cast("string")
+    thing = lambda kind, entity, female=None: F.struct(F.lit(kind).alias("kind"), F.lower(entity).alias("entity"), (F.lit(None).cast("boolean") if female is None else female).alias("female"))
+    mails = F.transform(F.when(text.contains("@"), hits(text, EMAIL)), lambda x: thing("email", x))
+    names = F.flatten(F.transform(people(text), lambda p: F.array(thing("surname", p["surname"]), thing("given", p["given"], p["female"]))))
+    empty = F.expr("CAST(array() AS array<struct<kind:string,entity:string,female:boolean>>)")
+    return docs.select(F.explode(F.concat(F.coalesce(mails, empty), F.coalesce(names, empty))).alias("x")).select("x.*").where("entity IS NOT NULL").distinct()
+
+
+def collisions(found: DataFrame, key: str, nonce: int) -> DataFrame:
+    """kind, surrogate: surrogates of two different ``entities``, or equal to their own."""
+    salt, entity = F.lit(f"{key}|{nonce}"), F.col("entity")
+    new = F.when(F.col("kind") == "email", _mail(entity, salt)).when(F.col("kind") == "surname", _surname(entity, salt)).otherwise(_given(entity, F.coalesce("female", F.lit(False)), salt))
+    made = found.select("kind", "entity", "female", F.lower(new).alias("surrogate"))
+    own = F.struct("entity", "female")
+    clash = made.groupBy("kind", "surrogate").agg(F.min(own).alias("a"), F.max(own).alias("b"), F.max(F.col("entity") == F.col("surrogate")).alias("own"))
+    return clash.where("NOT a <=> b OR own").select("kind", "surrogate")
 
 
 def nonce_for(docs: DataFrame, key: str, text_col: str = "text") -> int:
-    """The first nonce whose surrogates are all distinct over the corpus. Names have some 10**15 surrogates, so more
-    than one try is rare."""
-    return next(nonce for nonce in itertools.count() if collisions(docs, key, nonce, text_col).isEmpty())
+    """The first nonce whose surrogates are all distinct over the corpus. The texts are read once, for their distinct
+    entities, on which nonces are tried. Names have some 10**15 surrogates, so more than one try is rare."""
+    found = stage(entities(docs, text_col), "entities")
+    nonce = next(nonce for nonce in itertools.count() if collisions(found, key, nonce).isEmpty())
+    clear(found)
+    return nonce
 
 
 def replace(docs: DataFrame, key: str, text_col: str = "text", nonce: int | None = None) -> DataFrame:
@@ -294,7 +344,8 @@ def replace(docs: DataFrame, key: str, text_col: str = "text", nonce: int | None
     text = F.col("text")
     out = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), (F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(None).cast("string")).alias("rest"))
     out = out.withColumn("known", people(text)).withColumn("any", pattern_for(text, F.col("known"))).withColumn("hits", F.regexp_extract_all("text", F.col("any"), F.lit(0)))
-    typed = F.transform("hits", lambda x: F.struct(x.alias("x"), kind_of(x).alias("kind")))
+    kind = lambda x: let(kind_of(x), lambda k: F.when((k != "name") | _is_known(x, F.col("known")), k))
+    typed = F.transform("hits", lambda x: F.struct(x.alias("x"), kind(x).alias("kind")))
     out = out.withColumn("typed", F.when(F.size("hits") > 0, typed))
     new = F.transform("typed", lambda t: F.when(t["kind"].isNull(), t["x"]).otherwise(surrogate(t["x"], t["kind"], key, nonce, F.col("known"))))
     pieces = F.zip_with(F.split(text, F.col("any"), -1), new, lambda gap, s: F.concat(F.coalesce(gap, F.lit("")), F.coalesce(s, F.lit(""))))
