@@ -50,7 +50,11 @@ def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 in one pass: encode, digest the ids, decode, digest the bytes."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 in one pass: encode, digest the ids, decode, digest the bytes.
+
+    A null text is an empty one; null ids and repeated rows give rows of their own; very long texts are cut at safe
+    places only; other columns, whatever their names, don't matter; an empty table gives no rows.
+    """
 
     def rows(keys, ids, library):
         arrays = [np.array(x, "<u4") for x in ids]

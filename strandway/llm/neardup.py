@@ -1,10 +1,11 @@
 """MinHash near-duplicates by a multi-index Hamming join.
 
-Signatures are b-bit minima. Their first ``INDEXED`` positions are split into ``CHUNKS`` chunks; as two signatures
-that differ in at most ``CHUNKS * (ERRORS + 1) - 1`` of them have a chunk with at most ``ERRORS`` differing ones
-(pigeonhole), each chunk is indexed under the keys that remain when any ``ERRORS`` of its positions are left out. So
-every pair under that distance shares a key: a pair at the threshold misses all keys with probability 2.1e-8 at a
-similarity of 0.85 and 1.1e-6 at 0.80, and of those that share one, ``far`` loses less than 1e-7.
+Signatures are b-bit minima. Their positions are split into ``CHUNKS`` chunks; as two signatures that differ in at most
+``CHUNKS * (ERRORS + 1) - 1`` positions have a chunk with at most ``ERRORS`` differing ones (pigeonhole), each chunk is
+indexed under the keys that remain when any ``ERRORS`` of its positions are left out. So every pair under that distance
+shares a key, and that distance is the most that ``far`` allows: no pair under the signature-distance threshold is lost.
+A pair whose sets are just at the threshold has signatures over it with probability 2.4e-8 at a similarity of 0.85 and
+5.2e-7 at 0.80.
 
 Equal sets are one class, represented by its least id, before any key is made. No pairs are made from a key's group.
 Each class is first compared with the hub of its key, the least class there, by signatures. A key whose classes are
@@ -31,7 +32,7 @@ from strandway.llm.components import components
 from strandway.llm.scratch import clear
 from strandway.llm.words import Words, mix, plain, slices
 
-POSITIONS, INDEXED, CHUNKS, ERRORS, BITS = 48, 32, 8, 1, 16
+POSITIONS, CHUNKS, ERRORS, BITS = 56, 14, 1, 16
 FAR = 1e-7
 #: Classes of a cell up to which it is one task, classes of a hot key's block, shingles of a cell's block (of 8 bytes
 #: each, and about as much text), where a single longer document is a block of its own.
@@ -69,7 +70,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def _left_out() -> list[tuple[int, list[int]]]:
-    size = INDEXED // CHUNKS
+    size = POSITIONS // CHUNKS
     return [(c, [c * size + i for i in range(size) if i not in out]) for c in range(CHUNKS) for out in itertools.combinations(range(size), ERRORS)]
 
 
@@ -114,11 +115,11 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def far(percent: int) -> int:
-    """The least count of differing positions that a pair at a similarity of ``percent`` is over with probability under
-    FAR: 26 at 80, 22 at 85."""
+    """The signature-distance threshold: the least count of differing positions that a pair at a similarity of ``percent``
+    is over with probability under FAR, or the most that the chunks guarantee; 25 at 85, 27 at 80."""
     p = 1 - percent / 100
     over = lambda d: sum(math.comb(POSITIONS, i) * p**i * (1 - p) ** (POSITIONS - i) for i in range(d + 1, POSITIONS + 1))
-    return next(d for d in range(POSITIONS + 1) if over(d) < FAR)
+    return next(d for d in range(POSITIONS + 1) if over(d) < FAR or d == CHUNKS * (ERRORS + 1) - 1)
 
 
 def _hamming(column: pa.ChunkedArray | pa.Array) -> np.ndarray:

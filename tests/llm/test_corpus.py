@@ -234,7 +234,23 @@ def test_signature_bound_follows_the_threshold():
     from fractions import Fraction
     from math import comb
 
-    for percent, most in ((80, 26), (85, 22)):
+    for percent, most, lost in ((80, 27, Fraction(6, 10**7)), (85, 25, Fraction(1, 10**7))):
         p = Fraction(100 - percent, 100)
-        over = lambda d: sum(comb(48, i) * p**i * (1 - p) ** (48 - i) for i in range(d + 1, 49))  # noqa: B023, E731
-        assert neardup.far(percent) == most and over(most) < Fraction(1, 10**7) <= over(most - 1)
+        over = lambda d: sum(comb(56, i) * p**i * (1 - p) ** (56 - i) for i in range(d + 1, 57))  # noqa: B023, E731
+        assert neardup.far(percent) == most and over(most) < lost
+
+
+def test_every_pair_under_the_distance_shares_a_key():
+    """Signatures that differ in as many positions as the threshold allows, spread as evenly over the chunks as can be
+    and at random."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for trial in range(400):
+        one = rng.integers(0, 1 << 16, 56).astype(np.uint16)
+        two, most = one.copy(), neardup.far(80 if trial % 2 else 85)
+        even = sorted(range(56), key=lambda i: (i % 4 > 1, i))[:most] if trial < 4 else rng.permutation(56)[:most]
+        two[even] ^= 1
+        a, b = neardup.keys(np.stack([one, two]))
+        assert (a == b).any(), trial
+    assert neardup.far(80) < 2 * neardup.CHUNKS and neardup.far(85) < 2 * neardup.CHUNKS

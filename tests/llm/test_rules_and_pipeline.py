@@ -169,3 +169,67 @@ def test_pipeline(spark, tmp_path):
 def test_every_language_is_learned(spark):
     docs = spark.createDataFrame([(i, f"l{i:03d}", f"word{chr(97 + i // 26)}{chr(97 + i % 26)} same") for i in range(520)], "doc_id long, lang string, text string")
     assert langid.fit(docs)["langs"] == [f"l{i:03d}" for i in range(520)]
+
+
+def test_every_stage_takes_effect(spark, tmp_path):
+    """Rules in use, near copies, passages, personal data and packing: each stage's texts against plain Python."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(21)
+    vocabulary = [a + b + c for a in ("ka", "mo", "ri", "te", "su") for b in ("lun", "der", "sa", "fo") for c in ("vi", "po", "net", "zu", "ha")]
+    prose = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    clean = [prose(rng.randrange(60, 110)) for _ in range(330)]
+    passage, near = prose(70), prose(150)
+    for i in range(0, 40, 5):  # a passage in eight documents, an address in others
+        clean[i] = prose(70) + passage + prose(20)
+    mails = {i: f"{vocabulary[i % 50]}{i % 3}@mail{i % 4}.org" for i in range(41, 200, 7)}
+    for i, mail in mails.items():
+        clean[i].insert(30, mail)
+        clean[i] += ["Mrs", "Anna", "Weberin", "said", "hello"]
+    for k in range(3):
+        clean.append([*near[: 40 * k], "changed", *near[40 * k + 1 :]])
+    junk = [[w + rng.choice("|#*") * 3 for w in prose(80)] for _ in range(90)]
+    short = [prose(20) for _ in range(5)]
+    texts = clean + junk + short
+    rows = [(i, " ".join(t), "en", f"src{i % 3}", len(" ".join(t)), f"x{i}") for i, t in enumerate(texts)] + [(900, None, None, None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, `a.b` string"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, 1, 0) for i in range(300)] + [(len(clean) + i, 0, 0) for i in range(60)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    columns, found = docs.columns, []
+    for k, (_, step) in enumerate(pipeline.STAGES):
+        step(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"stage{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"stage{k}"))
+        if k < 4:
+            assert docs.columns == columns
+            assert all(r.n_chars == len(r.text) and r["a.b"] == f"x{r.doc_id}" and r.source == f"src{r.doc_id % 3}" for r in docs.collect())
+            found.append({r.doc_id: r.text for r in docs.collect()})
+    quality_, unique, unrepeated, private = found
+    assert quality_ == {i: " ".join(t) for i, t in enumerate(clean)}  # by rules learned from two thirds of the junk
+    copies = set(range(330, 333))
+    assert set(unique) == set(range(len(clean))) - copies | {330} and all(unique[i] == quality_[i] for i in unique)
+    for i, text in unique.items():
+        words = text.split()
+        at = 70 if 0 < i < 40 and i % 5 == 0 else None
+        assert unrepeated[i] == " ".join(words if at is None else words[:at] + words[at + 70 :])
+    made = {}
+    for i, text in unrepeated.items():
+        old, new = text.split(), private[i].split()
+        assert len(old) == len(new)
+        for a, b in zip(old, new, strict=True):
+            own = "@" in a or a in ("Anna", "Weberin")
+            assert (a != b) == own and made.setdefault(a, b) == b
+    assert len(set(made.values())) == len(made) and len(mails) > 20
+    library = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    got = docs.toPandas()
+    for i, part in got.groupby("doc_id"):
+        ids = np.array([*library.encode(private[i], add_special_tokens=False).ids, 1], "<u4")
+        part = part.sort_values("start")
+        assert part.length.sum() == len(ids) and [zlib.crc32(ids[s : s + n].tobytes()) for s, n in zip(part.start, part.length, strict=True)] == part.ids_crc32.tolist()
+    assert set(got.doc_id) == set(private) and (got.groupby("sequence_id").length.sum() <= 2048).all()
