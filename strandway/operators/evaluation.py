@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandway.functions import rotations as rot
 from strandway.functions.vectors import norm
 
 
@@ -41,6 +42,29 @@ def mean_prediction(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     return lists.select(*keys, F.concat(F.slice(values, 1, F.size(values) - 1), F.array(clip)).alias("mean"))
 
 
+def projected_mean(df: DataFrame, keys: list[str], rank: str, vector: str) -> DataFrame:
+    """pose and fell_back: the mean of each key's predictions of ten numbers, its rotation made a proper one again, as a
+    mean of rotations is none. Where nothing is left of it, that of the prediction of the least ``rank`` stands in."""
+    first = df.groupBy(*keys).agg(F.min_by(vector, rank).alias("_first"))
+    both = mean_prediction(df, keys, vector).join(first, keys)
+    return both.select(*keys, rot.projected(F.col("mean"), F.col("_first")).alias("_p")).select(*keys, "_p.pose", "_p.fell_back")
+
+
+def pose_errors(predicted: Column, target: Column) -> dict[str, Column]:
+    """position, orientation (radians), gripper and canonical (all ten numbers) error of poses of ten numbers."""
+    diff = F.zip_with(predicted, target, lambda a, b: a.cast("double") - b.cast("double"))
+    turn = lambda v: rot.matrix_of_6d(F.slice(v, 4, 6))
+    return {"position": norm(F.slice(diff, 1, 3)), "orientation": rot.geodesic(turn(predicted), turn(target)), "gripper": F.abs(F.element_at(diff, 10)), "canonical": norm(diff)}
+
+
+def pose_window_metrics(steps: DataFrame, keys: list[str], step: str, predicted: str, target: str) -> DataFrame:
+    """position_, orientation_, gripper_ and canonical_median of each window's steps, and final_position and
+    final_orientation, those of its last step. A window is a few rows, so medians are plain."""
+    d = steps.select(*keys, F.col(step).alias("_k"), *[e.alias(f"_{n}") for n, e in pose_errors(F.col(predicted), F.col(target)).items()])
+    medians = [F.median(f"_{n}").alias(f"{n}_median") for n in ("position", "orientation", "gripper", "canonical")]
+    return d.groupBy(*keys).agg(*medians, F.max_by("_position", "_k").alias("final_position"), F.max_by("_orientation", "_k").alias("final_orientation"))
+
+
 def window_metrics(steps: DataFrame, keys: list[str], step: str, predicted: str, target: str, places: int = 3) -> DataFrame:
     """position_median, gripper_median, final_position and canonical_median of each key's steps. A vector begins with
     ``places`` numbers of a place and ends with the gripper."""

@@ -83,3 +83,10 @@ def column_statistics(df: DataFrame, columns: list[str], by: list[str] = (), low
     moments = x.groupBy(*keys).agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
     q = exact_quantiles(x, keys, "x", {"q01": low, "q99": high})
     return q.join(moments, same(q, moments, keys)).select(*[q[c] for c in keys], "n", "mean", "std", "min", "max", "q01", "q99")
+
+
+def medians_of(df: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
+    """by, n and <metric>_median for each metric, all in one search."""
+    long = unpivoted(df, metrics, by).drop("dim")
+    q = exact_quantiles(long, [*by, "column"], "x", {"m": 0.5})
+    return q.groupBy(*by).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("column") == m, F.col("m"))).alias(f"{m}_median") for m in metrics])

@@ -195,6 +195,28 @@ def clip_start(df: DataFrame, keys: list[str], order: list[str], energy: list[st
     return every.join(best, keys, "left").select(*keys, F.coalesce("first", "_zero").alias("first"))
 
 
+def view_pairs(df: DataFrame, keys: list[str], order: list[str], pool: str, target: str, strides: dict[str, int], phases: dict[str, int]) -> DataFrame:
+    """view, pool, target, crosses: for each time view, each of its rows with the target of its next row in the segment.
+
+    A view takes every k-th row of a segment, or as many rows as it has ``phases`` at even phases. Rows have pos and n,
+    their place in the segment and its length. ``crosses`` says whether the two rows' segments differ, which no view
+    should do. Views of strides share one sort; a pair of a row is a lead by the stride.
+    """
+    w = W.partitionBy(*keys, "segment_id").orderBy(*order)
+    pair = lambda view, on, k: F.when(on & F.lead("segment_id", k).over(w).isNotNull(), F.struct(F.lit(view).alias("view"), F.lead(target, k).over(w).alias("target"), (F.lead("segment_id", k).over(w) != F.col("segment_id")).alias("crosses")))
+    base = df.select(*keys, *order, "segment_id", "pos", "n", F.col(pool).alias("pool"), F.col(target).alias(target))
+    found = base.withColumn("_p", F.array_compact(F.array(*[pair(v, F.col("pos") % k == 0, k) for v, k in strides.items()]))).select(*keys, "pool", F.inline("_p"))
+    for view, bins in phases.items():
+        b = F.least(F.col("n"), F.lit(bins)).cast("long")
+        step = F.when(b > 1, (F.col("n") - 1) / (b - 1)).otherwise(F.lit(0.0))
+        # a row is at a phase where rounding some multiple of the step gives its place: the nearest one up or down
+        near = F.floor(F.col("pos") / F.when(step > 0, step).otherwise(1.0))
+        at = F.exists(F.array(near - 1, near, near + 1, near + 2), lambda i: (i >= 0) & (i < b) & (F.rint(i * step) == F.col("pos")))
+        rows = base.where(at).withColumn("_p", F.array_compact(F.array(pair(view, F.lit(True), 1))))
+        found = found.unionByName(rows.select(*keys, "pool", F.inline("_p")))
+    return found
+
+
 def shown_rows(df: DataFrame, keys: list[str], order: list[str], width: int, kind: str, severity: float, draw: Column, rate: float = 30.0) -> DataFrame:
     """window, place, left, right and share: of each whole window of ``width`` rows, which of its rows is shown in this
     row's place (``left``; where it lies between two, ``right`` by ``share`` and ``left`` by the rest).

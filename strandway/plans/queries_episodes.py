@@ -237,3 +237,70 @@ def b18(spark, sf_dir):
     got = val.validated(f, attributes, KEYS, rules, metrics)
     text = [F.array_join(f"{a}_errors", ";").alias(f"{a}_errors") for a in val.AREAS]
     return got.select("user_id", "status", *text, "frames", *val.COUNTS, *[rounded(c, d).alias(c) for c, d in (("robot_x_max", 6), ("robot_linear_step", 6), ("robot_angular_step", 5))])
+
+
+#: Poses that turn about the upright axis by an angle, so that errors of orientation are differences of angles.
+_ERRORS = "sqrt((px - qx) ** 2 + (py - qy) ** 2) AS position, acos(greatest(-1.0, least(1.0, cos(pa - qa)))) AS orientation, abs(pg - qg) AS gripper, sqrt((px - qx) ** 2 + (py - qy) ** 2 + 2 * (cos(pa) - cos(qa)) ** 2 + 2 * (sin(pa) - sin(qa)) ** 2 + (pg - qg) ** 2) AS canonical"
+
+
+def pose(x, y, angle, gripper):
+    zero = F.lit(0.0)
+    return F.array(x.cast("double"), y.cast("double"), F.lit(0.3), F.cos(angle), F.sin(angle), zero, -F.sin(angle), F.cos(angle), zero, gripper.cast("double"))
+
+
+@query(
+    "e32_view_comparison",
+    f"""WITH {FRAMES}, v(view, k) AS (VALUES ('native', 1), ('camera_30hz', 1), ('stride_4', 4), ('stride_3', 3), ('policy_10hz', 3), ('phase', NULL)),
+    b AS (SELECT *, least(sn, 8) AS bins FROM s), ph AS (SELECT DISTINCT user_id, segment_id, CAST(round_even(CASE WHEN bins > 1 THEN i * ((sn - 1) / (bins - 1)) ELSE 0 END, 0) AS BIGINT) AS spos FROM b, range(8) r(i) WHERE i < bins),
+    rows AS (SELECT view, b.* FROM b, v WHERE k IS NOT NULL AND spos % k = 0 UNION ALL SELECT 'phase', b.* FROM b JOIN ph USING (user_id, segment_id, spos)),
+    p AS (SELECT view, value / 100 AS px, event_id % 7 AS py, value AS pa, event_id % 2 AS pg, lead(value / 90) OVER w AS qx, lead(event_id % 5) OVER w AS qy, lead(value * 0.9) OVER w AS qa, lead((event_id + 1) % 2) OVER w AS qg FROM rows WINDOW w AS (PARTITION BY view, user_id, segment_id ORDER BY t, event_id)),
+    m AS (SELECT view, sqrt(qx ** 2 + qy ** 2 + 0.09 + 2 + qg ** 2) AS absolute, {_ERRORS} FROM p WHERE qx IS NOT NULL)
+    SELECT view, count(*) AS n, 0 AS crossings, round(median(canonical), 6) AS residual_median, round(median(absolute), 6) AS absolute_median, round(median(position), 6) AS position_median, round(median(orientation), 5) AS orientation_median, round(median(gripper), 6) AS gripper_median FROM m GROUP BY view""",
+)
+def e32_views(spark, sf_dir):
+    from strandway.functions.vectors import norm
+    from strandway.operators.evaluation import pose_errors
+    from strandway.operators.quantiles import medians_of
+    from strandway.plans.queries_core import in_segments
+
+    e, v = F.col("event_id"), F.col("value")
+    f = in_segments(spark, sf_dir).withColumns({"human": pose(v / 100, e % 7, v, e % 2), "robot": pose(v / 90, e % 5, v * 0.9, (e + 1) % 2)})
+    pairs = win.view_pairs(f, KEYS, ORDER, "human", "robot", {"native": 1, "camera_30hz": 1, "stride_4": 4, "stride_3": 3, "policy_10hz": 3}, {"phase": 8})
+    errors = pose_errors(F.col("pool"), F.col("target"))
+    m = kept(pairs.select("view", "crosses", errors["canonical"].alias("residual"), norm(F.col("target")).alias("absolute"), *[errors[k].alias(k) for k in ("position", "orientation", "gripper")]))
+    crossings = m.groupBy("view").agg(F.count_if("crosses").cast("int").alias("crossings"))
+    names = ["residual", "absolute", "position", "orientation", "gripper"]
+    return medians_of(m, ["view"], names).join(crossings, "view").select("view", "n", "crossings", *[rounded(f"{c}_median", 5 if c == "orientation" else 6).alias(f"{c}_median") for c in names])
+
+
+_E = "CAST(embedding[{}] AS DOUBLE)"
+
+
+@query(
+    "h19_pose_window_metrics",
+    f"""WITH p AS (SELECT vec_id // 8 AS win, vec_id % 8 AS step, {", ".join(f"{_E.format(i + 1)} AS {c}" for i, c in enumerate(("px", "py", "pa", "pg", "qx", "qy", "qa", "qg")))} FROM embeddings), m AS (SELECT win, step, {_ERRORS} FROM p)
+    SELECT win, round(median(position), 6) AS position_median, round(median(orientation), 5) AS orientation_median, round(median(gripper), 6) AS gripper_median, round(median(canonical), 6) AS canonical_median,
+           round(arg_max(position, step), 6) AS final_position, round(arg_max(orientation, step), 5) AS final_orientation FROM m GROUP BY win""",
+)
+def h19_poses(spark, sf_dir):
+    from strandway.operators.evaluation import pose_window_metrics
+
+    c = [F.col("embedding")[i].cast("double") for i in range(8)]
+    steps = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 8").alias("win"), (F.col("vec_id") % 8).alias("step"), pose(*c[:4]).alias("p"), pose(*c[4:]).alias("q"))
+    m = pose_window_metrics(steps, ["win"], "step", "p", "q")
+    return m.select("win", *[rounded(x, 5 if "orientation" in x else 6).alias(x) for x in m.columns[1:]])
+
+
+@query(
+    "d14_projected_mean",
+    f"""WITH p AS (SELECT vec_id // 4 AS k, {", ".join(f"avg({x}) AS {c}" for c, x in (("x", _E.format(1)), ("y", _E.format(2)), ("c", f"cos({_E.format(3)} * 9)"), ("s", f"sin({_E.format(3)} * 9)"), ("g", _E.format(4))))} FROM embeddings GROUP BY 1)
+    SELECT k, round(x, 6) AS x, round(y, 6) AS y, round(c / sqrt(c * c + s * s), 6) AS m00, round(-s / sqrt(c * c + s * s), 6) AS m01, round(greatest(0, least(1, g)), 6) AS gripper, false AS fell_back FROM p""",
+)
+def d14_projected(spark, sf_dir):
+    """The mean pose of every four vectors, whose rotations about the upright axis are far apart."""
+    from strandway.operators.evaluation import projected_mean
+
+    c = [F.col("embedding")[i].cast("double") for i in range(4)]
+    rows = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 4").alias("k"), "vec_id", pose(c[0], c[1], c[2] * 9, c[3]).alias("p"))
+    m, at = projected_mean(rows, ["k"], "vec_id", "p"), lambda i: rounded(F.col("pose")[i])
+    return m.select("k", at(0).alias("x"), at(1).alias("y"), at(3).alias("m00"), at(6).alias("m01"), at(9).alias("gripper"), "fell_back")

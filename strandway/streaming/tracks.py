@@ -31,8 +31,8 @@ def advance(before: dict[int, float] | None, t: np.ndarray, d: np.ndarray, gamma
 def cumulative_scores(distances: DataFrame, gamma: float, switch_cost: float, chunk: int, idle: int | None = None) -> DataFrame:
     """episode, step, demo, t, score for a stream of episode, step, demo, t, distance (a squared distance).
 
-    A step's rows come in one micro-batch, and steps of an episode in order; rows of a step already passed are left
-    out, so a batch that is replayed does no harm. ``idle`` is the processing time after which an episode's state goes,
+    A step's rows come in one micro-batch (else take ``cumulative_scores_of_split_steps``), and steps of an episode in
+    order; rows of a step already passed are left out, so a batch that is replayed does no harm. ``idle`` is the processing time after which an episode's state goes,
     in milliseconds; without it, state stays.
     """
 
@@ -59,6 +59,47 @@ def cumulative_scores(distances: DataFrame, gamma: float, switch_cost: float, ch
     return given.groupBy("episode", "demo").applyInPandasWithState(run, SCORES, "at long, t array<long>, score array<double>", "append", timeout)
 
 
+HELD = "at long, t array<long>, score array<double>, step long, held_t array<long>, held_d array<double>"
+
+
+def cumulative_scores_of_split_steps(distances: DataFrame, gamma: float, switch_cost: float, chunk: int, idle: int) -> DataFrame:
+    """``cumulative_scores`` for streams in which a step's rows may come in several micro-batches.
+
+    A step is held in the state until a row of a later step of its episode and demo comes, or until nothing has come for
+    ``idle`` milliseconds of processing time, which ends the episode. A row that is sent again counts once; rows of a
+    step that has been given out are left out. State is the scores of one step and the rows of the next.
+    """
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at, before, step, held = -1, None, -1, {}
+        if state.exists:
+            at, ts, scores, step, held_t, held_d = state.get
+            before = dict(zip(ts, scores, strict=True)) if at >= 0 else None
+            held = dict(zip(held_t, held_d, strict=True))
+        steps = {step: held} if held else {}
+        if not state.hasTimedOut:
+            for frame in frames:
+                for r in frame[frame.step > at].itertuples():
+                    steps.setdefault(int(r.step), {}).setdefault(int(r.t), float(r.distance))
+        last = max(steps, default=-1)
+        for n in sorted(steps):
+            if n == last and not state.hasTimedOut:
+                break
+            t = np.array(sorted(steps[n]), np.int64)
+            score = advance(before, t, np.array([steps[n][x] for x in t]), gamma, switch_cost, chunk)
+            at, before = n, dict(zip(t.tolist(), score.tolist(), strict=True))
+            yield pd.DataFrame({"episode": key[0], "step": n, "demo": key[1], "t": t, "score": score})
+        if state.hasTimedOut:
+            state.remove()
+        elif steps:
+            own = before or {}
+            state.update((at, list(own), list(own.values()), last, list(steps[last]), list(steps[last].values())))
+            state.setTimeoutDuration(idle)
+
+    given = distances.select(F.col("episode").cast("string"), F.col("step").cast("long"), F.col("demo").cast("string"), F.col("t").cast("long"), F.col("distance").cast("double"))
+    return given.groupBy("episode", "demo").applyInPandasWithState(run, SCORES, HELD, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 def best_demos(scores: DataFrame, n: int) -> DataFrame:
     """episode, step, demo, t, score, rank: the ``n`` demos of least score at each step, each at its best chunk."""
     best = scores.groupBy("episode", "step", "demo").agg(F.min(F.struct("score", "t")).alias("b"))

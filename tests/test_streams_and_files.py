@@ -27,6 +27,31 @@ def test_scores_build_up_along_a_stream(spark, tmp_path):
     assert best == {(e, s): min((want[e, s, m, t], m) for m in ("a", "bb") for t in range(0, 12, 2))[1] for e in "xy" for s in range(4)}
 
 
+def test_a_step_that_comes_in_pieces(spark, tmp_path):
+    """Each step's rows over two files, some sent twice, with the next step's first rows in between; the last one is
+    given out when nothing more comes."""
+    import time
+
+    d = lambda s, m, t: ((7 * s + 3 * t + 5 * len(m)) % 11) / 10
+    every = [(s, m, t) for s in range(4) for m in ("a", "bb") for t in range(0, 12, 2)]
+    files = [[x for x in every if (x[0], x[2] >= 6) in want] for want in ([(0, False)], [(0, True), (0, False)], [(1, True)], [(1, False), (2, True)], [(2, False)], [(3, False)], [(3, True), (1, True)])]
+    for n, rows in enumerate(files):
+        spark.createDataFrame([("x", s, m, t, d(s, m, t)) for s, m, t in rows], "episode string, step long, demo string, t long, distance double").coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+    stream = spark.readStream.schema("episode string, step long, demo string, t long, distance double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    scores = tracks.cumulative_scores_of_split_steps(stream, 0.8, 0.05, 4, 4000)
+    query = scores.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(processingTime="0 seconds").start(str(tmp_path / "out"))
+    began, got = time.time(), []
+    while time.time() - began < 90 and len(got) < len(every):
+        time.sleep(1)
+        got = spark.read.schema(tracks.SCORES).parquet(str(tmp_path / "out")).collect() if (tmp_path / "out/_spark_metadata").exists() else []
+    query.stop()
+    want = {}
+    for s, m, t in every:
+        now, before = d(s, m, t), want.get((s - 1, m, t - 4), float("inf"))
+        want[s, m, t] = now if s == 0 else min(0.8 * before + 0.2 * now, now + 0.05)
+    assert len(got) == len(want) and all(abs(r.score - want[r.step, r.demo, r.t]) < 1e-12 for r in got)
+
+
 def test_tasks_alternate_in_episode_order(spark):
     paths = ["r/b/episode_2.h5", "r/b/episode_10.h5", "r/a/episode_1.h5", "r/b/episode_x.h5"]
     got = files.round_robin(spark.createDataFrame([(p,) for p in paths], "path string")).orderBy("turn", "task").collect()
