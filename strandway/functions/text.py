@@ -116,6 +116,26 @@ def utc(at: Column) -> Column:
     return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
 
 
+def mixed_caption(truth: Column, machine: Column, had_issue: Column, machine_share: float, u: Column, v: Column) -> Column:
+    """source, place and text of one caption: with a share of ``machine_share`` (by the draw ``u``) the machine's, else one
+    of the array ``truth``, drawn by ``v``. A machine caption that is null or had an issue (an unknown issue too) gives
+    way to the truth; a truth without captions gives a null text."""
+    use = (u < machine_share) & machine.isNotNull() & ~F.coalesce(had_issue, F.lit(True))
+    place = F.least(F.floor(v * F.size(truth)), F.size(truth) - 1).cast("int")
+    own = F.when(F.size(truth) > 0, F.get(truth, place))
+    return F.struct(F.when(use, "machine").otherwise("truth").alias("source"), F.when(~use & (F.size(truth) > 0), place).alias("place"), F.when(use, machine).otherwise(own).alias("text"))
+
+
+def padded_tokens(tokens: Column, n: int, width: int, all_ones: bool = False) -> Column:
+    """rows and mask of an embedding (an array of vectors of ``width``): cut or filled up with zeros to ``n`` rows, with a
+    mask of 1 for the rows that it has, or 1 throughout with ``all_ones``. Null is an embedding without rows."""
+    have = F.coalesce(tokens, F.array().cast("array<array<double>>"))
+    cut = F.slice(have, 1, n)
+    rows = F.concat(cut, F.array_repeat(F.array_repeat(F.lit(0.0), width), n - F.size(cut)))
+    mask = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.lit(1) if all_ones else (i <= F.size(cut)).cast("int"))
+    return F.struct(rows.alias("rows"), mask.alias("mask"))
+
+
 def image_caption(record: Column, kind: str, variants: list[str], u: Column) -> Column:
     """style and text of an image's caption record (JSON): of ``qwen2p5_7b_v4`` one of ``variants`` drawn by ``u``, of
     ``prompts`` the prompt, of ``ai_v3p1`` the one model's caption or, where it couldn't be read, the other's. Null

@@ -304,3 +304,89 @@ def d14_projected(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 4").alias("k"), "vec_id", pose(c[0], c[1], c[2] * 9, c[3]).alias("p"))
     m, at = projected_mean(rows, ["k"], "vec_id", "p"), lambda i: rounded(F.col("pose")[i])
     return m.select("k", at(0).alias("x"), at(1).alias("y"), at(3).alias("m00"), at(6).alias("m01"), at(9).alias("gripper"), "fell_back")
+
+
+_VECTOR = "CAST([embedding[1], embedding[2], embedding[3], embedding[4]] AS DOUBLE[])"
+
+
+@query(
+    "c12_nearest_of_whole_pool",
+    f"""WITH v AS (SELECT vec_id, label, {_VECTOR} AS x FROM embeddings),
+    p AS (SELECT a.label, a.vec_id AS query, b.vec_id AS match, sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda t: (t[1] - t[2]) ** 2))) AS d FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id)
+    SELECT label, query, match, CAST(row_number() OVER (PARTITION BY query ORDER BY d, match) AS INT) AS rank, round(d, 9) AS distance FROM p QUALIFY row_number() OVER (PARTITION BY query ORDER BY d, match) <= 3""",
+)
+def c12_dimensions(spark, sf_dir):
+    """The three nearest vectors of its label to each vector, in four dimensions, by a grid instead of all pairs."""
+    from strandway.operators.neighbours import nearest
+
+    v = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.slice("embedding", 1, 4).cast("array<double>").alias("x"))
+    found = nearest(v.withColumnRenamed("vec_id", "query"), v.withColumnRenamed("vec_id", "match"), "label", "query", "match", "x", 3, own=True)
+    return found.select("label", "query", "match", "rank", rounded("distance", 9).alias("distance"))
+
+
+@query(
+    "c14_gated_frames_of_whole_pool",
+    f"""WITH {FRAMES}, e AS (SELECT user_id % 5 AS task, user_id, [min_by(value, pos), min_by(event_id % 97, pos)] AS s, max_by(value, pos) AS v1 FROM f GROUP BY user_id),
+    near AS (SELECT a.user_id AS query, b.user_id AS demo, a.v1, sqrt((a.s[1] - b.s[1]) ** 2 + (a.s[2] - b.s[2]) ** 2) AS g FROM e a JOIN e b USING (task) WHERE a.user_id <> b.user_id QUALIFY row_number() OVER (PARTITION BY a.user_id ORDER BY g, b.user_id) <= 3)
+    SELECT query, demo, event_id, round(abs(v1 - value), 6) AS distance FROM near JOIN f ON f.user_id = demo QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(abs(v1 - value), 9), event_id) = 1""",
+)
+def c14_whole(spark, sf_dir):
+    """Of the three episodes of its task that start nearest to an episode (in two dimensions), the frame nearest to its end."""
+    from strandway.operators import retrieval as ret
+    from strandway.operators.neighbours import nearest
+
+    f = frames(spark, sf_dir)
+    first = lambda c: F.min_by(c, "pos").cast("double")
+    ends = kept(f.groupBy("user_id").agg(F.array(first("value"), F.min_by(F.col("event_id") % 97, "pos").cast("double")).alias("s"), F.max_by("value", "pos").alias("v1")).withColumn("task", F.col("user_id") % 5))
+    gate = nearest(ends.withColumnRenamed("user_id", "query"), ends.withColumnRenamed("user_id", "demo"), "task", "query", "demo", "s", 3, own=True)
+    gate = gate.select("query", "demo", F.col("distance").alias("gate_distance")).join(ends.select(F.col("user_id").alias("query"), "v1"), "query")
+    rows = f.select(F.col("user_id").alias("demo"), "event_id", "value")
+    found = ret.gated_nearest(gate, rows, "query", "demo", "event_id", F.round(F.abs(F.col("v1") - F.col("value")), 9), 3)
+    return found.select("query", "demo", "event_id", rounded("distance").alias("distance"))
+
+
+@query(
+    "c13_retrieved_and_padded",
+    """WITH n AS (SELECT vec_id AS query, label FROM embeddings), v AS (SELECT vec_id, label, CAST([embedding[1], embedding[2]] AS DOUBLE[]) AS x FROM embeddings),
+    p AS (SELECT a.vec_id AS query, b.vec_id AS match, row_number() OVER (PARTITION BY a.vec_id ORDER BY sqrt((a.x[1] - b.x[1]) ** 2 + (a.x[2] - b.x[2]) ** 2), b.vec_id) AS rank FROM v a JOIN v b ON a.label = b.label AND b.vec_id % 40 = 0)
+    SELECT n.query, CAST(k AS INT) AS rank, coalesce(match, -1) AS match, match IS NULL AS masked FROM n CROSS JOIN (SELECT unnest(range(1, 5)) AS k) LEFT JOIN p ON p.query = n.query AND p.rank = k""",
+)
+def c13_retrieved(spark, sf_dir):
+    """Four places for every vector: the nearest pool vectors of its label, and masked places where there are fewer."""
+    from strandway.operators import retrieval as ret
+    from strandway.operators.neighbours import nearest
+
+    v = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.slice("embedding", 1, 2).cast("array<double>").alias("x"))
+    queries = v.withColumnRenamed("vec_id", "query")
+    found = nearest(queries, v.where("vec_id % 40 = 0").withColumnRenamed("vec_id", "match"), "label", "query", "match", "x", 4)
+    return ret.padded(found, queries, "query", "match", 4).select("query", "rank", F.coalesce("match", F.lit(-1)).alias("match"), "masked")
+
+
+@query(
+    "i4_mixed_captions",
+    f"""WITH d AS (SELECT doc_id, string_split(substr(text, 1, 200), '. ') AS truth, upper(lang) || ' ' || source AS machine, n_chars % 7 = 0 AS issue, {uniform_sql("'u' || doc_id")} AS u, {uniform_sql("'v' || doc_id")} AS v FROM documents),
+    e AS (SELECT *, u < 0.4 AND machine IS NOT NULL AND NOT coalesce(issue, true) AS use FROM d)
+    SELECT doc_id, CASE WHEN use THEN 'machine' ELSE 'truth' END AS source, CASE WHEN use THEN machine ELSE truth[1 + CAST(least(floor(v * len(truth)), len(truth) - 1) AS INT)] END AS text FROM e""",
+)
+def i4(spark, sf_dir):
+    """A caption of the text's own sentences or a made one, at a share of 0.4, unless that had an issue."""
+    from strandway.functions import text as txt
+
+    name = F.col("doc_id").cast("string")
+    d = table(spark, sf_dir, "documents").withColumns({"truth": F.split(F.substring("text", 1, 200), r"\. "), "machine": F.concat(F.upper("lang"), F.lit(" "), "source"), "issue": F.col("n_chars") % 7 == 0})
+    picked = txt.mixed_caption(F.col("truth"), F.col("machine"), F.col("issue"), 0.4, uniform(F.concat(F.lit("u"), name)), uniform(F.concat(F.lit("v"), name)))
+    return d.select("doc_id", picked.alias("c")).select("doc_id", "c.source", "c.text")
+
+
+@query(
+    "i5_padded_tokens",
+    """SELECT vec_id, [CAST(embedding[1] AS DOUBLE), CASE WHEN vec_id % 6 > 0 THEN CAST(embedding[4] AS DOUBLE) ELSE 0 END, CASE WHEN vec_id % 6 > 1 THEN CAST(embedding[7] AS DOUBLE) ELSE 0 END][1 + CAST(vec_id % 3 AS INT)] AS picked, least(3, 1 + vec_id % 6) AS ones, 9 AS numbers FROM embeddings""",
+)
+def i5(spark, sf_dir):
+    """One to six tokens of three numbers, cut or filled up to three tokens."""
+    from strandway.functions import text as txt
+
+    tokens = F.transform(F.sequence(F.lit(0), F.col("vec_id") % 6), lambda i: F.transform(F.slice("embedding", (i * 3 + 1).cast("int"), 3), lambda x: x.cast("double")))
+    d = table(spark, sf_dir, "embeddings").withColumn("t", txt.padded_tokens(tokens, 3, 3))
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+    return d.select("vec_id", F.get("t.rows", (F.col("vec_id") % 3).cast("int"))[0].alias("picked"), total(F.col("t.mask")).alias("ones"), F.size(F.flatten("t.rows")).alias("numbers"))
