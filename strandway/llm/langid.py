@@ -5,8 +5,9 @@ character n-grams: at each place the longest known one counts, from the longest
 
 The model is fitted on a bounded sample: about ``SAMPLE`` labelled documents of each language, drawn by a hash of
 their id; every value of lang is learned. It keeps the words, and for each order the n-grams, whose share of their
-language is at least ``LEAST``, or the least power of two times that with which the model stays under ``room`` bytes.
-So its size has a bound whatever the corpus and the number of languages, and it can be broadcast.
+language is at least ``LEAST``. So a language has at most ``1 / LEAST`` words and as many n-grams of an order, whatever
+the corpus, and a model of some dozens of languages can be broadcast. Nothing else depends on size: the option ``room``,
+which is off, is for a model of very many languages that has to be smaller, at the price of its rare entries.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from strandway.llm.words import plain
 
 SAMPLE, LEAST, ORDER = 3000, 4e-6, 4
-#: Bytes of a model at most, and of an entry besides its four bytes a language.
-ROOM, ENTRY = 256 << 20, 150
+#: Bytes of a model's entry besides its four bytes a language.
+ENTRY = 150
 #: Words outside the model whose scores a Python worker keeps.
 MEMO = 200_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -37,11 +38,12 @@ def _words(text: str) -> Counter:
     return found
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: Column | None = None, room: int = ROOM) -> dict:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: Column | None = None, room: int | None = None) -> dict:
     """The model: languages in order, and the log share of each known word and n-gram in each language.
 
     Null texts and languages don't count, empty texts teach nothing, repeated rows count each time, other columns
-    don't matter; no rows give an empty model. ``room`` bounds its bytes.
+    don't matter; no rows give an empty model. With ``room``, the least share is raised to the least power of two times ``LEAST``
+    with which the model stays under so many bytes.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.lit(True) if keep is None else keep)).select(
         F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
@@ -68,9 +70,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     both = words.select("lang", F.lit(0).alias("k"), "gram", "n").unionByName(grams)
     totals = both.groupBy("lang", "k").agg(F.sum("n").alias("total"))
     shares = both.join(totals, ["lang", "k"]).select("lang", "k", "gram", (F.col("n") / F.col("total")).alias("share")).where(F.col("share") >= LEAST).persist()
-    level = F.floor(F.log2(F.max("share") / LEAST)).alias("level")  # at most 18 levels
-    counts = {r["level"]: r["count"] for r in shares.groupBy("k", "gram").agg(level).groupBy("level").count().collect()}
-    least = next(x for x in range(64) if sum(n for at, n in counts.items() if at >= x) * (4 * len(sizes) + ENTRY) <= room)
+    least = 0
+    if room is not None:
+        level = F.floor(F.log2(F.max("share") / LEAST)).alias("level")  # at most 18 levels
+        counts = {r["level"]: r["count"] for r in shares.groupBy("k", "gram").agg(level).groupBy("level").count().collect()}
+        least = next(x for x in range(64) if sum(n for at, n in counts.items() if at >= x) * (4 * len(sizes) + ENTRY) <= room)
     table = shares.where(F.col("share") >= LEAST * 2.0**least).select("lang", "k", "gram", F.log("share").alias("log")).toPandas()
     shares.unpersist()
     langs = sorted(s["lang"] for s in sizes)
