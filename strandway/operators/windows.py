@@ -195,6 +195,18 @@ def clip_start(df: DataFrame, keys: list[str], order: list[str], energy: list[st
     return every.join(best, keys, "left").select(*keys, F.coalesce("first", "_zero").alias("first"))
 
 
+def open_loop_actions(df: DataFrame, keys: list[str], order: list[str], chunk: str, horizon: int) -> DataFrame:
+    """planned_at, place and action: what each step does when a plan is made every ``horizon`` steps and played out.
+
+    Every row offers a plan, an array of actions; only those of the steps that divide by ``horizon`` are taken. Where a
+    plan is null or shorter than the steps it has to last, the action is null.
+    """
+    w = W.partitionBy(*keys).orderBy(*order)
+    place = (F.col("pos") % horizon).cast("int")
+    plan = F.last(F.when(place == 0, F.struct(F.col(chunk).alias("c"))), ignorenulls=True).over(w)
+    return df.withColumns({"planned_at": F.col("pos") - place, "place": place, "action": F.get(plan["c"], place)})
+
+
 def view_pairs(df: DataFrame, keys: list[str], order: list[str], pool: str, target: str, strides: dict[str, int], phases: dict[str, int]) -> DataFrame:
     """view, pool, target, crosses: for each time view, each of its rows with the target of its next row in the segment.
 

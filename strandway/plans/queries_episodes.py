@@ -390,3 +390,16 @@ def i5(spark, sf_dir):
     d = table(spark, sf_dir, "embeddings").withColumn("t", txt.padded_tokens(tokens, 3, 3))
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
     return d.select("vec_id", F.get("t.rows", (F.col("vec_id") % 3).cast("int"))[0].alias("picked"), total(F.col("t.mask")).alias("ones"), F.size(F.flatten("t.rows")).alias("numbers"))
+
+
+@query(
+    "l5_open_loop_actions",
+    f"""WITH {FRAMES}, p AS (SELECT event_id, pos, pos % 5 AS place, first_value(value) OVER (PARTITION BY user_id, pos // 5 ORDER BY t, event_id) AS v, first_value(event_type) OVER (PARTITION BY user_id, pos // 5 ORDER BY t, event_id) AS kind FROM f)
+    SELECT event_id, pos - place AS planned_at, CASE WHEN kind = 'error' OR kind = 'refund' AND place > 2 THEN NULL ELSE round(v + place / 2, 6) END AS action FROM p""",
+)
+def l5(spark, sf_dir):
+    """Plans of five actions, three after a refund and none after an error, made every five events and played out."""
+    plan = F.transform(F.sequence(F.lit(0), F.when(F.col("event_type") == "refund", 2).otherwise(4)), lambda i: F.col("value") + i / 2)
+    f = frames(spark, sf_dir).withColumn("plan", F.when(F.col("event_type") != "error", plan))
+    acted = win.open_loop_actions(f, KEYS, ORDER, "plan", 5)
+    return acted.select("event_id", F.col("planned_at").cast("long").alias("planned_at"), rounded("action").alias("action"))

@@ -193,3 +193,10 @@ def test_first_of_a_key_in_stream_order(spark):
     b = spark.createDataFrame([(1, "q", 5), (3, "r", 1)], "k int, v string, o int")
     got = {r.k: (r.a, r.b, r.missing) for r in joins.ordered_merge({"a": a, "b": b}, "k", "v", "o").collect()}
     assert got == {1: ("z", "q", []), 2: (None, None, ["b"]), 3: (None, "r", ["a"])}
+
+
+def test_plans_are_played_out(spark):
+    plans = {0: ["a0", "a1", "a2"], 1: ["x"], 2: ["y"], 3: None, 4: ["z"], 6: ["c0"], 7: ["w", "w"]}
+    rows = spark.createDataFrame([("k", i, plans.get(i)) for i in range(8)], "k string, pos long, plan array<string>")
+    got = win.open_loop_actions(rows, ["k"], ["pos"], "plan", 3).orderBy("pos").collect()
+    assert [r.action for r in got] == ["a0", "a1", "a2", None, None, None, "c0", None] and [r.planned_at for r in got] == [0, 0, 0, 3, 3, 3, 6, 6]
