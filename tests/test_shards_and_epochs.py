@@ -248,6 +248,7 @@ def test_stalls_late_ends_and_a_restart(spark, tmp_path):
         if n in (2, 4, 5, 7):  # stopped and started again in between
             stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
             run(stalls.stalls(stream, 8000), out, checkpoint)
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     got = sorted((r.id, r.what, r.at - 1_000_000, r.running, r.idle, r.stalled) for r in spark.read.parquet(out).collect())
     assert got == [
         ("a", "ended", 27000, 27000, 22000, True),
