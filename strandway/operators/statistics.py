@@ -9,6 +9,15 @@ from pyspark.sql import functions as F
 from strandway.operators.ordering import same
 from strandway.operators.quantiles import exact_quantiles
 
+
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's r as an aggregate over rows that have both; null where one of them doesn't vary. F.corr divides by the
+    deviations before any condition around it holds, which ANSI mode refuses where all values are equal."""
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    a, b = F.stddev_pop(x), F.stddev_pop(y)
+    return F.try_divide(F.covar_pop(x, y), F.when((a > 0) & (b > 0), a * b))
+
+
 def dimension_statistics(df: DataFrame, vector: str) -> DataFrame:
     """dim and min, max, mean, std (population), median, q01, q99 of each component."""
     x = df.select(F.posexplode(vector).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))

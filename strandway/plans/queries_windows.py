@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strandway.functions.seeds import uniform_sql
 from strandway.operators import timebase as tb
 from strandway.operators import windows as win
+from strandway.operators.statistics import correlation
 from strandway.plans.catalog import query
 from strandway.plans.queries_core import FRAMES, KEYS, ORDER, frames, in_segments, rounded, table
 
@@ -135,7 +136,7 @@ _SWEEP = f"""{FRAMES}, p AS ({" UNION ALL ".join(f"SELECT user_id, {k} AS lag, v
 
 def swept(spark, sf_dir):
     p = win.lag_sweep(frames(spark, sf_dir), KEYS, ORDER, "value", [1, 2, 3, 4])
-    r = F.when((F.stddev_pop("value") > 0) & (F.stddev_pop("later") > 0), F.corr("value", "later"))
+    r = correlation(F.col("value"), F.col("later"))
     return p.groupBy("user_id", "lag").agg(F.count("*").alias("pairs"), rounded(F.median(F.abs(F.col("later") - F.col("value")))).alias("error"), rounded(r).alias("r"))
 
 

@@ -3,10 +3,13 @@ import itertools
 import math
 import random
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
-from strandway.functions import rotations
+from strandway.functions import rotations, text
 from strandway.operators import inference, mixing, retrieval, selection, statistics, timebase
+from strandway.plans import catalog
 
 
 def test_gaps_open_segments_on_leaps_and_rollbacks(spark):
@@ -101,3 +104,35 @@ def test_quaternions_and_six_numbers_make_the_same_matrix(spark):
 def test_rank_without_rows_overflows(spark):
     got = spark.range(3).select(*[x.alias(k) for k, x in mixing.rank_range(F.lit(2), 3, F.col("id")).items()]).collect()
     assert [tuple(r) for r in got] == [(0, 1, False), (1, 2, False), (0, 1, True)]
+
+
+def test_correlation_of_what_does_not_vary_is_null(spark):
+    rows = [("flat", 0.1, 0.1)] * 3 + [("half", 0.1, float(i)) for i in range(3)] + [("line", float(i), 2.0 * i) for i in range(3)] + [("one", 1.0, 2.0), ("none", None, 1.0)]
+    got = spark.createDataFrame(rows, "k string, x double, y double").groupBy("k").agg(statistics.correlation(F.col("x"), F.col("y")).alias("r")).collect()
+    assert {r.k: r.r and round(r.r, 12) for r in got} == {"flat": None, "half": None, "line": 1.0, "one": None, "none": None}
+
+
+@pytest.mark.parametrize("name", ["c8_lag_sweep", "d13_best_lag", "d11_motion_correlation"])
+def test_users_of_one_value_equal_the_twin(spark, tmp_path, name):
+    at = "TIMESTAMP '2024-01-01' + to_minutes(i)"
+    rows = f"SELECT i AS event_id, {at} AS ts, i // 10 AS user_id, 'view' AS event_type, CASE WHEN i < 10 THEN 7.1 ELSE i % 7 * i END::DOUBLE AS value FROM range(20) r(i)"
+    duckdb.execute(f"COPY ({rows}) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = duck.execute(catalog.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(tuple(r) for r in catalog.queries()[name](spark, str(tmp_path)).select(*columns).collect()) == sorted(want.fetchall())
+
+
+def test_letters_beyond_ascii_end_a_word(spark):
+    words = [("and\u00e9", True), ("\u00c9the x", True), ("sand", False), ("the_", False), ("an d", False), ("un DES\u00df", True)]
+    got = spark.createDataFrame(words, "t string, want boolean").select("t", "want", text.blocked(F.col("t"), ["the", "and", "des"]).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_distances_round_as_their_products_do(spark):
+    q = spark.createDataFrame([(1, "a", 0.15)], "q int, k string, x double")
+    p = spark.createDataFrame([(5, "a", 0.6), (6, "a", 0.66)], "p int, k string, x double")  # 0.44999999999999996 and 0.51
+    tie = {j: hashlib.sha256(f"s:1:{j}".encode()).hexdigest() for j in (5, 6)}
+    got = retrieval.rank_scalars(q, p, "k", "q", "p", "x", 1, "s", 2).collect()
+    assert {r.p: (r.distance, r["rank"]) for r in got} == {j: (0.5, 1 + (tie[j] == max(tie.values()))) for j in (5, 6)}
