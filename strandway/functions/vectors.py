@@ -33,6 +33,13 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - dot(a, b) / (norm(a) * norm(b))
 
 
+def stepped(x: Column, digits: int) -> Column:
+    """x to ``digits`` places as the whole number next to x * 10^digits, halves away from 0, over 10^digits: what SQL
+    engines that calculate in doubles do. F.round goes by x's shortest decimal form, so 0.44999999999999996, whose
+    product is 4.5, becomes 0.4 there and 0.5 here."""
+    return F.round(x * 10.0**digits) / 10.0**digits
+
+
 def circular_degrees(a: Column, b: Column) -> Column:
     d = F.abs(a - b) % 360
     return F.least(d, 360 - d)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandway.functions.vectors import circular_degrees
+from strandway.functions.vectors import circular_degrees, stepped
 from strandway.operators.selection import evenly_spaced, hash_order, top_k
 
 
@@ -63,10 +63,10 @@ def rank_scalars(queries: DataFrame, pool: DataFrame, key: str, query_id: str, p
     tied at that distance all do, as nothing but their hashes tells which of them come first.
     """
     near = nearest_scalars(queries, pool, key, query_id, pool_id, at, k)
-    reach = near.groupBy(query_id).agg(F.max(F.round("distance", digits)).alias("_reach"))
+    reach = near.groupBy(query_id).agg(F.max(stepped(F.col("distance"), digits)).alias("_reach"))
     q = queries.select(key, query_id, F.col(at).alias("_qat")).join(reach, query_id).alias("q")
     p = pool.select(key, pool_id, F.col(at).alias("_at")).alias("p")
-    distance = F.round(F.abs(F.col("_at") - F.col("_qat")), digits)
+    distance = stepped(F.abs(F.col("_at") - F.col("_qat")), digits)
     pairs = q.join(p, (F.col(f"q.{key}") == F.col(f"p.{key}")) & (distance <= F.col("_reach"))).select(F.col(f"q.{key}"), query_id, pool_id, distance.alias("distance"))
     tie = hash_order(seed, F.concat_ws(":", F.col(query_id).cast("string"), F.col(pool_id).cast("string")))
     found = top_k(pairs, [query_id], [F.col("distance"), tie, F.col(pool_id)], k)
