@@ -48,26 +48,37 @@ def reached(seeds: DataFrame, edges: DataFrame, stage: Callable[[DataFrame], Dat
     """id and steps: the seeds (id) and all that lies behind them, with the fewest edges on the way.
 
     A round goes one edge on from what was found last and leaves out what is known, so a node is found once whatever
-    the number of paths to it, and cycles end.
+    the number of paths to it, and cycles end. Joins are merges: broadcasts would send every round through the driver.
     """
     found = last = stage(seeds.select("id", F.lit(0).alias("steps")).distinct())
     while True:
-        step = edges.join(last, F.col("parent") == F.col("id")).select(F.col("child").alias("id"), (F.col("steps") + 1).alias("steps")).distinct()
-        last = stage(step.join(found.select("id"), "id", "left_anti"))
+        step = edges.join(last.hint("merge"), F.col("parent") == F.col("id")).select(F.col("child").alias("id"), (F.col("steps") + 1).alias("steps")).distinct()
+        last = stage(step.join(found.select("id").hint("merge"), "id", "left_anti"))
         if last.isEmpty():
             return found
         found = stage(found.unionByName(last))
 
 
 def closure(edges: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """ancestor and descendant of every path. Paths double in length each round."""
-    reach = stage(edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).distinct())
+    """ancestor and descendant of every path. Paths double in length each round.
+
+    ``jump`` holds the paths of exactly 2^i edges, ``reach`` those of fewer; a round adds the jumps and the reaches that
+    go on by a jump. So a pair is made once for each length of its paths, not once for each node between its ends. Pairs
+    are dealt out by their ends before they are made distinct, as sums within a task would hold most of them.
+    """
+    pairs = ["ancestor", "descendant"]
+    jump = stage(edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).distinct())
+    reach, known = jump.limit(0), 0
     while True:
-        step = reach.select("ancestor", F.col("descendant").alias("_m")).join(reach.select(F.col("ancestor").alias("_m"), "descendant"), "_m").select("ancestor", "descendant")
-        more = stage(reach.unionByName(step).distinct())
-        if more.count() == reach.count():
-            return more
-        reach = more
+        tail = jump.select(F.col("ancestor").alias("_m"), "descendant").hint("merge")
+        on = lambda head: head.select("ancestor", F.col("descendant").alias("_m")).join(tail, "_m").select(*pairs)  # noqa: B023, E731
+        reach = stage(reach.unionByName(jump).unionByName(on(reach)).repartition(*pairs).distinct())
+        count = reach.count()
+        if count == known:
+            return reach
+        jump, known = stage(on(jump).repartition(*pairs).distinct()), count
+        if jump.isEmpty():
+            return reach
 
 
 def ready(nodes: DataFrame, edges: DataFrame, done: DataFrame) -> DataFrame:

@@ -1,11 +1,13 @@
 """Operators that have no query of their own, on small fixtures."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from strandway.functions import rotations as rot
 from strandway.functions import text as txt
-from strandway.operators import graphs, mixing
+from strandway.operators import contracts, graphs, joins, mixing
 from strandway.operators import selection as sel
 from strandway.operators import windows as win
 from strandway.sources.stages import kept
@@ -62,3 +64,34 @@ def test_thinning_of_small_groups(spark):
     for r in sel.thinned(rows, ["g"], ["k"], 5).collect():
         got.setdefault(r.g, []).append(r.k)
     assert {g: sorted(ks) for g, ks in got.items()} == {1: [1], 2: [1, 2], 3: [0, 12, 24, 36, 49]}
+
+
+def test_no_round_of_a_graph_is_broadcast(spark):
+    plans = []
+
+    def stage(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df)
+
+    edges = spark.createDataFrame([(i, j) for i in range(12) for j in (i + 1, i + 3) if j < 12] + [(11, 9)], "parent long, child long")
+    got = graphs.closure(edges, stage)
+    assert sorted(tuple(r) for r in got.collect()) == sorted({(i, j) for i in range(12) for j in range(i + 1, 12)} | {(i, j) for i in (9, 10, 11) for j in (9, 10, 11)})
+    ids = spark.range(12).select("id", F.lit("h").alias("sha256"))
+    parents = edges.select(F.col("child").alias("id"), "parent", F.when(F.col("parent") == 4, "x").otherwise("h").alias("sha256"))
+    fate = contracts.frozen(ids, parents, stage)
+    plans.append(fate._jdf.queryExecution().executedPlan().toString())
+    assert {r.id: r.steps for r in fate.collect()} == {**dict.fromkeys(range(5)), 5: 0, 6: 1, 7: 0, 8: 1, 9: 2, 10: 1, 11: 2}
+    assert not [p for p in plans if "Broadcast" in p]
+
+
+def test_totals_of_safe_pairs_are_those_of_the_pairs(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(150):
+        first = rng.randrange(30)
+        rows.append((rng.choice([1, 2, None]), rng.choice("abc"), i % 140, first, first + rng.randrange(3), first + 3 + rng.randrange(4)))
+    w = spark.createDataFrame(rows, "task int, path string, id long, first int, future_first int, future_last int")
+    want = joins.leakage_safe(w, w, "task", "path").groupBy("task", "query").agg(F.count("*").alias("candidates"), F.sum("candidate").alias("ids"))
+    assert sorted(tuple(r) for r in joins.leakage_safe_totals(w, w, "task", "path").collect()) == sorted(tuple(r) for r in want.collect())
+    alone = w.limit(0).unionByName(spark.createDataFrame([(1, "a", 5, 0, 2, 4)], w.schema))
+    assert joins.leakage_safe_totals(alone, alone, "task", "path").isEmpty()
