@@ -57,12 +57,13 @@ def frozen(artifacts: DataFrame, parents: DataFrame, stage: Callable[[DataFrame]
     ``artifacts`` are id and sha256 as they are now; ``parents`` are id, parent and sha256, the parent's hash when the
     artifact was frozen. An artifact is ``broken`` where a parent has another hash or is gone, ``stale`` where that is
     so of one that it rests on, at the fewest ``steps`` away, and ``valid`` else. The fault is passed on edge by edge:
-    a recursive query would count every path of a graph in which paths meet.
+    a recursive query would count every path of a graph in which paths meet. Joins are merges: hashes are larger than
+    their files let the planner think, and broadcasts would send them through the driver.
     """
     now = artifacts.select(F.col("id").alias("parent"), F.col("sha256").alias("_now"))
-    held = parents.join(now, "parent", "left")
+    held = parents.join(now.hint("merge"), "parent", "left")
     direct = held.groupBy("id").agg(F.count_if(F.col("_now").isNotNull() & ~F.col("_now").eqNullSafe(F.col("sha256"))).alias("own"), F.count_if(F.col("_now").isNull()).alias("missing"))
-    facts = stage(artifacts.select("id").join(direct, "id", "left").fillna(0, ["own", "missing"]))
+    facts = stage(artifacts.select("id").join(direct.hint("merge"), "id", "left").fillna(0, ["own", "missing"]))
     hit = reached(facts.where("own > 0 OR missing > 0").select("id"), stage(parents.select("parent", F.col("id").alias("child")).distinct()), stage)
     status = F.when((F.col("own") > 0) | (F.col("missing") > 0), "broken").when(F.col("steps").isNotNull(), "stale").otherwise("valid")
-    return facts.join(hit, "id", "left").withColumn("status", status)
+    return facts.join(hit.hint("merge"), "id", "left").withColumn("status", status)

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from strandway.functions.seeds import uniform, uniform_sql
+from strandway.functions.vectors import stepped
 from strandway.operators import contracts, graphs, joins, shuffling
 from strandway.operators import validation as val
 from strandway.operators import windows as win
@@ -115,7 +116,7 @@ def b24(spark, sf_dir):
     text = lambda size: F.sha2(F.concat_ws("|", "p_name", "p_brand", size.cast("string")), 256)
     hashes = p.select(F.col("p_partkey").alias("parent"), text(F.col("p_size")).alias("h"), text(F.col("p_size") + 1).alias("old"))
     edges = whole_graph(spark, sf_dir)[1]
-    parents = edges.join(hashes, "parent").select(F.col("child").alias("id"), "parent", F.when(F.col("parent") % 97 == 5, F.col("old")).otherwise(F.col("h")).alias("sha256"))
+    parents = edges.join(hashes.hint("merge"), "parent").select(F.col("child").alias("id"), "parent", F.when(F.col("parent") % 97 == 5, F.col("old")).otherwise(F.col("h")).alias("sha256"))
     artifacts = hashes.where("parent % 211 <> 210").select(F.col("parent").alias("id"), F.col("h").alias("sha256"))
     return contracts.frozen(artifacts, parents, kept)
 
@@ -341,7 +342,7 @@ def c14_whole(spark, sf_dir):
     gate = nearest(ends.withColumnRenamed("user_id", "query"), ends.withColumnRenamed("user_id", "demo"), "task", "query", "demo", "s", 3, own=True)
     gate = gate.select("query", "demo", F.col("distance").alias("gate_distance")).join(ends.select(F.col("user_id").alias("query"), "v1"), "query")
     rows = f.select(F.col("user_id").alias("demo"), "event_id", "value")
-    found = ret.gated_nearest(gate, rows, "query", "demo", "event_id", F.round(F.abs(F.col("v1") - F.col("value")), 9), 3)
+    found = ret.gated_nearest(gate, rows, "query", "demo", "event_id", stepped(F.abs(F.col("v1") - F.col("value")), 9), 3)
     return found.select("query", "demo", "event_id", rounded("distance").alias("distance"))
 
 
