@@ -12,9 +12,11 @@ from strandway.operators import records as rec
 from strandway.operators import retrieval as ret
 from strandway.operators import selection as sel
 from strandway.operators import windows as win
+from strandway.operators.neighbours import nearest
 from strandway.plans.catalog import query
 from strandway.plans.queries_core import FRAMES, KEYS, ORDER, frames, rounded, table
 from strandway.sources import files
+from strandway.sources.stages import kept
 
 _U = uniform_sql("CAST(o_orderkey AS VARCHAR)")
 _V = uniform_sql("o_orderkey || '|v'")
@@ -144,14 +146,13 @@ def i17(spark, sf_dir):
 )
 def c14(spark, sf_dir):
     f = frames(spark, sf_dir)
-    ends = f.groupBy("user_id").agg(F.min_by("value", "pos").alias("v0"), F.max_by("value", "pos").alias("v1")).withColumn("task", F.col("user_id") % 20)
-    q = ends.select("task", F.col("user_id").alias("query"), "v0", "v1")
-    starts = ends.select("task", F.col("user_id").alias("demo"), F.col("v0").alias("s"))
-    near = F.when(F.col("query") != F.col("demo"), F.round(F.abs(F.col("v0") - F.col("s")), 9))
-    gate = rec.gated_by_start(q, starts, "task", "query", "demo", near, 3).where("gate_distance IS NOT NULL")
-    gate = sel.top_k(gate, ["query"], [F.col("gate_distance"), F.col("demo")], 2).drop("rank")
+    ends = kept(f.groupBy("user_id").agg(F.array(F.min_by("value", "pos")).alias("s"), F.max_by("value", "pos").alias("v1")).withColumn("task", F.col("user_id") % 20))
+    q = ends.select("task", F.col("user_id").alias("query"), "s", "v1")
+    starts = ends.select("task", F.col("user_id").alias("demo"), "s")
+    gate = nearest(q.select("task", "query", "s"), starts, "task", "query", "demo", "s", 2, axes=1, own=True, digits=9)
+    gate = gate.select("query", "demo", F.col("distance").alias("gate_distance")).join(q.select("query", "v1"), "query")
     rows = f.select(F.col("user_id").alias("demo"), "event_id", "value")
-    found = ret.gated_nearest(gate, rows, "query", "demo", "event_id", F.round(F.abs(F.col("v1") - F.col("value")), 9), 2)
+    found = ret.gated_nearest(gate, rows, "query", "demo", "event_id", vec.stepped(F.abs(F.col("v1") - F.col("value")), 9), 2)
     return found.select("query", "demo", "event_id", rounded(F.col("distance")).alias("distance"))
 
 

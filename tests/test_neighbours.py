@@ -59,6 +59,28 @@ def test_equal_vectors_stay_few(spark):
     assert neighbours.nearest(rows, rows.limit(0).withColumnRenamed("q", "p"), "key", "q", "p", "v", 2).isEmpty()
 
 
+def test_rounded_distances_tie(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice("ab"), i, [rng.choice([0.0, 7.0]) + rng.randrange(9) / 10 + rng.choice([0, 1e-12, -1e-12])]) for i in range(200)]
+    q = spark.createDataFrame(rows, "key string, q long, v array<double>")
+    got = neighbours.nearest(q, q.withColumnRenamed("q", "p"), "key", "q", "p", "v", 3, axes=1, own=True, digits=9)
+    half = lambda x: math.floor(x * 1e9 + 0.5) / 1e9
+    want = [(i, n + 1, p) for k, i, x in rows for n, (_, p) in enumerate(sorted((half(abs(y[0] - x[0])), j) for m, j, y in rows if m == k and j != i)[:3])]
+    assert sorted((r.q, r["rank"], r.p) for r in got.collect()) == sorted(want)
+
+
+def test_copies_of_a_query_are_searched_for_once(spark):
+    rows = spark.createDataFrame([("a", i, [float(i % 7), float(i % 5)]) for i in range(700)], "key string, q long, v array<double>")
+    heard = []
+    neighbours.top_k, whole = lambda df, *rest: (heard.append(df.groupBy().count().first()[0]) if "_bound" not in df.columns and "distance" in df.columns else None, whole(df, *rest))[1], neighbours.top_k
+    try:
+        got = neighbours.nearest(rows, rows.withColumnRenamed("q", "p"), "key", "q", "p", "v", 3, own=True)
+        assert got.count() == 2100
+    finally:
+        neighbours.top_k = whole
+    assert max(heard[:-1]) <= 35 * 35 * 4  # all pairs of distinct vectors with their least four ids
+
+
 def test_captions_and_tokens(spark):
     rows = [(["a", "b"], "m", False, 0.1, 0.6), (["a", "b"], "m", True, 0.1, 0.6), (["a", "b"], "m", None, 0.1, 0.0), (["a"], None, False, 0.1, 0.99), ([], "m", False, 0.9, 0.5), (["a", "b"], "m", False, 0.4, 0.999)]
     df = spark.createDataFrame(rows, "t array<string>, m string, i boolean, u double, v double")
