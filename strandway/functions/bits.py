@@ -24,7 +24,7 @@ def image(x: Column) -> Column:
     normal = (exponent + BIAS) * UNIT + ((a / F.pow(F.lit(2.0), exponent) - 1) * float(UNIT)).cast("long")
     small = (a * 2.0**537 * 2.0**537).cast("long")
     size = F.when(F.isnan(x), NAN).when(a == float("inf"), INFINITE).when(a < 2.0**LEAST, small).otherwise(normal)
-    return F.when(x < 0, -size).when(x.isNotNull(), size)
+    return size * F.when(x < 0, -1).when(x.isNotNull(), 1)  # size stands once, as it is long when compiled
 
 
 def value(i: Column) -> Column:

@@ -68,6 +68,51 @@ def test_statistics_of_columns_and_components(spark):
     assert len(got) == 4
 
 
+def test_every_step_of_statistics_is_compiled(spark, monkeypatch):
+    """HotSpot never compiles a method over 8000 bytes: the images of values, made twice in one step, took 10 us each."""
+    longest, columns = {}, [f"c{i}" for i in range(8)]
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+
+    def measured(df, name="table"):
+        found = debug.codegenStringSeq(df._jdf.queryExecution().executedPlan())
+        longest[name] = max([longest.get(name, 0), *[found.apply(i)._3().maxMethodCodeSize() for i in range(found.size())]])
+        return stages.kept(df, name)
+
+    monkeypatch.setattr(quantiles, "kept", measured)
+    rows = spark.range(500).select((F.col("id") % 3).cast("string").alias("flag"), *[(F.col("id") * (i + 1)).alias(c) for i, c in enumerate(columns)])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that plans are whole before they run
+    try:
+        assert quantiles.column_statistics(rows, columns, ["flag"]).count() == 24
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert 0 < longest["values"] and max(longest.values()) < 8000, longest
+
+
+def test_few_values_come_near_a_rank(spark, monkeypatch):
+    """Even bins leave a small part of the values, so later rounds don't read them all again."""
+    rows = {}
+
+    def counted(df, name="table"):
+        table = stages.kept(df, name)
+        rows[name] = table.count()
+        return table
+
+    monkeypatch.setattr(quantiles, "kept", counted)
+    got = quantiles.exact_quantiles(spark.range(60_000).select((F.col("id") % 2).alias("g"), F.col("id").alias("x")), ["g"], "x", {"q01": 0.01, "q99": 0.99})
+    assert {tuple(r) for r in got.collect()} == {(g, 30_000, 2 * 299.99 + g, 2 * 29699.01 + g) for g in (0, 1)}
+    assert rows["values"] == 60_000 and 0 < rows["near"] < 600
+
+
+def test_quantiles_of_ranges_that_have_no_even_bins(spark):
+    tiny, huge = 5e-324, 1.7976931348623157e308
+    groups = {"far": [-huge, huge, 1.0, 2.0, 3.0], "near": [tiny * i for i in range(5)], "signs": [-0.0, 0.0, -0.0, 0.0, tiny], "below": [-math.inf, 1.0, 2.0, 3.0, 4.0], "above": [1.0, 2.0, 3.0, math.inf, math.inf], "odd": [1.0, 2.0, 3.0, 4.0, math.nan], "all": [math.nan] * 5}
+    data = spark.createDataFrame([(g, x) for g, xs in groups.items() for x in xs], "g string, x double")
+    probs = {f"q{i}": i / 4 for i in range(5)}
+    for r in quantiles.exact_quantiles(data, ["g"], "x", probs, {"most": F.max("x")}).collect():
+        want = sorted(groups[r.g], key=lambda x: (math.isnan(x), x))
+        assert r.n == 5 and all(a == b or (math.isnan(a) and math.isnan(b)) for a, b in zip([*r[3:], r.most], [*want, want[-1]], strict=True)), r
+
+
 def plain_counts(lengths):
     out = ""
     for i, x in enumerate(lengths):
